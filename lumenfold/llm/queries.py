@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import exact, minhash, mixing, secrets
+from lumenfold.llm import exact, minhash, mixing, secrets, toxicity
 from lumenfold.runtime import table
 
 
@@ -22,6 +22,13 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    lexicon = toxicity.learn(docs, labels.where(~toxicity.held_out()))
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "hits")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,6 +37,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
+    "op8_toxicity": op8_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
