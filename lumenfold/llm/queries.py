@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import importlib.util
+import os
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import exact, minhash, mixing, secrets, toxicity
+from lumenfold.llm import bpe, exact, minhash, mixing, secrets, toxicity
 from lumenfold.runtime import table
 
 
@@ -14,6 +18,19 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.sha2("token", 256).alias("token_sha256"), F.round("score", 9).alias("score"), "is_secret")
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file: LUMENFOLD_TOKENIZER, or word_bpe_49k.json of the installed public_tokenizers."""
+    if named := os.environ.get("LUMENFOLD_TOKENIZER"):
+        return named
+    spec = importlib.util.find_spec("public_tokenizers")
+    root = Path(spec.origin).parent if spec and spec.origin else Path("/opt/tokenizers")
+    return str(root / "word_bpe_49k.json")
+
+
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -35,6 +52,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op3_bpe": op3_bpe,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op8_toxicity": op8_toxicity,
