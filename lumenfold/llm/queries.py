@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, exact, minhash, mixing, secrets, toxicity
+from lumenfold.llm import bpe, exact, minhash, mixing, pii, secrets, toxicity
 from lumenfold.runtime import table
 
 
@@ -31,6 +31,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -53,6 +57,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op3_bpe": op3_bpe,
+    "op4_pii": op4_pii,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
     "op8_toxicity": op8_toxicity,
