@@ -36,7 +36,9 @@ MATCHES = 33
 #: Postings up to this many sets are expanded into pairs; longer ones go by leader and blocks.
 SHORT = 24
 #: Members of a long posting compared at a time.
-BLOCK = 512
+BLOCK = 2048
+#: Ids (8 bytes each) that are broadcast to pick rows on the map side; beyond, rows are picked by a shuffle.
+FEW_IDS = 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(77))
 _XOR = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 _ODD = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -65,7 +67,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = iter(signatures(full).view(np.int64)) if full else iter(())
             sig = [next(rows) if len(s) else None for s in sets]
             digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "sig"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.list_(pa.int64()))], ["id", "doc_id", "n_shingles", "digest", "sig"])
 
 
 def _confirm(percent: int):
@@ -89,13 +91,20 @@ def _confirm(percent: int):
 
 
 def _blocks(percent: int):
-    """For one pair of blocks of a long posting: exact links between different components, a forest of them."""
+    """For one pair of blocks of a long posting: exact links between different components, a forest of them.
+
+    A pair that meets in several such postings is compared in that of its lowest shared coordinate.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp = table.column("id").to_pylist(), table.column("comp").to_pylist()
         side = np.array(table.column("side").to_pylist())
         sig = np.array(table.column("sig").to_pylist(), np.int64).reshape(len(ids), -1)
+        here = table.column("k")[0].as_py()
+        masks = np.array(table.column("mask").to_pylist(), np.int64)
+        posted = (masks[:, None] >> np.arange(sig.shape[1])) & 1 == 1
         sets = list(shingle_sets(table.column("text"), WIDTH))
+        sizes = np.array([len(x) for x in sets])
         root = {c: c for c in comp}
 
         def find(x):
@@ -107,8 +116,10 @@ def _blocks(percent: int):
         out_a, out_b = [], []
         first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         for i in first.tolist():
-            others = second[(sig[second] == sig[i]).sum(1) >= MATCHES]
-            for j in others.tolist():
+            fit = second[(100 * np.minimum(sizes[second], sizes[i]) >= percent * np.maximum(sizes[second], sizes[i]))]
+            same = sig[fit] == sig[i]
+            fit = fit[(same.sum(1) >= MATCHES) & ((same & posted[fit] & posted[i]).argmax(1) == here)]
+            for j in fit.tolist():
                 x, y = find(comp[i]), find(comp[j])
                 if x != y and similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j]), percent):
                     root[max(x, y)] = min(x, y)
@@ -119,67 +130,79 @@ def _blocks(percent: int):
     return run
 
 
-def _with_component(ids: DataFrame, links: DataFrame) -> DataFrame:
-    comps = connected_components(links, "a", "b")
-    return ids.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows whose id is among the (distinct) ids: on the map side while those are few, else by a shuffle."""
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi")
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    return cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document.
 
     docs needs doc_id and text; other columns are ignored. A null or blank text has no shingles and is linked
-    with nothing. Of a component the smallest doc_id is kept. Rows that repeat a doc_id count as one document
-    with several texts and come out one by one with its component. A row without doc_id gets the component of
-    its text's class, if another row has that text. An empty table gives no rows.
+    with nothing. Of a component the smallest doc_id is kept. Rows that repeat a doc_id are taken one by one,
+    each by its own text. Rows without doc_id get the component of their text's class, which is null where no
+    row of it has a doc_id. An empty table gives no rows.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = cut(base.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, sig array<long>"))
-    groups = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    member = signed.select("doc_id", "n_shingles", "digest").join(groups, "digest", "left")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = docs.select(F.xxhash64("doc_id", text).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    signed = cut(base.mapInArrow(_sign, "id long, doc_id long, n_shingles long, digest binary, sig array<long>"))
     # one document for each distinct set; the others hang on it
-    reps = signed.join(groups.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
-    reps = reps.select(F.col("doc_id").alias("id"), F.hash("digest").alias("h"), "sig")
+    classes = cut(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min("doc_id").alias("least")))
+    reps = signed.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").select("id", "sig").dropDuplicates(["id"])
 
-    post = reps.select("id", "h", F.posexplode("sig").alias("k", "v")).select("id", "h", F.xxhash64("k", "v").alias("key"))
+    post = reps.select("id", F.posexplode("sig").alias("k", "v")).select("id", "k", F.xxhash64("k", "v").alias("key")).repartition("key")
     often = post.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = post.join(often, "key")
-    order = Window.partitionBy("id", "h").orderBy("n", "key")
-    ranked = shared.withColumn("r", F.row_number().over(order)).withColumn("many", F.count("*").over(Window.partitionBy("id", "h")))
-    prefix = cut(ranked.where(F.col("r") + COORDINATES - F.col("many") <= COORDINATES - MATCHES + 1).select("id", "key"))
+    order = Window.partitionBy("id").orderBy("n", "key")
+    ranked = shared.withColumn("r", F.row_number().over(order)).withColumn("many", F.count("*").over(Window.partitionBy("id")))
+    prefix = cut(ranked.where(F.col("r") + COORDINATES - F.col("many") <= COORDINATES - MATCHES + 1).select("id", "key", "k"))
 
     lists = prefix.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
     short, long = lists.where(F.col("n") <= SHORT).select("key"), cut(lists.where(F.col("n") > SHORT))
-    small = prefix.join(short, "key", "left_semi")
+    small = prefix.join(short, "key", "left_semi").select("id", "key")
     pairs = small.alias("x").join(small.alias("y"), "key").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     led = prefix.join(long, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    pairs = pairs.unionByName(led).distinct()
+    pairs = cut(pairs.unionByName(led).distinct())
     # count collisions on the signatures, then confirm on the sets
-    sig = reps.select("id", "sig")
-    pairs = pairs.join(sig.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(sig.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
+    sig = signed.select("id", "sig")
+    some = _only(sig, _ends(pairs)).dropDuplicates(["id"])
+    held = pairs.join(some.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(some.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    pairs = cut(pairs.where(equal >= MATCHES).select("a", "b"))
-    texts = base.withColumnRenamed("doc_id", "id")
-    held = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    pairs = cut(held.where(equal >= MATCHES).select("a", "b"))
+    texts = base.select("id", "text")
+    some = _only(texts, _ends(pairs)).dropDuplicates(["id"])
+    held = pairs.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     links = cut(held.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"))
+    comps = cut(connected_components(links, "a", "b"))
 
     # long postings whose members are not all tied together yet
-    members = _with_component(prefix.join(long.select("key"), "key", "left_semi"), links)
+    members = prefix.join(long.select("key"), "key", "left_semi").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
     open_keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    rest = cut(members.join(open_keys, "key").select("key", "id", "comp", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
+    rest = cut(members.join(open_keys, "key").select("key", "k", "id", "comp", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
     if not rest.isEmpty():
+        mine = cut(rest.groupBy("id").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask")))
+        data = _only(sig, mine.select("id")).dropDuplicates(["id"]).join(_only(texts, mine.select("id")).dropDuplicates(["id"]), "id").join(mine, "id")
         rest = rest.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
         rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rest = rest.select("key", "id", "comp", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"))
-        rest = rest.join(sig, "id").join(texts, "id")
-        more = rest.groupBy("key", "p", "q").applyInArrow(_blocks(percent), "a long, b long")
-        links = cut(links.unionByName(more).distinct())
-    comps = connected_components(links, "a", "b")
-    out = member.join(comps.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+        rest = rest.select("key", "k", "id", "comp", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"))
+        more = rest.join(data, "id").groupBy("key", "p", "q").applyInArrow(_blocks(percent), "a long, b long")
+        more = cut(more.distinct())
+        if not more.isEmpty():
+            comps = connected_components(links.unionByName(more), "a", "b")
+    tied = comps.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    known = classes.join(tied, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    least = known.groupBy("comp").agg(F.min("least").alias("component_id"))
+    known = known.join(least, "comp").select("digest", "component_id")
+    out = signed.select("doc_id", "n_shingles", "digest").join(known, "digest", "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """The documents that near_duplicates keeps, with all their columns."""
-    kept = near_duplicates(docs, percent).where("kept").select(F.col("doc_id").alias("_kept_id"))
-    return docs.join(kept, docs["doc_id"] == kept["_kept_id"], "left_semi")
+    """docs without the rows that near_duplicates doesn't keep; rows without doc_id stay."""
+    gone = near_duplicates(docs, percent).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
