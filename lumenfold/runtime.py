@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,6 +52,21 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, unless they find it by PYTHONPATH or by the folder they start in."""
+    root = Path(__file__).resolve().parent.parent
+    sc = spark.sparkContext
+    known = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {Path.cwd()}
+    if root not in known and sc.applicationId not in _SHIPPED:
+        made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="lumenfold-"), "lumenfold"), "zip", root, "lumenfold")
+        sc.addPyFile(made)
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
