@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, exact, imatch, minhash, mixing, pii, secrets, toxicity
+from lumenfold.llm import bpe, exact, imatch, minhash, mixing, pii, secrets, toxicity, warc
 from lumenfold.runtime import table
 
 
@@ -43,6 +43,10 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).withColumn("rate", F.round("rate", 9))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "toxic")
     lexicon = toxicity.learn(docs, labels.where(~toxicity.held_out()))
@@ -64,6 +68,7 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_mix_sources": op6_mix_sources,
+    "op7_warc": op7_warc,
     "op8_toxicity": op8_toxicity,
     "op9_imatch": op9_imatch,
     "op10_exact_dedup": op10_exact_dedup,
@@ -71,5 +76,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op6_mix_sources": mixing.mixture_sql(),
+    "op7_warc": warc.ORACLE_SQL,
     "op10_exact_dedup": exact.ORACLE_SQL,
 }
