@@ -9,7 +9,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm import bpe, exact, imatch, minhash, mixing, pii, secrets, toxicity, warc
+from lumenfold.llm import bpe, exact, imatch, lm, minhash, mixing, pii, secrets, toxicity, warc
 from lumenfold.runtime import table
 
 
@@ -18,6 +18,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "length", F.sha2("token", 256).alias("token_sha256"), F.round("score", 9).alias("score"), "is_secret")
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def tokenizer_path() -> str:
     """The tokenizer file: LUMENFOLD_TOKENIZER, or word_bpe_49k.json of the installed public_tokenizers."""
     if named := os.environ.get("LUMENFOLD_TOKENIZER"):
@@ -64,6 +68,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
+    "op2_lm_score": op2_lm_score,
     "op3_bpe": op3_bpe,
     "op4_pii": op4_pii,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
