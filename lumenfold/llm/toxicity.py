@@ -251,6 +251,21 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     return base.mapInArrow(run, "doc_id long, score double, predicted int, hits long")
 
 
+def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """docs, all columns as they were, without the rows whose text scores CUT or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = lexicon.automaton()
+        for batch in batches:
+            keep = []
+            for text in batch.column("text"):
+                folded = fold(text.as_py() or "")
+                keep.append(lexicon.score(normalise(weigh(folded, machine)[0], folded.count(" ") - 1)) < CUT)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out() -> F.Column:
     """Whether crc32 of doc_id as text leaves 1 by 3; such rows never teach."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
