@@ -11,12 +11,13 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from lumenfold.operators.metrics import curve, ratio
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def just_above(boundary: pd.Series) -> pd.Series:
     """The next larger double."""
     return pd.Series(np.nextafter(boundary.to_numpy(float), np.inf))
