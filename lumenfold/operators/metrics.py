@@ -68,8 +68,8 @@ def curve(df: DataFrame, label: str, score: str, by: list[str] = (), weight: str
     # at most RANGES + 1 rows a group
     sums = sums.select(*by, "_range", *[F.coalesce(F.sum(f"_{c}").over(down), F.lit(0)).alias(f"_{c}_above") for c in ("pos", "neg")], F.sum("_pos").over(whole).alias("positives"), F.sum("_neg").over(whole).alias("negatives"))
     keys = [*by, "_range"]
-    same = [at[k].eqNullSafe(sums[k]) for k in keys]
-    joined = at.join(sums, same).select(*[at[k] for k in keys], *["score", "pos", "neg", "_pos_above", "_neg_above", "positives", "negatives"])
+    sums = sums.withColumnsRenamed({k: f"{k}__" for k in keys})
+    joined = at.join(sums, [F.col(k).eqNullSafe(F.col(f"{k}__")) for k in keys])
     within = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return joined.select(*by, "score", "pos", "neg", (F.col("_pos_above") + F.sum("pos").over(within)).alias("tp"), (F.col("_neg_above") + F.sum("neg").over(within)).alias("fp"), "positives", "negatives")
 
@@ -153,7 +153,7 @@ def class_summary(df: DataFrame, target: str, predicted: str) -> DataFrame:
 
 def confusion_matrix(df: DataFrame, target: str, predicted: str, classes: list) -> DataFrame:
     """One row per target, one column per declared class."""
-    wide = df.groupBy(F.col(target).alias("target")).pivot(predicted, classes).agg(F.count("*"))
+    wide = df.groupBy(F.col(target).alias("target")).pivot(predicted, classes).agg(F.count(F.lit(1)))
     return wide.select("target", *[F.coalesce(F.col(str(c)), F.lit(0)).alias(f"p{c}") for c in classes])
 
 

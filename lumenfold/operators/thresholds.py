@@ -30,10 +30,11 @@ def kth_largest(df: DataFrame, score: str, rank: DataFrame, by: list[str] = ())
     """
     ones = df.select(*by, F.col(score).cast("double").alias("_s"), F.lit(0).alias("_y"))
     points = curve(ones, "_y", "_s", list(by)).select(*by, "score", (F.col("fp") - F.col("neg")).alias("above"), F.col("fp").alias("upto"))
-    join = [points[b].eqNullSafe(rank[b]) for b in by] if by else F.lit(True)
+    points = points.withColumnsRenamed({b: f"{b}__" for b in by})
+    join = [F.col(f"{b}__").eqNullSafe(F.col(b)) for b in by] if by else F.lit(True)
     hit = points.join(F.broadcast(rank) if not by else rank, join)
     hit = hit.where((F.col("rank") > F.col("above")) & (F.col("rank") <= F.col("upto")))
-    return hit.select(*[rank[c] for c in rank.columns], F.col("score").alias("boundary"))
+    return hit.select(*rank.columns, F.col("score").alias("boundary"))
 
 
 def fpr_boundary(df: DataFrame, score: str, target_fpr: float, by: list[str] = ()) -> DataFrame:

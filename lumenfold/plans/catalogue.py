@@ -2,19 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from lumenfold.plans import metric_queries, rollup_queries  # noqa: F401  they register themselves
+from lumenfold.plans.fixtures import ORACLE_SQL, QUERIES
 
-from lumenfold.runtime import table
-
-
-def _confusion_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("n_chars") % 997 / F.lit(997.0)).alias("score"))
-    rows = docs.join(table(spark, sf_dir, "labels"), "doc_id")
-    hit = F.col("score") >= 0.5
-    count = lambda c: F.count_if(c)
-    return rows.groupBy("source").agg(count(hit & (F.col("quality") == 1)).alias("tp"), count(hit & (F.col("quality") == 0)).alias("fp"), count(~hit & (F.col("quality") == 1)).alias("fn"), count(~hit & (F.col("quality") == 0)).alias("tn"))
-
-
-QUERIES = {"metrics_confusion_by_source": _confusion_by_source}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
