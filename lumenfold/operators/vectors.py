@@ -109,7 +109,7 @@ def cosine_topk(queries: DataFrame, references: DataFrame, key: str, vector: str
     q = queries.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"))
     many = max(1, -(-references.count() // block))
     r = references.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(many)).alias("b"))
-    qs = q.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(many - 1))).cast("long"))
+    qs = q.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))))
 
     def local(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
