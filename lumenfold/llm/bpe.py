@@ -60,6 +60,7 @@ class WordBpe:
         self._split = regex.compile(splits[0].replace("\\s", _BLANK))
         self._marks = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self._letters = dict(enumerate(byte_letters()))
+        self._plain = self._plain_bytes()
         # tokens that their own text doesn't lead to are never proposed
         usable = [t for t, i in self.vocab.items() if self._exact(self._symbols(t)) == [i]]
         self._inner = {t: self.vocab[t] for t in usable if not (self.end and t.endswith(self.end))}
@@ -248,16 +249,16 @@ class WordBpe:
 
     def plain(self, ids: list[int]) -> str:
         """The words themselves, with a space for every word end; special strings stay."""
+        parts = self._plain
+        return b"".join([parts[i] for i in ids]).decode("utf-8", "replace").strip(" ")
+
+    def _plain_bytes(self) -> dict[int, bytes]:
         back = {c: b for b, c in self._letters.items()}
-        out = []
-        for i in ids:
-            t = self.text_of[i]
-            if i in self.special.values():
-                out.append(t.encode() + b" ")
-            else:
-                whole = t.endswith(self.end)
-                out.append(bytes(back[c] for c in (t[: len(t) - len(self.end)] if whole else t)) + b" " * whole)
-        return b"".join(out).decode("utf-8", "replace").strip(" ")
+        out = {i: t.encode() + b" " for t, i in self.special.items()}
+        for t, i in self.vocab.items():
+            whole = bool(self.end) and t.endswith(self.end) and len(t) > len(self.end)
+            out[i] = bytes(back[c] for c in (t[: len(t) - len(self.end)] if whole else t)) + b" " * whole
+        return out
 
 
 _LOADED: dict[str, WordBpe] = {}
