@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.runtime import cut
+
 #: The most labelled texts (by hash) that a lexicon is learned from.
 MAX_LABELLED = 20_000
 #: Lengths of the word beginnings considered, beside whole words of up to LONGEST letters.
@@ -137,27 +139,38 @@ def _pick(toxic: Counter, clean: Counter, lefts: dict[str, int], n_toxic: int, n
     return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Partial counts of one partition: (fold, toxic, term, texts) and, of toxic texts, neighbours."""
+def _toxic_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Partial counts of one partition of toxic texts: (half, term, texts, distinct neighbours to the left)."""
     texts: Counter = Counter()
     lefts: dict[tuple[int, str], set[int]] = defaultdict(set)
     for batch in batches:
-        for half, label, text in zip(*(batch.column(c).to_pylist() for c in ("half", "toxic", "text")), strict=True):
-            words = fold(text).split()
+        for half, text in zip(*(batch.column(c).to_pylist() for c in ("half", "text")), strict=True):
             seen: set[str] = set()
             before = ""
-            for w in words:
+            for w in fold(text).split():
                 for s in stems(w):
                     seen.add(s)
-                    if label:
-                        lefts[half, s].add(zlib.crc32(before.encode()))
+                    lefts[half, s].add(zlib.crc32(before.encode()))
                 before = w
-            for s in seen:
-                texts[half, label, s] += 1
-    rows = [(h, y, s, n, sorted(lefts[h, s]) if y else []) for (h, y, s), n in texts.items()]
+            texts.update((half, s) for s in seen)
+    rows = [(*k, n, sorted(lefts[k])) for k, n in texts.items()]
     for a in range(0, len(rows), 20_000):
         cols = list(zip(*rows[a : a + 20_000], strict=True))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2]), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.list_(pa.int64()))], ["half", "toxic", "term", "texts", "lefts"])
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1]), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.list_(pa.int64()))], ["half", "term", "texts", "lefts"])
+
+
+def _clean_terms(wanted: frozenset[str]):
+    """Partial counts of one partition of clean texts, of the wanted terms only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: Counter = Counter()
+        for batch in batches:
+            for half, text in zip(*(batch.column(c).to_pylist() for c in ("half", "text")), strict=True):
+                texts.update((half, s) for s in {s for w in set(fold(text).split()) for s in stems(w)} & wanted)
+        cols = list(zip(*[(*k, n) for k, n in texts.items()], strict=True)) or [[], [], []]
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["half", "term", "texts"])
+
+    return run
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
@@ -167,7 +180,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLE
     if n > bound:
         y = y.where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) < int(bound / n * (1 << 20)))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).join(y, "doc_id")
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(y), "doc_id")  # about bound labels at most
     return rows.withColumn("half", F.pmod(F.xxhash64(F.substring("text", 1, 200)), F.lit(2)).cast("int"))
 
 
@@ -176,20 +189,18 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Lexi
 
     Without labels of both kinds it is the prior. A text labelled both ways counts as toxic.
     """
-    rows = labelled_sample(docs, labels, bound)
+    rows = cut(labelled_sample(docs, labels, bound))
     size = {(r.half, r.toxic): r.n for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
-    if not (size.get((0, 1), 0) + size.get((1, 1), 0)) or not (size.get((0, 0), 0) + size.get((1, 0), 0)):
+    total = size.get((0, 1), 0) + size.get((1, 1), 0)
+    if not total or not (size.get((0, 0), 0) + size.get((1, 0), 0)):
         return Lexicon()
-    counted = rows.mapInArrow(_count, "half int, toxic int, term string, texts long, lefts array<long>")
-    by_term = counted.groupBy("term").agg(
-        *[F.sum(F.when((F.col("half") == h) & (F.col("toxic") == y), F.col("texts"))).alias(f"n{h}{y}") for h in (0, 1) for y in (0, 1)],
-        *[F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("half") == h, F.col("lefts")))))).alias(f"left{h}") for h in (0, 1)],
-    )
     # entries need MIN_SHARE of the toxic texts, so at most (stems per text / MIN_SHARE) of them come here
-    total = size.get((0, 1), 0) + size.get((1, 1), 0)
     smallest = min(max(MIN_SUPPORT, MIN_SHARE * n) for n in (size.get((0, 1), 0), size.get((1, 1), 0), total))
-    kept = by_term.where(F.coalesce("n01", F.lit(0)) + F.coalesce("n11", F.lit(0)) >= smallest).collect()
-    counts = {(h, y): Counter({r.term: r[f"n{h}{y}"] or 0 for r in kept}) for h in (0, 1) for y in (0, 1)}
+    found = rows.where("toxic = 1").mapInArrow(_toxic_terms, "half int, term string, texts long, lefts array<long>").groupBy("term")
+    found = found.agg(*[F.coalesce(F.sum(F.when(F.col("half") == h, F.col("texts"))), F.lit(0)).alias(f"n{h}") for h in (0, 1)], *[F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("half") == h, F.col("lefts")))))).alias(f"left{h}") for h in (0, 1)])
+    kept = found.where((F.col("n0") + F.col("n1") >= smallest) & (F.col("left0") + F.col("left1") >= smallest)).collect()
+    others = rows.where("toxic = 0").mapInArrow(_clean_terms(frozenset(r.term for r in kept)), "half int, term string, texts long").groupBy("half", "term").agg(F.sum("texts").alias("n")).collect()
+    counts = {(h, 1): Counter({r.term: r[f"n{h}"] for r in kept}) for h in (0, 1)} | {(h, 0): Counter({r.term: r.n for r in others if r.half == h}) for h in (0, 1)}
     lefts = {h: {r.term: r[f"left{h}"] for r in kept} for h in (0, 1)}
     half = {h: _pick(counts[h, 1], counts[h, 0], lefts[h], size.get((h, 1), 0), size.get((h, 0), 0)) for h in (0, 1)}
     whole = _pick(counts[0, 1] + counts[1, 1], counts[0, 0] + counts[1, 0], {t: lefts[0][t] + lefts[1][t] for t in lefts[0]}, total, size.get((0, 0), 0) + size.get((1, 0), 0))
