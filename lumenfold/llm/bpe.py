@@ -27,8 +27,8 @@ from lumenfold.llm.words import pieces
 
 #: Texts are handled in pieces of about so many characters, cut before white space.
 PIECE = 1 << 20
-#: Words and pair verdicts remembered by a worker before it starts afresh.
-MAX_WORDS, MAX_PAIRS = 500_000, 4_000_000
+#: Words of each of two generations, and pair verdicts, that a worker remembers.
+MAX_WORDS, MAX_PAIRS = 100_000, 4_000_000
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CUT = regex.compile(f"(?=[{_BLANK}])")
 
@@ -72,6 +72,7 @@ class WordBpe:
                 self._reach[t[:3]] = max(len(t), self._reach.get(t[:3], 0))
         self._codes, self._verdicts = np.zeros(0, np.int64), np.zeros(0, bool)
         self._words: dict[str, tuple[str, str, int]] = {}
+        self._older: dict[str, tuple[str, str, int]] = {}
         self.proposed = self.failed = 0
 
     def _symbols(self, token: str) -> list[int]:
@@ -193,12 +194,16 @@ class WordBpe:
         yield False, text[at:]
 
     def learn(self, words: set[str]) -> None:
-        """Encode what isn't remembered of a batch of words."""
-        memory = self._words
-        new = [w for w in words if w not in memory]
-        if len(memory) + len(new) > MAX_WORDS:
-            memory.clear()
-            new = list(words)
+        """Encode what isn't remembered of a batch of words. Words unused for MAX_WORDS others are forgotten."""
+        if len(self._words) > MAX_WORDS:
+            self._words, self._older = {}, self._words
+        memory, older, new = self._words, self._older, []
+        for w in words:
+            if w not in memory:
+                if w in older:
+                    memory[w] = older[w]
+                else:
+                    new.append(w)
         if new:
             letters = self._letters
             lettered = [w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in new]
@@ -293,7 +298,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for part in pieces(batch, limit=2 << 20):
+            for part in pieces(batch, limit=1 << 20):
                 out = [_joined(p) for p in bpe.stream_batch(part.column("text").fill_null("").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out]), pa.array([r[2] for r in out])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -307,7 +312,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for part in pieces(batch, limit=2 << 20):
+            for part in pieces(batch, limit=1 << 20):
                 ids = [bpe.ids(p) for p in bpe.stream_batch(part.column("text").fill_null("").to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.plain(i) for i in ids])], [*part.schema.names, "token_ids", "decoded"])
 

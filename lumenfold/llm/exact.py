@@ -81,19 +81,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts, all columns as they were."""
     keys = ["doc_id", "text_sha256"]
     found = cut(exact_duplicates(docs).groupBy(*keys).agg(F.count_if("kept").alias("stay"), F.count_if(~F.col("kept")).alias("go")))
-    keyed = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
+    # whole rows travel in a struct, so that no column of docs meets a name used here
+    rows = docs.select(F.struct("*").alias("doc"), F.sha2(normalised(F.col("text")), 256).alias("sha"))
 
     def match(side: DataFrame, how: str, rows: DataFrame) -> DataFrame:
         other = side.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_other"))
-        return rows.join(other, rows["doc_id"].eqNullSafe(other["_id"]) & (rows["_sha"] == other["_other"]), how)
+        return rows.join(other, F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_other")), how)
 
-    left = match(found.where("stay = 0"), "left_anti", keyed)
+    left = match(found.where("stay = 0"), "left_anti", rows)
     repeated = found.where("stay > 0 and go > 0")  # rows that repeat a doc_id and its text: one of them stays
     if not repeated.isEmpty():
-        one = Window.partitionBy("doc_id", "_sha").orderBy(F.desc(F.char_length("text")))
-        first = match(repeated, "left_semi", left).withColumn("_first", F.row_number().over(one)).where("_first = 1").drop("_first")
+        one = Window.partitionBy("doc.doc_id", "sha").orderBy(F.desc(F.char_length("doc.text")))
+        first = match(repeated, "left_semi", left).withColumn("first", F.row_number().over(one)).where("first = 1").drop("first")
         left = match(repeated, "left_anti", left).unionByName(first)
-    return left.drop("_sha")
+    return left.select("doc.*")
 
 
 ORACLE_SQL = """

@@ -16,6 +16,8 @@ from lumenfold.runtime import cut
 SEED = 17
 #: The source table is broadcast up to this many (source, distribution) rows; larger ones are shuffled.
 BROADCAST_SOURCES = 10_000
+#: Columns that mix() adds; they replace columns of these names.
+ADDED = ("copy_no", "rate", "shuffle_key")
 
 
 def uniform(*parts: Column) -> Column:
@@ -65,13 +67,15 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, total: int | None = N
     table = cut(rates(docs, weights, total, source).withColumn("_cdf", F.when(F.col("rate") > 0, poisson_distribution(F.col("rate"))).otherwise(F.array(F.lit(2.0)))))
     if table.count() <= BROADCAST_SOURCES:
         table = F.broadcast(table)
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    u = uniform(F.lit(seed), key)
-    joined = docs.join(table, docs[source].eqNullSafe(table["_source"])).withColumn("_u", u)
-    counted = joined.withColumn("_n", F.size(F.filter("_cdf", lambda c: c < F.col("_u")))).where("_n > 0")
-    copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("_n"))))
+    # whole rows travel in a struct, so that no column of docs meets a name used here
+    key = F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("null"))
+    rows = docs.select(F.struct("*").alias("doc"))
+    joined = rows.join(table, F.col(f"doc.{source}").eqNullSafe(F.col("_source"))).withColumn("u", uniform(F.lit(seed), key))
+    counted = joined.withColumn("n", F.size(F.filter("_cdf", lambda c: c < F.col("u")))).where("n > 0")
+    copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n"))))
     copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("copy_no").cast("string"))))
-    return copies.select(*docs.columns, "copy_no", "rate", "shuffle_key").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    own = [F.col("doc").getField(c).alias(c) for c in docs.columns if c.lower() not in ADDED]
+    return copies.select(*own, *ADDED).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 def mixture_sql(columns: str = "doc_id, text, lang, source, n_chars", table: str = "documents", seed: int = SEED) -> str:

@@ -116,7 +116,7 @@ def shingle_sets(texts: pa.Array, width: int = 5) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
-def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batch: pa.RecordBatch, column: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in runs of rows whose texts take about limit bytes, so that working arrays stay small."""
     if not batch.num_rows:
         return
