@@ -141,12 +141,13 @@ def known_boundary(df: DataFrame, score: str, minimum: float, larger_is_known: b
 
 def open_set_threshold(df: DataFrame, known: str, distance: str, minimum: float, by: list[str] = ()) -> DataFrame:
     """by, threshold, known_acceptance, unknown_recall, balanced: the largest balanced accuracy of distance <= threshold
-    among thresholds at known rows' or unknown rows' distances that accept the minimum of known rows (ties: smaller)."""
+    among thresholds at known rows' or unknown rows' distances that accept the minimum of known rows; ties go to the larger
+    unknown recall, then the larger acceptance, then the smaller threshold."""
     points = curve(df.select(*by, F.col(known).cast("int").alias("_y"), (-F.col(distance)).alias("_s")), "_y", "_s", list(by))
     acceptance, recall = ratio(F.col("tp"), F.col("positives")), 1 - ratio(F.col("fp"), F.col("negatives"))
     rows = points.select(*by, (-F.col("score")).alias("threshold"), acceptance.alias("known_acceptance"), recall.alias("unknown_recall"), ((acceptance + recall) / 2).alias("balanced"))
     rows = rows.where(F.col("known_acceptance") >= minimum - 1e-12)
-    key = F.struct("balanced", "known_acceptance", (-F.col("threshold")).alias("t"))
+    key = F.struct(F.round("balanced", 12).alias("b"), F.round("unknown_recall", 12).alias("u"), "known_acceptance", (-F.col("threshold")).alias("t"))
     return rows.groupBy(*by).agg(F.max_by(F.struct("threshold", "known_acceptance", "unknown_recall", "balanced"), key).alias("r")).select(*by, "r.*")
 
 

@@ -75,7 +75,7 @@ def known_only_threshold(spark, sf_dir):
 _OPEN = """
 op AS (SELECT {by} dist AS t, count(*) FILTER (WHERE known) OVER w AS a, count(*) FILTER (WHERE NOT known) OVER w AS u, count(*) FILTER (WHERE known) OVER p AS na, count(*) FILTER (WHERE NOT known) OVER p AS nu FROM obs WINDOW w AS (PARTITION BY {part} ORDER BY dist RANGE UNBOUNDED PRECEDING), p AS (PARTITION BY {part})),
 oq AS (SELECT *, CASE WHEN na = 0 THEN 0.0 ELSE a::DOUBLE / na END AS acc, 1 - CASE WHEN nu = 0 THEN 0.0 ELSE u::DOUBLE / nu END AS rec FROM op),
-best AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY (acc + rec) / 2 DESC, acc DESC, t) AS place FROM oq WHERE acc >= 0.8 - 1e-12)"""
+best AS (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY round((acc + rec) / 2, 12) DESC, round(rec, 12) DESC, acc DESC, t) AS place FROM oq WHERE acc >= 0.8 - 1e-12)"""
 _OBS = f"{SCORED}, obs AS (SELECT lang, source, toxic = 0 AS known, score AS dist FROM scored)"
 
 
