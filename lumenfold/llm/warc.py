@@ -44,10 +44,14 @@ def surt(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + (path if path.startswith("/") else f"/{path}")
 
 
+def target(url: str | None) -> str:
+    """The URL as it stands in a record: blanks and control characters escaped, about:blank for none."""
+    return "about:blank" if url is None else "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url)
+
+
 def capture_key(url: str | None, page_id: int | None) -> str:
-    """The sort key of a capture; control characters and blanks of the URL are escaped."""
-    plain = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in surt(url))
-    return f"{plain} {-1 if page_id is None else page_id:020d}"
+    """The sort key of a capture, from the URL as archived."""
+    return f"{surt(target(url))} {-1 if page_id is None else page_id:020d}"
 
 
 def gzip_member(data: bytes, level: int = 6) -> bytes:
@@ -60,11 +64,10 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
 
 def record(kind: str, page_id: int | None, url: str | None, payload: bytes, digest: bytes, refers_to: int | None, date: str) -> bytes:
     """One record: a response with HTTP header and payload, or a revisit with the HTTP header only."""
-    target = "".join(c if c > " " else f"%{ord(c):02X}" for c in (url or "about:blank"))
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + payload if kind == "response" else http
     head = [
-        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {target}",
+        "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:page:{'none' if page_id is None else page_id}>", f"WARC-Date: {date}", f"WARC-Target-URI: {target(url)}",
         f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}",
     ]
     if kind == "revisit":
@@ -181,7 +184,7 @@ class CaptureIndex:
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            found = [(capture_key(None if (u := r.headers["warc-target-uri"]) == "about:blank" else u, r.page()), path, r.offset, r.length) for r in records(content.as_py())]
+            found = [(capture_key(r.headers["warc-target-uri"], r.page()), path, r.offset, r.length) for r in records(content.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)] if found else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())], ["key", "file", "offset", "length"])
 
 
