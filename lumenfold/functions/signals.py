@@ -265,3 +265,39 @@ def clopper_pearson(successes: pd.Series, total: pd.Series) -> pd.DataFrame:
         else:
             rows.append((0.0 if k == 0 else beta_quantile(0.025, k, n - k + 1), 1.0 if k == n else beta_quantile(0.975, k + 1, n - k)))
     return pd.DataFrame(rows, columns=["low", "high"])
+
+
+def mel_filters(rate: int, n_fft: int, mels: int, low: float = 0.0, high: float | None = None) -> np.ndarray:
+    """Triangular filters, mels x (n_fft / 2 + 1), evenly spaced on the mel scale."""
+    to_mel = lambda f: 2595.0 * np.log10(1 + np.asarray(f) / 700.0)
+    points = 700.0 * (10 ** (np.linspace(to_mel(low), to_mel(high or rate / 2), mels + 2) / 2595.0) - 1)
+    f = np.fft.rfftfreq(n_fft, 1 / rate)
+    up = (f[None] - points[:-2, None]) / np.maximum(points[1:-1] - points[:-2], 1e-12)[:, None]
+    down = (points[2:, None] - f[None]) / np.maximum(points[2:] - points[1:-1], 1e-12)[:, None]
+    return np.maximum(0.0, np.minimum(up, down))
+
+
+def dct_matrix(coefficients: int, mels: int) -> np.ndarray:
+    """The orthonormal DCT-II, coefficients x mels."""
+    k, n = np.arange(coefficients)[:, None], np.arange(mels)[None]
+    return np.cos(np.pi * k * (2 * n + 1) / (2 * mels)) * np.sqrt(2 / mels) * np.where(k == 0, np.sqrt(0.5), 1.0)
+
+
+def log_mel(rate: int, mels: int = 64, n_fft: int = 512, hop: int = 160, coefficients: int | None = None):
+    """A pandas UDF: standardised log-mel frames (or their first DCT coefficients), frames x features."""
+    filters, window = mel_filters(rate, n_fft, mels), np.hanning(n_fft)
+    dct = dct_matrix(coefficients, mels) if coefficients else None
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
+    def run(samples: pd.Series) -> pd.Series:
+        out = []
+        for s in samples:
+            x = np.asarray(s, float)
+            x = np.pad(x, (0, max(0, n_fft - len(x))))
+            frames = np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop] * window
+            v = np.log(np.abs(np.fft.rfft(frames)) ** 2 @ filters.T + 1e-10)
+            v = v if dct is None else v @ dct.T
+            out.append(((v - v.mean()) / max(v.std(), 1e-6)).astype(np.float32).tolist())
+        return pd.Series(out)
+
+    return run

@@ -93,3 +93,9 @@ def first_hash_wins(frames: list[DataFrame], content: str) -> DataFrame:
         every = g if every is None else every.unionByName(g, allowMissingColumns=True)
     own = Window.partitionBy(content).orderBy("_f", F.xxhash64(*[c for c in every.columns if c != "_f"]))
     return every.withColumn("_r", F.row_number().over(own)).where("_r = 1").drop("_r", "_f")
+
+
+def label_conflict_count(df: DataFrame, content: str, label: str) -> DataFrame:
+    """One row, cross_label_groups: contents with more than one label."""
+    each = df.where(F.col(content).isNotNull()).groupBy(content).agg(F.count_distinct(label).alias("k"))
+    return each.agg(F.count_if(F.col("k") > 1).alias("cross_label_groups"))

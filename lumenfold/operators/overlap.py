@@ -91,3 +91,11 @@ def zip_by_rank(left: DataFrame, right: DataFrame, left_order: list, right_order
 def condition_grid(df: DataFrame, name: str, values: list[float]) -> DataFrame:
     """Every row under every condition of a fixed list."""
     return df.withColumn(name, F.explode(F.array(*[F.lit(float(v)) for v in values])))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join that fails where either side repeats a key, or a left row finds no partner."""
+    sizes = left.groupBy(*keys).agg(F.count("*").alias("_l"))
+    checked = many_to_one(left.join(sizes, keys), right.withColumn("_r", F.lit(1)), keys)
+    fine = (F.col("_l") == 1) & F.col("_r").isNotNull()
+    return checked.where(F.when(fine, True).otherwise(F.raise_error(F.lit("the sides don't match one to one")).cast("boolean"))).drop("_l", "_r")

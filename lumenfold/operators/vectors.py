@@ -254,3 +254,62 @@ def hierarchical_decision(detector: Column, confidence: Column, predicted: Colum
     """struct(decision, class): background, unknown or known; the class only where known."""
     decision = F.when(detector < threshold, "background").when(confidence < known, "unknown").otherwise("known")
     return F.struct(decision.alias("decision"), F.when((detector >= threshold) & (confidence >= known), predicted).alias("class"))
+
+
+def save_boundary(boundary: Boundary, spark, path: str, identity: str) -> None:
+    """The boundary as a Parquet table of its parts, bound to the identity (a digest) of what it was fitted on."""
+    rows = [("classes", [float(c) for c in boundary.classes], [len(boundary.classes)])]
+    rows += [(n, getattr(boundary, n).ravel().tolist(), list(getattr(boundary, n).shape)) for n in ("mean", "components", "centres", "precisions")]
+    df = spark.createDataFrame(rows, "part string, numbers array<double>, shape array<int>").withColumn("identity", F.lit(identity))
+    df.coalesce(1).write.mode("errorifexists").parquet(path)
+
+
+def load_boundary(spark, path: str, identity: str) -> Boundary:
+    """The boundary, if it is bound to the identity."""
+    rows = {r.part: r for r in spark.read.parquet(path).collect()}
+    if {r.identity for r in rows.values()} != {identity}:
+        raise ValueError("the boundary belongs to another fit")
+    get = lambda n: np.array(rows[n].numbers).reshape(rows[n].shape)
+    return Boundary([int(c) for c in rows["classes"].numbers], get("mean"), get("components"), get("centres"), get("precisions"))
+
+
+def masked_softmax(logits: Column, mask: Column) -> Column:
+    """Softmax over the entries whose mask is true; the others are 0; all masked: zeros."""
+    kept = F.zip_with(logits, mask, lambda x, m: F.when(m, x.cast("double")))
+    top = F.array_max(kept)
+    e = F.transform(kept, lambda x: F.when(x.isNotNull(), F.exp(x - top)).otherwise(0.0))
+    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+    return F.transform(e, lambda x: F.when(total > 0, x / total).otherwise(0.0))
+
+
+@dataclass
+class LinearHead:
+    """Standardisation and weights of a logistic outlier head."""
+
+    mean: list[float]
+    scale: list[float]
+    weights: list[float]
+    intercept: float
+
+
+def fit_linear_head(df: DataFrame, vector: str, label: str, regularisation: float = 0.1) -> LinearHead:
+    """A class-balanced logistic regression on standardised vectors, by Spark's own solver."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import StandardScaler
+    from pyspark.ml.functions import array_to_vector
+
+    sizes = {r[0]: r[1] for r in df.groupBy(label).agg(F.count("*")).collect()}
+    total = sum(sizes.values())
+    weight = F.coalesce(*[F.when(F.col(label) == y, total / (len(sizes) * n)) for y, n in sizes.items()])
+    rows = df.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("x"), F.col(label).cast("double").alias("y"), weight.alias("w"))
+    scaler = StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True).fit(rows)
+    model = LogisticRegression(featuresCol="z", labelCol="y", weightCol="w", regParam=regularisation, standardization=False, maxIter=100).fit(scaler.transform(rows))
+    return LinearHead(scaler.mean.toArray().tolist(), np.maximum(scaler.std.toArray(), 1e-12).tolist(), model.coefficients.toArray().tolist(), float(model.intercept))
+
+
+def head_score(head: LinearHead, vector: Column) -> Column:
+    """The head's probability of label 1, by dot products."""
+    w = np.array(head.weights) / np.array(head.scale)
+    offset = head.intercept - float(w @ np.array(head.mean))
+    z = dot(F.array(*[F.lit(float(x)) for x in w]), vector) + offset
+    return F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))

@@ -59,3 +59,25 @@ def finite(c: str | Column, what: str = "value") -> Column:
     number = col(c).cast("double")
     bad = number.isNull() | F.isnan(number) | (F.abs(number) == float("inf"))
     return F.when(~bad, number).otherwise(F.raise_error(F.lit(f"{what} is not finite")).cast("double"))
+
+
+def adapt(df: DataFrame, columns: dict[str, str | Column], constants: dict[str, object] | None = None) -> DataFrame:
+    """A table in a common layout: new name -> old name or expression, and constant columns."""
+    return df.select(*[col(c).alias(n) for n, c in columns.items()], *[F.lit(v).alias(n) for n, v in (constants or {}).items()])
+
+
+def starts_with_any(c: str | Column, prefixes: Iterable[str]) -> Column:
+    """Whether the text begins with one of the prefixes; null and no prefixes: false."""
+    out = F.lit(False)
+    for p in prefixes:
+        out = out | F.coalesce(col(c).startswith(p), F.lit(False))
+    return out
+
+
+def contains_key(value: object, forbidden: set[str]) -> bool:
+    """Whether a nested configuration has one of the keys or text values (lower case) anywhere."""
+    if isinstance(value, dict):
+        return any(str(k).lower() in forbidden or contains_key(v, forbidden) for k, v in value.items())
+    if isinstance(value, list | tuple):
+        return any(contains_key(v, forbidden) for v in value)
+    return isinstance(value, str) and value.lower() in forbidden
