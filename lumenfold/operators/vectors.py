@@ -81,55 +81,60 @@ def nearest_prototype(df: DataFrame, vector: str, protos: DataFrame, label: str)
     return scored.withColumn("_b", best).withColumn("predicted", F.col("_b.c")).withColumn("similarity", F.col("_b.s")).drop("_all", "_b")
 
 
-def class_knn(queries: DataFrame, references: DataFrame, key: str, predicted: str, label: str, vector: str, k: int) -> DataFrame:
-    """key, score: the mean of the k largest cosines to references of the predicted class, mapped to [0, 1].
-
-    The references of a class meet its queries in numpy blocks, so rows are never multiplied.
-    """
-    both = references.select(F.col(label).alias("c"), F.lit(None).cast("long").alias("k"), F.col(vector).alias("v")).unionByName(queries.select(F.col(predicted).alias("c"), F.col(key).cast("long").alias("k"), F.col(vector).alias("v")))
-
-    def score(rows: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(rows["v"].to_numpy()).astype(float)
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
-        ref, ask = v[rows["k"].isna()], v[rows["k"].notna()]
-        if not len(ref) or not len(ask):
-            return pd.DataFrame({"k": pd.Series(dtype="int64"), "s": pd.Series(dtype=float)})
-        n = min(k, len(ref))
-        out = [np.partition(ask[a : a + 1024] @ ref.T, len(ref) - n, axis=1)[:, len(ref) - n :].mean(1) for a in range(0, len(ask), 1024)]
-        return pd.DataFrame({"k": rows["k"].dropna().astype("int64"), "s": (np.concatenate(out) + 1) / 2})
-
-    return both.groupBy("c").applyInPandas(score, "k long, s double").select(F.col("k").alias(key), F.col("s").alias("score"))
-
-
-def cosine_topk(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int, block: int = 4096) -> DataFrame:
-    """key, place, neighbour, similarity: exact nearest references of each query, itself excluded.
-
-    References are dealt into blocks; every block meets the queries in numpy and sends its own k best.
-    """
-    q = queries.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"))
-    many = max(1, -(-references.count() // block))
-    r = references.select(F.col(key).cast("long").alias("key"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(many)).alias("b"))
-    qs = q.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(many - 1).cast("long"))))
-
-    def local(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+def _meet(queries: DataFrame, references: DataFrame, on: list[str], block: int = 4096):
+    """Queries and references (each with key, v and the columns on) cogrouped so that every pair that agrees on on
+    meets once, in groups of about block queries and block references at most, however common a value is."""
+    sizes = queries.groupBy(*on).agg(F.ceil(F.count("*") / block).alias("_qn")).join(references.groupBy(*on).agg(F.ceil(F.count("*") / block).alias("_rn")), on)
+    deal = lambda n: F.pmod(F.xxhash64("key"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    q = queries.join(sizes, on).withColumn("_q", deal("_qn")).withColumn("_r", every("_rn")).drop("_qn", "_rn")
+    r = references.join(sizes, on).withColumn("_r", deal("_rn")).withColumn("_q", every("_qn")).drop("_qn", "_rn")
+    keys = [*on, "_q", "_r"]
+    return q.groupBy(*keys).cogroup(r.groupBy(*keys))
+
+
+def _best_of_block(k: int):
+    """key, neighbour, s: a block's k largest cosines of each query, itself excluded."""
+
+    def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"key": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "s": pd.Series(dtype=float)})
         x, y = (np.stack(f["v"].to_numpy()).astype(float) for f in (a, b))
         x, y = x / np.linalg.norm(x, axis=1, keepdims=True), y / np.linalg.norm(y, axis=1, keepdims=True)
-        out = []
-        names = b["key"].to_numpy()
+        out, own, names = [], a["key"].to_numpy(), b["key"].to_numpy()
         for i in range(0, len(x), 1024):
             s = x[i : i + 1024] @ y.T
-            s[a["key"].to_numpy()[i : i + 1024, None] == names[None, :]] = -np.inf
+            s[own[i : i + 1024, None] == names[None, :]] = -np.inf
             n = min(k + 1, s.shape[1])
             top = np.argpartition(-s, n - 1, axis=1)[:, :n]
-            out.append(pd.DataFrame({"key": np.repeat(a["key"].to_numpy()[i : i + 1024], n), "neighbour": names[top].ravel(), "s": np.take_along_axis(s, top, 1).ravel()}))
+            out.append(pd.DataFrame({"key": np.repeat(own[i : i + 1024], n), "neighbour": names[top].ravel(), "s": np.take_along_axis(s, top, 1).ravel()}))
         found = pd.concat(out)
         return found[np.isfinite(found["s"])]
 
-    found = qs.groupBy("b").cogroup(r.groupBy("b")).applyInPandas(local, "key long, neighbour long, s double")
+    return run
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc(F.round("s", 9)), "neighbour"))
-    return found.withColumn("place", place).where(F.col("place") <= k).select(F.col("key").alias(key), "place", "neighbour", F.col("s").alias("similarity"))
+    return found.withColumn("place", place).where(F.col("place") <= k)
+
+
+def class_knn(queries: DataFrame, references: DataFrame, key: str, predicted: str, label: str, vector: str, k: int) -> DataFrame:
+    """key, score: the mean of the k largest cosines to references of the predicted class, mapped to [0, 1]."""
+    q = queries.select(F.col(predicted).alias("c"), F.col(key).cast("long").alias("key"), F.col(vector).alias("v"))
+    r = references.select(F.col(label).alias("c"), F.col(key).cast("long").alias("key"), F.col(vector).alias("v"))
+    found = _meet(q, r, ["c"]).applyInPandas(_best_of_block(k), "key long, neighbour long, s double")
+    return _ranked(found, k).groupBy(F.col("key").alias(key)).agg(((F.avg("s") + 1) / 2).alias("score"))
+
+
+def cosine_topk(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int) -> DataFrame:
+    """key, place, neighbour, similarity: exact nearest references of each query, itself excluded.
+
+    Every block of references meets every block of queries in numpy and sends its own k best.
+    """
+    q, r = (d.select(F.lit(0).alias("c"), F.col(key).cast("long").alias("key"), F.col(vector).alias("v")) for d in (queries, references))
+    found = _meet(q, r, ["c"]).applyInPandas(_best_of_block(k), "key long, neighbour long, s double")
+    return _ranked(found, k).select(F.col("key").alias(key), "place", "neighbour", F.col("s").alias("similarity"))
 
 
 def planes(tables: int, bits: int, dims: int, seed: int) -> np.ndarray:
@@ -155,26 +160,24 @@ def lsh_signatures(df: DataFrame, key: str, vector: str, dims: int, tables: int
 def lsh_nearest(queries: DataFrame, references: DataFrame, key: str, vector: str, dims: int, tables: int = 8, bits: int = 18, seed: int = 20260804) -> DataFrame:
     """key, neighbour, similarity, comparisons: the best reference that shares a signature with the query (null if none).
 
-    A bucket's references and queries meet in one task in numpy blocks; only one candidate per query and bucket leaves it.
+    A signature's references and queries meet in numpy blocks; one candidate per query and block leaves them.
     """
-    both = lsh_signatures(references, key, vector, dims, tables, bits, seed).withColumn("q", F.lit(False)).unionByName(lsh_signatures(queries, key, vector, dims, tables, bits, seed).withColumn("q", F.lit(True)))
-    busy = both.groupBy("table", "signature").agg(F.bool_or("q").alias("a"), F.bool_or(~F.col("q")).alias("b")).where("a and b").select("table", "signature")
-    both = both.join(busy, ["table", "signature"]).withColumnRenamed(key, "k")
-
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack(rows["vector"].to_numpy())
-        q = rows["q"].to_numpy()
-        ref, names = v[~q], rows["k"].to_numpy()[~q]
-        order = np.argsort(names, kind="stable")
-        ref, names = ref[order], names[order]
-        out = []
-        for a in range(0, int(q.sum()), 1024):
-            s = np.round(v[q][a : a + 1024] @ ref.T, 12)
+
+    def signed(df: DataFrame) -> DataFrame:
+        return lsh_signatures(df, key, vector, dims, tables, bits, seed).select(F.col(key).cast("long").alias("key"), F.col("vector").alias("v"), "table", "signature")
+
+    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({"k": pd.Series(dtype="int64"), "neighbour": pd.Series(dtype="int64"), "similarity": pd.Series(dtype=float), "comparisons": pd.Series(dtype="int64")})
+        b = b.sort_values("key", kind="stable")
+        ref, names, out = np.stack(b["v"].to_numpy()), b["key"].to_numpy(), []
+        for i in range(0, len(a), 1024):
+            s = np.round(np.stack(a["v"].to_numpy()[i : i + 1024]) @ ref.T, 12)
             top = s.argmax(1)
-            out.append(pd.DataFrame({"k": rows["k"].to_numpy()[q][a : a + 1024], "neighbour": names[top], "similarity": np.take_along_axis(s, top[:, None], 1)[:, 0], "comparisons": len(names)}))
+            out.append(pd.DataFrame({"k": a["key"].to_numpy()[i : i + 1024], "neighbour": names[top], "similarity": np.take_along_axis(s, top[:, None], 1)[:, 0], "comparisons": len(names)}))
         return pd.concat(out)
 
-    found = both.groupBy("table", "signature").applyInPandas(best, "k long, neighbour long, similarity double, comparisons long")
+    found = _meet(signed(queries), signed(references), ["table", "signature"]).applyInPandas(best, "k long, neighbour long, similarity double, comparisons long")
     sums = found.groupBy("k").agg(F.max_by("neighbour", F.struct("similarity", (-F.col("neighbour")).alias("n"))).alias("neighbour"), F.max("similarity").alias("similarity"), F.sum("comparisons").alias("comparisons"))
     return queries.select(F.col(key).cast("long").alias(key)).join(sums, F.col(key) == F.col("k"), "left").select(key, "neighbour", "similarity", F.coalesce("comparisons", F.lit(0)).alias("comparisons"))
 
@@ -190,8 +193,8 @@ class Boundary:
     precisions: np.ndarray
 
 
-def _moments(df: DataFrame, vector: str, by: list[str]) -> list:
-    """n, sum and matrix of products by group, from per-partition sums; a group's moments are a few kilobytes."""
+def _moments(df: DataFrame, vector: str, by: str) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:
+    """class -> n, sum and matrix of products, from per-partition sums added up entry by entry."""
 
     def local(batches):
         held: dict = {}
@@ -200,32 +203,36 @@ def _moments(df: DataFrame, vector: str, by: list[str]) -> list:
                 x = np.stack(g["v"].to_numpy()).astype(float)
                 n, s, m = held.get(c, (0, 0.0, 0.0))
                 held[c] = (n + len(x), s + x.sum(0), m + x.T @ x)
-        if held:
-            yield pd.DataFrame([(c, n, s.tolist(), m.ravel().tolist()) for c, (n, s, m) in held.items()], columns=["c", "n", "s", "m"])
+        for c, (n, s, m) in held.items():
+            x = np.concatenate([[n], s, m.ravel()])
+            yield pd.DataFrame({"c": c, "i": np.arange(len(x)), "x": x})
 
-    rows = df.select((F.col(by[0]) if by else F.lit(0)).cast("int").alias("c"), F.col(vector).alias("v"))
-    part = rows.mapInPandas(local, "c int, n long, s array<double>, m array<double>")
-    plus = lambda c: F.transform(F.array_agg(c), lambda x: x)
-    return part.groupBy("c").agg(F.sum("n").alias("n"), plus("s").alias("s"), plus("m").alias("m")).orderBy("c").collect()
+    rows = df.select(F.col(by).cast("int").alias("c"), F.col(vector).alias("v")).mapInPandas(local, "c int, i int, x double")
+    sums = rows.groupBy("c", "i").agg(F.sum("x").alias("x")).orderBy("c", "i").toPandas()  # classes x (dims + 1)^2 or so
+    out = {}
+    for c, g in sums.groupby("c"):
+        x = g["x"].to_numpy()
+        d = int((np.sqrt(4 * len(x) - 3) - 1) / 2)
+        out[int(c)] = (int(x[0]), x[1 : d + 1], x[d + 1 :].reshape(d, d))
+    return out
 
 
 def fit_boundary(df: DataFrame, vector: str, label: str, components: int) -> Boundary:
     """PCA of all vectors, and an OAS-shrunk Gaussian per class in the projected space."""
-    rows = _moments(df, vector, [label])
-    stats = {r.c: (r.n, np.sum([np.array(x) for x in r.s], 0), np.sum([np.array(x) for x in r.m], 0)) for r in rows}
+    stats = _moments(df, vector, label)
     if any(n < 2 for n, _, _ in stats.values()):
         raise ValueError("every class needs at least two vectors")
     d = len(next(iter(stats.values()))[1])
     total = sum(n for n, _, _ in stats.values())
     mean = sum(s for _, s, _ in stats.values()) / total
-    scatter = sum(m for _, _, m in stats.values()).reshape(d, d) / total - np.outer(mean, mean)
+    scatter = sum(m for _, _, m in stats.values()) / total - np.outer(mean, mean)
     values, vectors = np.linalg.eigh(scatter)
     axes = vectors[:, np.argsort(values)[::-1][:components]].T
     axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
     centres, precisions = [], []
     for n, s, m in stats.values():
         mu = s / n
-        cov = axes @ (m.reshape(d, d) / n - np.outer(mu, mu)) @ axes.T
+        cov = axes @ (m / n - np.outer(mu, mu)) @ axes.T
         p = len(cov)
         spread, square = np.trace(cov) / p, (cov**2).mean()
         top, bottom = square + spread**2, (n + 1.0) * (square - spread**2 / p)
