@@ -46,7 +46,7 @@ def report_rows(df: DataFrame) -> DataFrame:
 
 def column_union(frames: list[DataFrame]) -> DataFrame:
     """All rows under the union of the columns, in the order they first appear."""
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.select("*") for f in frames])
 
 
 def markdown_table(df: DataFrame, limit: int = 200) -> str:
