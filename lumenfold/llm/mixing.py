@@ -52,10 +52,10 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, total: int | None =
         given = weights.select(F.col("source").alias("_given"), F.col("weight").cast("double").alias("weight"))
         sizes = sizes.join(given, F.col("_source").eqNullSafe(F.col("_given")), "left").drop("_given")
         sizes = sizes.withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    sums = sizes.agg(F.sum("weight").alias("_all"), F.sum("rows").alias("_rows"))
-    aim = F.lit(float(total)) if total is not None else F.col("_rows").cast("double")
-    sizes = sizes.crossJoin(F.broadcast(sums))  # one row of sums
-    return sizes.select("_source", "rows", F.coalesce(F.try_divide(F.col("weight") * aim, F.col("_all") * F.col("rows")), F.lit(0.0)).alias("rate"))
+    sizes = cut(sizes)  # one row a source
+    sums = sizes.agg(F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    aim = F.lit(float(sums.rows if total is None else total))
+    return sizes.select("_source", "rows", F.coalesce(F.try_divide(F.col("weight") * aim, F.lit(sums.weight) * F.col("rows")), F.lit(0.0)).alias("rate"))
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, seed: int = SEED, source: str = "source") -> DataFrame:
