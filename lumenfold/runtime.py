@@ -46,6 +46,12 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lumenfold/{name}-{uuid.uuid4().hex}"
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a written table that nothing reads any more, in whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the rows live in the shared folder, so no executor's loss loses them."""
     shared_dir(df.sparkSession)
