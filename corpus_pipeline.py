@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.llm import bpe, exact, minhash, mixing, toxicity
 from lumenfold.llm.queries import tokenizer_path
-from lumenfold.runtime import scratch, table
+from lumenfold.runtime import discard, scratch, table
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +48,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over the documents; what a stage returns is written to the shared folder for the next."""
     docs = table(spark, sf_dir, "documents")
     where = scratch(spark, "pipeline")
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
         docs = spark.read.parquet(f"{where}/{name}")
+        if before:
+            discard(spark, before)
+        before = f"{where}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
