@@ -28,7 +28,7 @@ from lumenfold.llm.words import pieces
 #: Texts are handled in pieces of about so many characters, cut before white space.
 PIECE = 1 << 20
 #: Words of each of two generations, and pair verdicts, that a worker remembers.
-MAX_WORDS, MAX_PAIRS = 100_000, 4_000_000
+MAX_WORDS, MAX_PAIRS = 150_000, 4_000_000
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CUT = regex.compile(f"(?=[{_BLANK}])")
 
@@ -61,6 +61,9 @@ class WordBpe:
         self._marks = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self._letters = dict(enumerate(byte_letters()))
         self._plain = self._plain_bytes()
+        self._names = {i: str(i) for i in self.text_of}
+        self._single = {c: self.vocab[c] for c in self._letters.values() if c in self.vocab}
+        self._final = {c: self.vocab[c + self.end] for c in self._letters.values() if c + self.end in self.vocab}
         # tokens that their own text doesn't lead to are never proposed
         usable = [t for t, i in self.vocab.items() if self._exact(self._symbols(t)) == [i]]
         self._inner = {t: self.vocab[t] for t in usable if not (self.end and t.endswith(self.end))}
@@ -82,20 +85,25 @@ class WordBpe:
             chars[-1] += self.end
         return [self.vocab[c] for c in chars] if all(c in self.vocab for c in chars) else []
 
+    def _word_symbols(self, word: str) -> list[int]:
+        single = self._single
+        return [*[single[c] for c in word[:-1]], self._final[word[-1]]]
+
     def _exact(self, ids: list[int]) -> list[int]:
         """Merges by rank, leftmost first."""
         if len(ids) > 40:
             return self._exact_long(ids)
-        ids, ranks, never = list(ids), self.ranks, 1 << 60
-        order = [ranks.get(a << 32 | b, never) for a, b in zip(ids, ids[1:])]
+        ids, ranks, made, never = list(ids), self.ranks, self.made, 1 << 60
+        get = ranks.get
+        order = [get(a << 32 | b, never) for a, b in zip(ids, ids[1:])]
         while order and (best := min(order)) < never:
             i = order.index(best)
-            ids[i : i + 2] = [self.made[best]]
-            del order[i]
+            ids[i] = new = made[best]
+            del ids[i + 1], order[i]
             if i < len(order):
-                order[i] = ranks.get(ids[i] << 32 | ids[i + 1], never)
+                order[i] = get(new << 32 | ids[i + 1], never)
             if i:
-                order[i - 1] = ranks.get(ids[i - 1] << 32 | ids[i], never)
+                order[i - 1] = get(ids[i - 1] << 32 | new, never)
         return ids
 
     def _exact_long(self, ids: list[int]) -> list[int]:
@@ -174,7 +182,7 @@ class WordBpe:
         self.proposed += len(words)
         for i in np.flatnonzero(bad).tolist():
             self.failed += 1
-            found[i] = self._exact(self._symbols(words[i] + self.end))
+            found[i] = self._exact(self._word_symbols(words[i]))
         return found
 
     def _split_text(self, text: str) -> list[str]:
@@ -197,18 +205,15 @@ class WordBpe:
         """Encode what isn't remembered of a batch of words. Words unused for MAX_WORDS others are forgotten."""
         if len(self._words) > MAX_WORDS:
             self._words, self._older = {}, self._words
-        memory, older, new = self._words, self._older, []
-        for w in words:
-            if w not in memory:
-                if w in older:
-                    memory[w] = older[w]
-                else:
-                    new.append(w)
+        memory, older = self._words, self._older
+        new = [w for w in words if w not in memory]
+        memory.update({w: older[w] for w in new if w in older})
+        new = [w for w in new if w not in older]
         if new:
-            letters = self._letters
+            letters, names, texts = self._letters, self._names, self.text_of
             lettered = [w if w.isascii() and w.isprintable() else "".join([letters[b] for b in w.encode()]) for w in new]
             for w, ids in zip(new, self.encode_words(lettered), strict=True):
-                memory[w] = (" ".join(map(str, ids)), " ".join([self.text_of[i] for i in ids]), len(ids))
+                memory[w] = (" ".join([names[i] for i in ids]), " ".join([texts[i] for i in ids]), len(ids))
 
     def split(self, text: str) -> Iterator[tuple[str | None, list[str]]]:
         """(special string or None, words) in order, in pieces of a bounded length."""
@@ -232,13 +237,16 @@ class WordBpe:
     def look_up(self, special: str | None, words: list[str]) -> list[tuple[str, str, int]]:
         if special is not None:
             return [(str(self.special[special]), special, 1)]
-        self.learn(set(words))
-        return list(map(self._words.__getitem__, words))
+        try:
+            return list(map(self._words.__getitem__, words))
+        except KeyError:
+            self.learn(set(words))
+            return list(map(self._words.__getitem__, words))
 
     def stream_batch(self, texts: list[str]) -> Iterator[Iterator[list[tuple[str, str, int]]]]:
         """stream() of each text, with the new words of all texts of usual length encoded together."""
         parts = [list(self.split(t)) if len(t) <= PIECE else None for t in texts]
-        self.learn({w for p in parts if p for _, words in p for w in words})
+        self.learn(set().union(*[words for p in parts if p for _, words in p]))
         for t, p in zip(texts, parts, strict=True):
             yield self.stream(t) if p is None else (self.look_up(*x) for x in p)
 

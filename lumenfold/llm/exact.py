@@ -19,6 +19,8 @@ COUNTERS = 255
 #: Partitions merged at a time; three levels cover 16 million partitions.
 FAN_IN = 256
 LEVELS = 3
+#: Keys (40 bytes each) of rows to drop that are broadcast; more are shuffled, with the rows.
+FEW_KEYS = 250_000
 BLANKS = " \t\n\x0b\x0c\r"
 
 
@@ -82,11 +84,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     keys = ["doc_id", "text_sha256"]
     found = cut(exact_duplicates(docs).groupBy(*keys).agg(F.count_if("kept").alias("stay"), F.count_if(~F.col("kept")).alias("go")))
     # whole rows travel in a struct, so that no column of docs meets a name used here
-    rows = docs.select(F.struct("*").alias("doc"), F.sha2(normalised(F.col("text")), 256).alias("sha"))
+    rows = docs.select(F.struct("*").alias("doc"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("sha"))
 
     def match(side: DataFrame, how: str, rows: DataFrame) -> DataFrame:
-        other = side.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_other"))
-        return rows.join(other, F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_other")), how)
+        other = side.select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_other"))
+        return rows.join(F.broadcast(other) if side.count() <= FEW_KEYS else other, F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_other")), how)
 
     left = match(found.where("stay = 0"), "left_anti", rows)
     repeated = found.where("stay > 0 and go > 0")  # rows that repeat a doc_id and its text: one of them stays

@@ -204,5 +204,5 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs without the rows that near_duplicates doesn't keep; rows without doc_id stay."""
-    gone = near_duplicates(docs, percent).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = cut(near_duplicates(docs, percent).where("doc_id is not null and not kept").select(F.col("doc_id").alias("_gone")).distinct())
+    return docs.join(F.broadcast(gone) if gone.count() <= FEW_IDS else gone, docs["doc_id"] == gone["_gone"], "left_anti")

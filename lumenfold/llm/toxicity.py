@@ -278,5 +278,5 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 
 def held_out() -> F.Column:
-    """Whether crc32 of doc_id as text leaves 1 by 3; such rows never teach."""
-    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
+    """Whether crc32 of doc_id as text (null: empty) leaves 1 by 3; such rows never teach."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(3)) == 1
