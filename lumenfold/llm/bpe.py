@@ -23,12 +23,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.words import pieces
+from lumenfold.llm.words import pieces, tidied
 
 #: Texts are handled in pieces of about so many characters, cut before white space.
 PIECE = 1 << 20
 #: Words of each of two generations, and pair verdicts, that a worker remembers.
-MAX_WORDS, MAX_PAIRS = 150_000, 4_000_000
+MAX_WORDS, MAX_PAIRS = 100_000, 4_000_000
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CUT = regex.compile(f"(?=[{_BLANK}])")
 
@@ -311,7 +311,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out]), pa.array([r[2] for r in out])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return base.mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -326,4 +326,4 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 
     taken = [c for c in docs.columns if c not in ("token_ids", "decoded")]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*taken).schema.fields)
-    return docs.select(*taken).mapInArrow(run, f"{schema}, token_ids array<int>, decoded string")
+    return docs.select(*taken).mapInArrow(tidied(run), f"{schema}, token_ids array<int>, decoded string")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.packing import SCHEMA, packer, unpack
-from lumenfold.llm.words import hash_words, mix, pieces
+from lumenfold.llm.words import hash_words, mix, pieces, tidied
 
 #: The band of document shares (the inverse-document-frequency band), and the least number of documents.
 LOWEST, HIGHEST, AT_LEAST = 0.0005, 0.2, 2
@@ -64,7 +64,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def lexicon(docs: DataFrame, total: int, lowest: float = LOWEST, highest: float = HIGHEST) -> np.ndarray:
     """Sorted hashes of the words in the band."""
-    counted = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(_frequencies, "term long, df long")
+    counted = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(tidied(_frequencies), "term long, df long")
     band = counted.groupBy("term").agg(F.sum("df").alias("df")).where((F.col("df") >= max(AT_LEAST, lowest * total)) & (F.col("df") <= highest * total))
     return np.sort(band.select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
 

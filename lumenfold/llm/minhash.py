@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenfold.llm.words import pieces, shingle_sets
+from lumenfold.llm.words import pieces, shingle_sets, tidied
 from lumenfold.operators.components import connected_components
 from lumenfold.runtime import cut
 
@@ -149,7 +149,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.xxhash64("doc_id", text).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    signed = cut(base.mapInArrow(_sign, "id long, doc_id long, n_shingles long, digest binary, sig array<long>"))
+    signed = cut(base.mapInArrow(tidied(_sign), "id long, doc_id long, n_shingles long, digest binary, sig array<long>"))
     # one document for each distinct set; the others hang on it
     classes = cut(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min("doc_id").alias("least")))
     reps = signed.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").select("id", "sig").dropDuplicates(["id"])
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     texts = base.select("id", "text")
     some = _only(texts, _ends(pairs)).dropDuplicates(["id"])
     held = pairs.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    links = cut(held.select("a", "b", "text_a", "text_b").mapInArrow(_confirm(percent), "a long, b long"))
+    links = cut(held.select("a", "b", "text_a", "text_b").mapInArrow(tidied(_confirm(percent)), "a long, b long"))
     comps = cut(connected_components(links, "a", "b"))
 
     # long postings whose members are not all tied together yet

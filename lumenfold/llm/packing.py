@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 
-from lumenfold.llm.words import pieces
+from lumenfold.llm.words import pieces, tidied
 
 SCHEMA = "bucket long, blob binary"
 _OPTIONS = pa.ipc.IpcWriteOptions(compression="zstd")
@@ -40,4 +40,4 @@ def packer(assign: Callable[[pa.RecordBatch], list[np.ndarray]], limit: int = 16
                             blobs.append(pack(part.take(pa.array(order[a:b]))))
                 yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
-    return run
+    return tidied(run)

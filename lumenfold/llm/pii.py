@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm import crf
-from lumenfold.llm.words import pieces
+from lumenfold.llm.words import pieces, tidied
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -234,7 +234,7 @@ def scan(docs: DataFrame, table: list[tuple[str, list[Span]]] | None = None) ->
                 )
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    return base.mapInArrow(tidied(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
 
 def redact(text: str, spans: list[Span]) -> str:

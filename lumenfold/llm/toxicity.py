@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenfold.llm.words import tidied
 from lumenfold.runtime import cut
 
 #: The most labelled texts (by hash) that a lexicon is learned from.
@@ -196,10 +197,10 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Lexi
         return Lexicon()
     # entries need MIN_SHARE of the toxic texts, so at most (stems per text / MIN_SHARE) of them come here
     smallest = min(max(MIN_SUPPORT, MIN_SHARE * n) for n in (size.get((0, 1), 0), size.get((1, 1), 0), total))
-    found = rows.where("toxic = 1").mapInArrow(_toxic_terms, "half int, term string, texts long, lefts array<long>").groupBy("term")
+    found = rows.where("toxic = 1").mapInArrow(tidied(_toxic_terms), "half int, term string, texts long, lefts array<long>").groupBy("term")
     found = found.agg(*[F.coalesce(F.sum(F.when(F.col("half") == h, F.col("texts"))), F.lit(0)).alias(f"n{h}") for h in (0, 1)], *[F.size(F.array_distinct(F.flatten(F.collect_list(F.when(F.col("half") == h, F.col("lefts")))))).alias(f"left{h}") for h in (0, 1)])
     kept = found.where((F.col("n0") + F.col("n1") >= smallest) & (F.col("left0") + F.col("left1") >= smallest)).collect()
-    others = rows.where("toxic = 0").mapInArrow(_clean_terms(frozenset(r.term for r in kept)), "half int, term string, texts long").groupBy("half", "term").agg(F.sum("texts").alias("n")).collect()
+    others = rows.where("toxic = 0").mapInArrow(tidied(_clean_terms(frozenset(r.term for r in kept))), "half int, term string, texts long").groupBy("half", "term").agg(F.sum("texts").alias("n")).collect()
     counts = {(h, 1): Counter({r.term: r[f"n{h}"] for r in kept}) for h in (0, 1)} | {(h, 0): Counter({r.term: r.n for r in others if r.half == h}) for h in (0, 1)}
     lefts = {h: {r.term: r[f"left{h}"] for r in kept} for h in (0, 1)}
     half = {h: _pick(counts[h, 1], counts[h, 0], lefts[h], size.get((h, 1), 0), size.get((h, 0), 0)) for h in (0, 1)}
@@ -220,7 +221,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Lexi
                 out.append((label, x, sorted(set(near))))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.float64()), pa.array([r[2] for r in out], pa.list_(pa.string()))], ["toxic", "x", "near"])
 
-    seen = rows.mapInArrow(weighed, "toxic int, x double, near array<string>").collect()  # at most about bound rows
+    seen = rows.mapInArrow(tidied(weighed), "toxic int, x double, near array<string>").collect()  # at most about bound rows
     phrases = {y: Counter(p for r in seen if r.toxic == y for p in r.near) for y in (0, 1)}
     excused = tuple(sorted(p for p, n in phrases[0].items() if n >= MIN_SUPPORT and not phrases[1][p]))
     slope, offset = _logistic(np.array([r.x for r in seen]), np.array([r.toxic for r in seen], float))
@@ -259,7 +260,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= CUT) for s in scores], pa.int32()), pa.array(hits, pa.int64())], ["doc_id", "score", "predicted", "hits"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, score double, predicted int, hits long")
+    return base.mapInArrow(tidied(run), "doc_id long, score double, predicted int, hits long")
 
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
@@ -274,7 +275,7 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 keep.append(lexicon.score(normalise(weigh(folded, machine)[0], folded.count(" ") - 1)) < CUT)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def held_out() -> F.Column:
