@@ -3,6 +3,10 @@ import sys
 from pathlib import Path
 
 import pytest
+from hypothesis import settings
+
+settings.register_profile("fixed", derandomize=True, deadline=None)
+settings.load_profile("fixed")
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
