@@ -55,6 +55,7 @@ def discard(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the rows live in the shared folder, so no executor's loss loses them."""
     shared_dir(df.sparkSession)
+    ship(df.sparkSession)
     return df.checkpoint(eager=eager)
 
 
