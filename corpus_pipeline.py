@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.llm import bpe, exact, minhash, mixing, toxicity
 from lumenfold.llm.queries import tokenizer_path
-from lumenfold.runtime import discard, scratch, table
+from lumenfold.runtime import discard, scratch, ship, table
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,6 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture with its token ids and the words they decode to."""
+    ship(spark)
     return bpe.encoded(docs, tokenizer_path())
 
 
