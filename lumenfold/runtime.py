@@ -55,7 +55,6 @@ def discard(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the rows live in the shared folder, so no executor's loss loses them."""
     shared_dir(df.sparkSession)
-    ship(df.sparkSession)
     return df.checkpoint(eager=eager)
 
 
@@ -63,7 +62,10 @@ _SHIPPED: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package to the executors, unless they find it by PYTHONPATH or by the folder they start in."""
+    """Send the package to the executors, unless they find it by PYTHONPATH or by the folder they start in.
+
+    Python functions take note of what was sent when they are made, so this comes before the first operator.
+    """
     root = Path(__file__).resolve().parent.parent
     sc = spark.sparkContext
     known = {Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p} | {Path.cwd()}
