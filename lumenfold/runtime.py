@@ -46,6 +46,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/lumenfold/{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most so many rows in an Arrow batch from now on: long texts then take less memory beside the heap."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) not in range(1, rows + 1):
+        spark.conf.set(name, str(rows))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a written table that nothing reads any more, in whatever file system it is."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
