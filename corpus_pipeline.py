@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.llm import bpe, exact, minhash, mixing, toxicity
 from lumenfold.llm.queries import tokenizer_path
-from lumenfold.runtime import discard, scratch, ship, table
+from lumenfold.runtime import discard, scratch, ship, small_batches, table
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the lexicon learned from labels rejects."""
+    small_batches(spark)
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~toxicity.held_out())
     return toxicity.keep_clean(docs, toxicity.learn(docs, labels))
 
@@ -23,6 +24,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
     ship(spark)
+    small_batches(spark)
     return minhash.keep_one(docs)
 
 
@@ -34,6 +36,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture with its token ids and the words they decode to."""
     ship(spark)
+    small_batches(spark)
     return bpe.encoded(docs, tokenizer_path())
 
 
