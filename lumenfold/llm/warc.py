@@ -177,8 +177,14 @@ class CaptureIndex:
     directory: list[str]
     archive_path: str
 
-    def block_of(self, key: str) -> int:
-        return max(0, bisect.bisect_right(self.directory, key) - 1)
+    def blocks_of(self, key: str) -> list[str]:
+        return _blocks_of(self.directory, key)
+
+
+def _blocks_of(directory: list[str], key: str) -> list[str]:
+    """First keys of all blocks that can hold a key: those that begin with it, and the one before, whose tail can hold it."""
+    after, begins = bisect.bisect_left(directory, key), bisect.bisect_right(directory, key)
+    return directory[max(0, after - 1) : after] + ([key] if begins > after else [])
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,15 +223,16 @@ def build_index(spark: SparkSession, archive_path: str, index_path: str) -> Capt
 
 
 def _found(wanted: list[str], lines: list[bytes]) -> Iterator[tuple[str, str, int, int]]:
-    """Binary search of each key in the sorted lines; all lines of a key."""
-    text = [x for b in lines for x in zlib.decompress(b).decode().split("\n")]
-    keys = [x.split("\t", 1)[0] for x in text]
-    for key in wanted:
-        at = bisect.bisect_left(keys, key)
-        while at < len(keys) and keys[at] == key:
-            _, f, o, n = text[at].split("\t")
-            yield key, f, int(o), int(n)
-            at += 1
+    """Binary search of each key in the sorted lines of each block, whatever the order of the blocks; all lines of a key."""
+    for block in lines:
+        text = zlib.decompress(block).decode().split("\n")
+        keys = [x.split("\t", 1)[0] for x in text]
+        for key in wanted:
+            at = bisect.bisect_left(keys, key)
+            while at < len(keys) and keys[at] == key:
+                _, f, o, n = text[at].split("\t")
+                yield key, f, int(o), int(n)
+                at += 1
 
 
 def look_up(index: CaptureIndex, captures: DataFrame) -> DataFrame:
@@ -236,8 +243,8 @@ def look_up(index: CaptureIndex, captures: DataFrame) -> DataFrame:
         first = directory.value
         for batch in batches:
             keys = [capture_key(u, p) for u, p in zip(batch.column("url").to_pylist(), batch.column("page_id").to_pylist(), strict=True)]
-            blocks = [first[max(0, bisect.bisect_right(first, k) - 1)] if first else "" for k in keys]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(keys)], ["first_key", "key"])
+            places = [(b, k) for k in keys for b in _blocks_of(first, k)]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in places], pa.string()), pa.array([k for _, k in places], pa.string())], ["first_key", "key"])
 
     def search(wanted: pa.Table, block: pa.Table) -> pa.Table:
         found = list(_found(sorted(set(wanted.column("key").to_pylist())), block.column("lines").to_pylist()))
@@ -285,10 +292,10 @@ def read_range(spark: SparkSession, path: str, offset: int, length: int) -> byte
 def fetch(index: CaptureIndex, url: str, page_id: int) -> list[Record]:
     """The captures of one page: directory, block, range, without a pass over the archives."""
     spark = index.blocks.sparkSession
-    if not index.directory:
-        return []
     key = capture_key(url, page_id)
-    rows = index.blocks.where(F.col("first_key") == index.directory[index.block_of(key)]).collect()
+    if not index.blocks_of(key):
+        return []
+    rows = index.blocks.where(F.col("first_key").isin(index.blocks_of(key))).collect()
     return [next(records(read_range(spark, f, o, n))) for _, f, o, n in _found([key], [bytes(r.lines) for r in rows])]
 
 
