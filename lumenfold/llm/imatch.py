@@ -4,7 +4,8 @@ The lexicon holds the words whose share of documents lies in a band; by Markov's
 (distinct words per document) / LOWEST entries at any corpus size, so it is broadcast. A document's distinct
 lexicon words, sorted, are dealt into random subsets of the lexicon, and each subset that has any is hashed.
 Subsets are 2^-l of the lexicon, with l so that a document has about one word in each; a fingerprint holds
-the hashes of up to SUBSETS subsets at three neighbouring levels. A text hardly any of whose words are in the
+the hashes of all subsets at three neighbouring levels, so each of the document's lexicon words is in three of
+them, and its length grows with their number (28 to 56 hex digits a word). A text hardly any of whose words are in the
 lexicon (under FEW of the distinct ones) is printed from all its words. The likeness of two fingerprints is the share
 of equal hashes among the subsets that either has words in, at the levels both have.
 """
@@ -24,7 +25,6 @@ from lumenfold.llm.words import hash_words, mix, pieces, tidied
 
 #: The band of document shares (the inverse-document-frequency band), and the least number of documents.
 LOWEST, HIGHEST, AT_LEAST = 0.0005, 0.2, 2
-SUBSETS = 32
 FEW = 0.2
 #: Text bytes of one range of neighbouring documents.
 RANGE_BYTES = 4 << 20
@@ -89,16 +89,16 @@ def fingerprints(texts: pa.Array, lex: np.ndarray) -> list[str]:
         if len(own) < FEW * len(every):
             own, kind = every, "w"
         level = int(np.ceil(np.log2(len(own)))) if len(own) > 1 else 0
-        place, value = mix(own ^ _SALT), mix(own)
+        place = mix(own ^ _SALT)
+        order = np.argsort(place)
+        place, value = place[order], mix(own[order])
         parts = []
         for step in (level, level + 1, level + 2):
             subset = (place >> np.uint64(64 - step)).astype(np.int64) if step else np.zeros(len(own), np.int64)
-            some = subset < min(SUBSETS, 1 << step)
-            sums = np.zeros(min(SUBSETS, 1 << step), np.uint64)
-            np.add.at(sums, subset[some], value[some])
-            hashes = mix(sums) >> np.uint64(48)
-            hashes = np.where(np.bincount(subset[some], minlength=len(sums)) > 0, np.maximum(hashes, 1), 0)
-            parts.append("".join([f"{h:04x}" for h in hashes.tolist()]))
+            starts = np.flatnonzero(np.append(True, subset[1:] != subset[:-1]))
+            hashes = np.zeros(1 << step, ">u2")
+            hashes[subset[starts]] = np.maximum(mix(np.add.reduceat(value, starts)) >> np.uint64(48), np.uint64(1))
+            parts.append(hashes.tobytes().hex())
         out.append(f"{kind}{level}:{':'.join(parts)}")
     return out
 
@@ -113,11 +113,9 @@ def likeness(one: str, other: str) -> float:
     levels = {int(a) + i: p for i, p in enumerate(x)}, {int(b) + i: p for i, p in enumerate(y)}
     same = either = 0
     for step in levels[0].keys() & levels[1].keys():
-        p, q = levels[0][step], levels[1][step]
-        for k in range(0, len(p), 4):
-            u, v = p[k : k + 4], q[k : k + 4]
-            either += u != "0000" or v != "0000"
-            same += u == v != "0000"
+        p, q = (np.frombuffer(bytes.fromhex(x[step]), np.uint16) for x in levels)
+        either += int(np.count_nonzero(p | q))
+        same += int(np.count_nonzero((p == q) & (p > 0)))
     return same / either if either else 0.0
 
 
