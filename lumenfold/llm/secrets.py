@@ -1,6 +1,8 @@
 """Secret scan: candidates by pattern, false positives removed by a random forest; JVM functions only.
 
-A candidate is a run of 16 or more of [A-Za-z0-9+/_=-] that holds a digit. The forest sees its length, the
+A candidate is a run of 16 or more of [A-Za-z0-9+/_-] that holds a digit, with the padding and the dotted parts
+(web tokens) that follow it, or whatever of 4 or more characters is assigned by = or : to a name with a credential
+word in it, or follows Bearer. The name is not of the token. The forest sees its length, the
 transitions between character classes, how much of it dictionary words cover, the path, and the words
 around it, and is trained from labelled findings (before, token, after, path, label).
 """
@@ -13,7 +15,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{16,}+"
 CONTEXT = 40
 #: The most labelled findings that a forest is fitted on.
 MAX_LABELLED = 20_000
@@ -28,6 +29,12 @@ DICTIONARY = (
 ).split()
 #: Words before a token that announce a credential, or a harmless identifier.
 CREDENTIAL_WORDS = "token|secret|passw(?:or)?d|passwd|api[_ -]?key|access[_ -]?key|auth|bearer|credential|private[_ -]?key|client[_ -]?key|signing"
+#: Values of credential words: quoted, to the closing quote; bare, to a blank or separator, without a full stop after it.
+_VALUE = r"""(?:(?<=["'`])[^\s"'`]{4,}+(?=["'`])|[^\s"'`<>,;&]{3,}[^\s"'`<>,;&.:])"""
+_GIVEN = rf"""(?<=[=:>]\s{{0,3}}["'`]?)(?<=(?i:{CREDENTIAL_WORDS})[A-Za-z0-9_]{{0,12}}["'`]?\s{{0,3}}[=:]{{1,2}}>?\s{{0,3}}["'`]?)(?!(?i:bearer|basic)\s)"""
+_BEARER = r"""(?<=(?i:bearer|ization["'`]?\s?[=:]\s?["'`]?basic)\s{1,2})"""
+_RUN = r"(?<![A-Za-z0-9+/_-])(?:SG\.)?+(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:\.[A-Za-z0-9_-]{16,}+)*+(?:={1,2}(?![A-Za-z0-9+/_=-]))?+"
+CANDIDATE = rf"""(?:(?<=[=:>\s"'`])(?:{_GIVEN}|{_BEARER}){_VALUE}|{_RUN})"""
 HARMLESS_WORDS = "commit|sha-?1|sha-?256|sha-?512|md5|hash|digest|checksum|integrity|uuid|guid|revision|etag|build|version|card|phone|invoice|order|isbn|base64|href|src|url"
 HARMLESS_PATHS = "test|spec|fixture|example|sample|mock|docs?/|lock|vendor|node_modules|dist/"
 _CLASSES = {"lower": "a-z", "upper": "A-Z", "digit": "0-9", "other": "+/_=-"}
@@ -50,12 +57,13 @@ def candidates(docs: DataFrame, path: str | None = "source") -> DataFrame:
         zero,
         lambda acc, x: F.struct((acc["at"] + x["gap"] + x["own"]).alias("at"), F.concat(acc["all"], F.array(acc["at"] + x["gap"])).alias("all")),
     )["all"]
-    each = found.withColumn("starts", ends).select("doc_id", "path", "between", "starts", F.posexplode("tokens").alias("k", "token"))
+    each = found.withColumn("starts", ends).select("doc_id", "path", "between", "starts", "tokens", F.posexplode("tokens").alias("k", "token"))
+    nearest = lambda c: F.right(F.coalesce(F.get(c, F.col("k") - 1), F.lit("")), F.lit(CONTEXT))
     return each.select(
         "doc_id",
         F.get("starts", F.col("k")).cast("long").alias("start"),
         "token",
-        F.right(F.get("between", F.col("k")), F.lit(CONTEXT)).alias("before"),
+        F.right(F.concat(nearest("between"), nearest("tokens"), F.right(F.get("between", F.col("k")), F.lit(CONTEXT))), F.lit(CONTEXT)).alias("before"),
         F.left(F.get("between", F.col("k") + 1), F.lit(CONTEXT)).alias("after"),
         "path",
     )
@@ -104,6 +112,10 @@ def rule_labelled(spark: SparkSession, rows: int = 2400) -> DataFrame:
         (pick("commit ", "sha1: ", "revision ", "checksum="), hex40, 0), (pick("sha256:", "digest ", "integrity="), hex64, 0), (prose, digits, 0), (pick("uuid ", "id: ", "guid="), uuid, 0),
         (F.concat(prose, F.lit('token = "')), pick("your_token_goes_here_123", "example-token-0000000000", "xxxxxxxxxxxxxxxx1234", "changeme_password_1234", "insert-your-key-here-42"), 0),
         (pick("https://example.com/", "/assets/", "href=/docs/"), pick("release-notes-version-2024", "images/header/logo-large-2x", "api/v2/users/list/active", "static/js/main-bundle-2019"), 0),
+        (secret, F.concat(pick("Tr0ub4dor", "hunter", "S3cr!", "qWz", "x7#K"), F.substring(hex64, 1, 3)), 1), (secret, F.concat(F.translate(F.substring(b64, 1, 11), "0123456789", "qwertzuiop"), pick("!", "$", "Kx", "Zv")), 1),
+        (secret, F.concat(F.lit("eyJ"), F.substring(b64, 1, 33), F.lit("."), F.substring(b64, 5, 30), F.lit("."), F.substring(b64, 2, 40)), 1),
+        (secret, pick("None", "null", "string", "required", "your_password", "example", "placeholder", "changeme", "optional", "true", "hidden", "request.token", "getToken()", "${SECRET}", "default"), 0),
+        (pick("bearer ", "token: ", "secret: ", "password: "), pick("shares", "bonds", "which", "that", "nobody", "about", "there", "under", "every"), 0),
         (prose, F.concat(pick("hand", "model", "section", "serie", "winter"), F.lit("book-number-edition-"), F.substring(digits, 1, 3)), 0), (prose, hex40, 0),
     ]
     which = F.pmod(F.col("id"), F.lit(len(cases)))
