@@ -7,7 +7,8 @@ least ``REVISIT_BYTES`` are stored once; the other captures are revisit records.
 
 The index sorts the keys (reversed host, path, capture) into compressed blocks and keeps a sparse directory of
 first keys, of at most ``MAX_BLOCKS`` entries at any size. A look-up finds its block by binary search in the
-directory, its line by binary search in the block, and its record by a read of that range of the archive.
+directory, its line by binary search in the block, and its record by a seek and a read of that range of the
+archive within the task: neither building nor reading shuffles the archives.
 """
 
 from __future__ import annotations
@@ -15,23 +16,28 @@ from __future__ import annotations
 import base64
 import bisect
 import hashlib
+import io
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.fs  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenfold.llm.words import pieces
+from lumenfold.llm.words import pieces, tidied
 from lumenfold.runtime import cut, scratch
 
 REVISIT_BYTES = 1000
 BLOCK_LINES, MAX_BLOCKS = 3000, 65_536
-#: Records of one archive file, and revisits that are broadcast (16 bytes each) rather than shuffled.
-FILE_RECORDS, FEW_REVISITS = 20_000, 1_000_000
+#: Bytes of one archive file, and repeated payloads that are broadcast (40 bytes each) rather than shuffled.
+FILE_BYTES, FEW_REVISITS = 32 << 20, 500_000
+#: Beyond that, payloads with more than this part of all repeats are still broadcast: as many at most.
+HOT_PARTS = 1000
 _MEMBER = (1 << 24) - 1
 _CRLF = b"\r\n"
+_CHUNK = 1 << 18
 
 
 def surt(url: str | None) -> str:
@@ -106,25 +112,30 @@ def parse(raw: bytes, offset: int = 0, length: int = 0) -> Record:
     return Record(headers, rest[: int(headers["content-length"])], offset, length)
 
 
-def _members(content: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, end, data) of each gzip member."""
-    view, at = memoryview(content), 0
-    while at < len(content):
-        z, data, to = zlib.decompressobj(31), [], at
+def _members(f) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, end, data) of each gzip member of a stream, which is read in chunks."""
+    begin, rest, at = 0, b"", 0  # at: bytes of the stream consumed by finished members and those fed so far
+    while True:
+        rest = rest or f.read(_CHUNK)
+        if not rest:
+            return
+        z, data = zlib.decompressobj(31), []
         while not z.eof:
-            data.append(z.decompress(view[to : to + (1 << 16)]))
-            to += 1 << 16
-            if to - (1 << 16) >= len(content) and not z.eof:
-                raise ValueError(f"the archive ends within a member that begins at {at}")
-        end = min(to, len(content)) - len(z.unused_data)
-        yield at, end, b"".join(data)
-        at = end
-
-
-def records(content: bytes) -> Iterator[Record]:
-    """All records of an archive, or of a range of it that begins with a record."""
+            if not rest:
+                rest = f.read(_CHUNK)
+                if not rest:
+                    raise ValueError(f"the archive ends within a member that begins at {begin}")
+            data.append(z.decompress(rest))
+            at += len(rest) - len(z.unused_data)
+            rest = z.unused_data
+        yield begin, at, b"".join(data)
+        begin = at
+
+
+def records(f) -> Iterator[Record]:
+    """All records of an archive (bytes or a stream), or of a range of it that begins with a record."""
     begun: list[tuple[int, int, bytes]] = []
-    for m in _members(content):
+    for m in _members(io.BytesIO(f) if isinstance(f, bytes) else f):
         if begun and m[2].startswith(b"WARC/"):
             yield parse(b"".join(x[2] for x in begun), begun[0][0], begun[-1][1] - begun[0][0])
             begun = []
@@ -133,40 +144,95 @@ def records(content: bytes) -> Iterator[Record]:
         yield parse(b"".join(x[2] for x in begun), begun[0][0], begun[-1][1] - begun[0][0])
 
 
-def _revisits(pages: DataFrame) -> DataFrame:
-    """(page_id, refers_to) of the captures that repeat a payload."""
-    slim = pages.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("size")).where(F.col("size") >= REVISIT_BYTES)
-    slim = slim.withColumn("digest", F.unhex("digest"))
-    often = slim.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return slim.join(often, ["digest", "size"]).where("page_id <> refers_to").select(F.col("page_id").alias("_page"), "refers_to").distinct()
+def _first_captures(rows: DataFrame) -> DataFrame:
+    """(_digest, _size, top) of the payloads of REVISIT_BYTES or more that several rows have; top is the largest page_id."""
+    slim = rows.where(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", F.unhex(F.sha1("payload")).alias("_digest"), F.octet_length("payload").alias("_size"))
+    return slim.groupBy("_digest", "_size").agg(F.max("page_id").alias("top"), F.count("*").alias("n")).where("n > 1")
+
+
+def _with_revisits(rows: DataFrame) -> DataFrame:
+    """rows (page_id, url, payload) with refers_to: the page whose equal payload is archived instead, or null.
+
+    The repeated payloads are broadcast if they are few. Otherwise those with more than 1 / HOT_PARTS of the
+    repeats are, and rows meet the remaining ones by a shuffle, which no payload can then skew.
+    """
+    found = cut(_first_captures(rows))
+    keys = [F.unhex(F.sha1("payload")), F.octet_length("payload").cast("int")]
+    refers = lambda top: F.when(F.col("page_id") != F.col(top), F.col(top))
+
+    def on(side: DataFrame, one, two):
+        return (one == side["_digest"]) & (two == side["_size"])
+
+    if found.count() <= FEW_REVISITS:
+        few = F.broadcast(found.drop("n"))
+        return rows.join(few, on(few, *keys), "left").select("page_id", "url", "payload", refers("top").alias("refers_to"))
+    repeats = found.agg(F.sum("n")).first()[0]
+    hot, cold = found.where(F.col("n") * HOT_PARTS > repeats).drop("n"), found.where(F.col("n") * HOT_PARTS <= repeats).drop("n")
+    hot = F.broadcast(hot)
+    part = rows.join(hot, on(hot, *keys), "left").select("page_id", "url", "payload", F.col("top").alias("hot"))
+    # what is decided already, or too small to repeat, travels under a key of its own
+    alone = F.unhex(F.sha1(F.concat_ws(":", F.lit("alone"), F.col("page_id"), F.col("url"))))
+    part = part.withColumn("_one", F.when(F.col("hot").isNull() & (keys[1] >= REVISIT_BYTES), keys[0]).otherwise(alone))
+    return part.join(cold, on(cold, F.col("_one"), keys[1]), "left").select("page_id", "url", "payload", refers("top").alias("cold"), refers("hot").alias("hot")).select("page_id", "url", "payload", F.coalesce("hot", "cold").alias("refers_to"))
 
 
 def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00Z") -> None:
     """Archives of pages (page_id, url, html) below path; null html is an empty payload.
 
     Of captures with equal payloads of REVISIT_BYTES or more that with the largest page_id is a response, the
-    others revisit it. Rows that repeat a page_id are written as often; a row without page_id is a response.
+    others revisit it. Rows that repeat a page_id are written as often, each by its own payload: rows that share
+    the largest page_id of a payload are all responses, as is a row without page_id. An archive ends with the
+    record that takes it to FILE_BYTES.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
-    again = cut(_revisits(rows))
-    rows = rows.join(F.broadcast(again) if again.count() <= FEW_REVISITS else again, F.col("page_id") == F.col("_page"), "left").drop("_page")
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for part in pieces(batch, "payload"):
-                out = []
                 for page, url, payload, refers in zip(*(part.column(c).to_pylist() for c in ("page_id", "url", "payload", "refers_to")), strict=True):
                     kind = "response" if refers is None else "revisit"
-                    out.append(gzip_member(record(kind, page, url, payload, hashlib.sha1(payload).digest(), refers, date))[:-1])
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                    held.append(gzip_member(record(kind, page, url, payload, hashlib.sha1(payload).digest(), refers, date)))
+                    size += len(held[-1])
+                    if size >= FILE_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+                        held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
 
-    written = rows.mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value"))
-    written.write.option("lineSep", "\x00").option("compression", "none").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    written = _with_revisits(rows).mapInArrow(members, "value binary").select(F.col("value").cast("string").alias("value"))
+    written.write.option("lineSep", "\x00").option("compression", "none").option("maxRecordsPerFile", 1).text(path)
 
 
 def archives(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of every archive."""
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+    """(path, length) of every archive, and content for those who select it."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 0").select("path", "length", "content")
+
+
+def open_archive(path: str):
+    """A seekable stream of a file of the shared folder: by its local name, or by Arrow's file systems."""
+    if path.startswith("file:") or "://" not in path:
+        return open(path.removeprefix("file:"), "rb")
+    files, name = pa.fs.FileSystem.from_uri(path)
+    return files.open_input_file(name)
+
+
+def _seekable(found: DataFrame) -> bool:
+    """Whether tasks can open the archives themselves; asked of one task. Otherwise Spark's reader brings the contents."""
+    first = found.select("path").limit(1)
+
+    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fine = []
+            for path in batch.column("path").to_pylist():
+                try:
+                    with open_archive(path) as f:
+                        fine.append(len(f.read(2)) == 2)
+                except (OSError, ValueError, ImportError):  # no such file system here
+                    fine.append(False)
+            yield pa.RecordBatch.from_arrays([pa.array(fine, pa.bool_())], ["fine"])
+
+    return all(r.fine for r in first.mapInArrow(probe, "fine boolean").collect())
 
 
 @dataclass
@@ -176,6 +242,7 @@ class CaptureIndex:
     blocks: DataFrame
     directory: list[str]
     archive_path: str
+    seekable: bool = True
 
     def blocks_of(self, key: str) -> list[str]:
         return _blocks_of(self.directory, key)
@@ -187,16 +254,25 @@ def _blocks_of(directory: list[str], key: str) -> list[str]:
     return directory[max(0, after - 1) : after] + ([key] if begins > after else [])
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            found = [(capture_key(r.headers["warc-target-uri"], r.page()), path, r.offset, r.length) for r in records(content.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)] if found else [pa.array([], t) for t in (pa.string(), pa.string(), pa.int64(), pa.int64())], ["key", "file", "offset", "length"])
+def _scanned(seekable: bool):
+    """For mapInArrow: (key, file, offset, length) of every record of the archives, a stream of chunks of each in hand."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, path in enumerate(batch.column("path").to_pylist()):
+                with open_archive(path) if seekable else io.BytesIO(batch.column("content")[i].as_py()) as f:
+                    found = [(capture_key(r.headers["warc-target-uri"], r.page()), path, r.offset, r.length) for r in records(f)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["key", "file", "offset", "length"])
+
+    return tidied(run)
 
 
 def build_index(spark: SparkSession, archive_path: str, index_path: str) -> CaptureIndex:
     """Scan the archives once and write the two levels of their index."""
-    entries = cut(archives(spark, archive_path).mapInArrow(_entries, "key string, file string, offset long, length long"))
+    found = archives(spark, archive_path)
+    seekable = _seekable(found)
+    found = found.select("path").repartition(max(1, min(65_536, found.count())), "path") if seekable else found.select("path", "content")
+    entries = cut(found.mapInArrow(_scanned(seekable), "key string, file string, offset long, length long"))
     lines = max(BLOCK_LINES, -(-entries.count() // MAX_BLOCKS))
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,7 +295,7 @@ def build_index(spark: SparkSession, archive_path: str, index_path: str) -> Capt
     done.write.parquet(index_path)
     stored = spark.read.parquet(index_path)
     directory = sorted(r.first_key for r in stored.select("first_key").collect())  # at most MAX_BLOCKS + ranges keys
-    return CaptureIndex(stored, directory, archive_path)
+    return CaptureIndex(stored, directory, archive_path, seekable)
 
 
 def _found(wanted: list[str], lines: list[bytes]) -> Iterator[tuple[str, str, int, int]]:
@@ -255,26 +331,52 @@ def look_up(index: CaptureIndex, captures: DataFrame) -> DataFrame:
     return wanted.groupBy("first_key").cogroup(index.blocks.groupBy("first_key")).applyInArrow(search, "key string, file string, offset long, length long")
 
 
+_CAPTURE = [("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64())]
+_CAPTURE_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
+
+
+def _read(f, places: list[tuple[int, int]]) -> list[tuple]:
+    """The captures at (offset, length) of an open archive, in the order of the file, each verified."""
+    rows = []
+    for offset, length in sorted(places):
+        f.seek(offset)
+        r = next(records(io.BytesIO(f.read(length))))
+        body, size = r.payload()
+        kind = r.headers["warc-type"]
+        if kind == "response" and (len(body) != size or hashlib.sha1(body).digest() != r.digest):
+            raise ValueError(f"the payload of page {r.page()} does not match its digest")
+        rows.append((r.page(), size, r.digest.hex(), kind, r.page("warc-refers-to") if kind == "revisit" else None))
+    return rows
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    cols = list(zip(*rows, strict=True)) or [[]] * len(_CAPTURE)
+    return pa.table({n: pa.array(c, t) for (n, t), c in zip(_CAPTURE, cols, strict=True)})
+
+
+def _wanted(places: pa.Table) -> list[tuple[int, int]]:
+    return list(zip(places.column("offset").to_pylist(), places.column("length").to_pylist(), strict=True))
+
+
 def read_captures(index: CaptureIndex, places: DataFrame) -> DataFrame:
-    """Each record at (file, offset, length), read from its range and verified: the query's columns."""
-    spark = places.sparkSession
+    """Each record at (file, offset, length), read from its range and verified: the query's columns.
+
+    Only places are shuffled, by file; the task opens the archive, seeks and reads its ranges. Where tasks can't
+    open the shared folder's file system, archives (of about FILE_BYTES each) come with the places instead.
+    """
+    if index.seekable:
+
+        def ranges(key: tuple, wanted: pa.Table) -> pa.Table:
+            with open_archive(key[0].as_py()) as f:
+                return _table(_read(f, _wanted(wanted)))
+
+        return places.groupBy("file").applyInArrow(ranges, _CAPTURE_SCHEMA)
 
     def cut_out(wanted: pa.Table, archive: pa.Table) -> pa.Table:
-        rows = []
-        if archive.num_rows:
-            content = archive.column("content")[0].as_py()
-            for offset, length in sorted(zip(wanted.column("offset").to_pylist(), wanted.column("length").to_pylist(), strict=True)):
-                r = next(records(content[offset : offset + length]))
-                body, size = r.payload()
-                kind = r.headers["warc-type"]
-                if kind == "response" and (len(body) != size or hashlib.sha1(body).digest() != r.digest):
-                    raise ValueError(f"the payload of page {r.page()} does not match its digest")
-                rows.append((r.page(), size, r.digest.hex(), kind, r.page("warc-refers-to") if kind == "revisit" else None))
-        cols = list(zip(*rows, strict=True)) or [[], [], [], [], []]
-        return pa.table({n: pa.array(c, t) for n, c, t in zip(("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), cols, (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)})
-
-    files = archives(spark, index.archive_path).withColumnRenamed("path", "file")
-    return places.groupBy("file").cogroup(files.groupBy("file")).applyInArrow(cut_out, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+        return _table(_read(io.BytesIO(archive.column("content")[0].as_py()), _wanted(wanted)) if archive.num_rows else [])
+
+    files = archives(places.sparkSession, index.archive_path).select(F.col("path").alias("file"), "content")
+    return places.groupBy("file").cogroup(files.groupBy("file")).applyInArrow(cut_out, _CAPTURE_SCHEMA)
 
 
 def read_range(spark: SparkSession, path: str, offset: int, length: int) -> bytes:
