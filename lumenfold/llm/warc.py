@@ -243,6 +243,7 @@ class CaptureIndex:
     directory: list[str]
     archive_path: str
     seekable: bool = True
+    files: int = 1
 
     def blocks_of(self, key: str) -> list[str]:
         return _blocks_of(self.directory, key)
@@ -270,8 +271,8 @@ def _scanned(seekable: bool):
 def build_index(spark: SparkSession, archive_path: str, index_path: str) -> CaptureIndex:
     """Scan the archives once and write the two levels of their index."""
     found = archives(spark, archive_path)
-    seekable = _seekable(found)
-    found = found.select("path").repartition(max(1, min(65_536, found.count())), "path") if seekable else found.select("path", "content")
+    seekable, files = _seekable(found), max(1, min(65_536, found.count()))
+    found = found.select("path").repartition(files, "path") if seekable else found.select("path", "content")
     entries = cut(found.mapInArrow(_scanned(seekable), "key string, file string, offset long, length long"))
     lines = max(BLOCK_LINES, -(-entries.count() // MAX_BLOCKS))
 
@@ -295,7 +296,7 @@ def build_index(spark: SparkSession, archive_path: str, index_path: str) -> Capt
     done.write.parquet(index_path)
     stored = spark.read.parquet(index_path)
     directory = sorted(r.first_key for r in stored.select("first_key").collect())  # at most MAX_BLOCKS + ranges keys
-    return CaptureIndex(stored, directory, archive_path, seekable)
+    return CaptureIndex(stored, directory, archive_path, seekable, files)
 
 
 def _found(wanted: list[str], lines: list[bytes]) -> Iterator[tuple[str, str, int, int]]:
@@ -370,7 +371,8 @@ def read_captures(index: CaptureIndex, places: DataFrame) -> DataFrame:
             with open_archive(key[0].as_py()) as f:
                 return _table(_read(f, _wanted(wanted)))
 
-        return places.groupBy("file").applyInArrow(ranges, _CAPTURE_SCHEMA)
+        # places are few bytes; a number of partitions of their own keeps their reads from being put into one task
+        return places.repartition(index.files, "file").groupBy("file").applyInArrow(ranges, _CAPTURE_SCHEMA)
 
     def cut_out(wanted: pa.Table, archive: pa.Table) -> pa.Table:
         return _table(_read(io.BytesIO(archive.column("content")[0].as_py()), _wanted(wanted)) if archive.num_rows else [])
