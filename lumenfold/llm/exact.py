@@ -1,10 +1,11 @@
 """Exact duplicates with a heavy-hitter split, in DataFrame functions only.
 
-Misra-Gries summaries of ``COUNTERS`` digests are made per input partition and merged up a tree: counters
-are summed, the (COUNTERS+1)-th largest is taken from all, what falls to zero goes. Every digest that more
-than n / (COUNTERS + 1) rows have survives this. The survivors, at most ``COUNTERS`` rows of 32 bytes, are
-broadcast; their exact counts verify them, and the winners are then resolved on the map side. The remaining
-digests are grouped by an ordinary shuffle, which no group larger than n / (COUNTERS + 1) enters.
+Frequent digests are found by Spark's frequent-items aggregate, a mergeable Misra-Gries summary: every task
+keeps ``TRACKED`` counters for its rows (when they are full, all are lowered by a middle one and the empty ones
+go), the summaries, not the digests, are shuffled and merged, and no counter is off by more than 3.5 / TRACKED
+of the rows. So every digest that more than 1 / ``FREQUENT`` of the rows have comes out, and few others. These
+candidates are broadcast; their exact counts verify them, and the winners are then resolved on the map side.
+The remaining digests are grouped by an ordinary shuffle, which no group larger than n / FREQUENT enters.
 """
 
 from __future__ import annotations
@@ -15,10 +16,8 @@ from pyspark.sql.window import Window
 
 from lumenfold.runtime import cut
 
-COUNTERS = 255
-#: Partitions merged at a time; three levels cover 16 million partitions.
-FAN_IN = 256
-LEVELS = 3
+#: Digests with more than this part of all rows are heavy; counters of a summary, a power of two, 14 times as many at least.
+FREQUENT, TRACKED = 256, 4096
 #: Keys (40 bytes each) of rows to drop that are broadcast; more are shuffled, with the rows.
 FEW_KEYS = 250_000
 BLANKS = " \t\n\x0b\x0c\r"
@@ -29,29 +28,21 @@ def normalised(text) -> F.Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), BLANKS, "")
 
 
-def _prune(counted: DataFrame, counters: int) -> DataFrame:
-    """The merge rule of Misra-Gries summaries within each chunk."""
-    order = Window.partitionBy("chunk").orderBy(F.desc("n"), "digest")
-    ranked = counted.withColumn("place", F.row_number().over(order))
-    cut_off = F.coalesce(F.max(F.when(F.col("place") == counters + 1, F.col("n"))).over(Window.partitionBy("chunk")), F.lit(0))
-    return ranked.withColumn("n", F.col("n") - cut_off).where("n > 0").select("chunk", "digest", "n")
+def frequent_candidates(rows: DataFrame, frequent: int = FREQUENT, tracked: int = TRACKED) -> DataFrame:
+    """(mark): at most 2 * frequent hashes of digests, among them those of all that more than n / frequent rows have.
 
-
-def frequent_candidates(rows: DataFrame, counters: int = COUNTERS) -> DataFrame:
-    """At most ``counters`` digests, among them all that more than n / (counters + 1) rows have."""
-    found = rows.groupBy(F.spark_partition_id().alias("chunk"), "digest").agg(F.count("*").alias("n"))
-    found = _prune(found, counters)
-    for _ in range(LEVELS):
-        found = found.groupBy(F.floor(F.col("chunk") / FAN_IN).alias("chunk"), "digest").agg(F.sum("n").alias("n"))
-        found = _prune(found, counters)
-    return found.select("digest")
+    A digest is returned if its count is certainly above the largest error, 3.5 n / tracked; this holds for
+    all counts above twice that error, so 14 * frequent <= tracked would do for half as many rows.
+    """
+    found = rows.select(F.xxhash64("digest").alias("mark")).agg(F.expr(f"approx_top_k(mark, {2 * frequent}, {tracked})").alias("top"))
+    return found.select(F.explode("top.item").alias("mark"))
 
 
 def _best() -> F.Column:
     return F.min(F.struct((-F.col("len")).alias("len"), F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("best")
 
 
-def exact_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
+def exact_duplicates(docs: DataFrame, frequent: int = FREQUENT, tracked: int = TRACKED) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256) for every row of docs (doc_id, text).
 
     Texts are equal when identical without [\\x20\\x09-\\x0D]; null counts as empty. Of a group the row with
@@ -62,9 +53,9 @@ def exact_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     base = docs.select(F.col("doc_id"), F.char_length(text).cast("long").alias("len"), F.unhex(F.sha2(normalised(F.col("text")), 256)).alias("digest"))
     base = cut(base.withColumn("row", F.monotonically_increasing_id()))
     total = base.count()
-    candidates = cut(frequent_candidates(base, counters))
-    heavy = base.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.count("*").alias("group_size"), _best())
-    heavy = cut(heavy.where((F.col("group_size") * (counters + 1) > total) & (F.col("group_size") > 1)))
+    candidates = F.broadcast(cut(frequent_candidates(base, frequent, tracked)))
+    heavy = base.join(candidates, F.xxhash64("digest") == F.col("mark"), "left_semi").groupBy("digest").agg(F.count("*").alias("group_size"), _best())
+    heavy = cut(heavy.where((F.col("group_size") * frequent > total) & (F.col("group_size") > 1)))  # under frequent rows
     done = base.join(F.broadcast(heavy), "digest")
     rest = base.join(F.broadcast(heavy.select("digest")), "digest", "left_anti")
     groups = rest.groupBy("digest").agg(F.count("*").alias("group_size"), _best()).where("group_size > 1")

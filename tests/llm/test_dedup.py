@@ -112,20 +112,36 @@ def brute_exact(docs):
     return {i: (min(groups[norm(t)])[1], len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in docs}
 
 
-@pytest.mark.parametrize("counters", [1, 3, 255])
-def test_exact_duplicates_against_brute_force(spark, counters):
-    rng = random.Random(counters)
+@pytest.mark.parametrize("frequent", [1, 3, 256])
+def test_exact_duplicates_against_brute_force(spark, frequent):
+    rng = random.Random(frequent)
     docs = [(i, rng.choice([None, "", " ", "hot text", "hot  text", "h o t text"]) if rng.random() < 0.5 else f"t {rng.randrange(80)}") for i in range(600)]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    got = exact.exact_duplicates(df, counters).collect()
+    got = exact.exact_duplicates(df, frequent, 16 * frequent).collect()
     assert {r.doc_id: (r.keep_id, r.group_size, r.text_sha256) for r in got} == brute_exact(docs)
     assert all(r.kept == (r.doc_id == r.keep_id) for r in got) and len(got) == 600
 
 
 def test_heavy_hitters_are_found(spark):
-    df = spark.range(4000).selectExpr("CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 7 = 0 THEN 'b' ELSE concat('x', id) END AS digest").repartition(9)
-    found = {r.digest for r in exact.frequent_candidates(df, 20).collect()}
-    assert {"a", "b"} <= found and len(found) <= 20
+    df = spark.range(4000).selectExpr("CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 7 = 0 THEN 'b' WHEN id % 11 = 1 THEN 'c' ELSE concat('x', id) END AS digest").repartition(9)
+    marks = {r.mark: r.digest for r in df.selectExpr("xxhash64(digest) AS mark", "digest").distinct().collect()}
+    found = [marks[r.mark] for r in exact.frequent_candidates(df, 20, 512).collect()]
+    assert {"a", "b", "c"} <= set(found) and len(found) <= 40
+    assert exact.frequent_candidates(df.limit(0)).count() == 0
+    # nothing is frequent: few candidates, though every digest was seen
+    assert exact.frequent_candidates(spark.range(50_000).selectExpr("cast(id AS string) AS digest"), 20, 512).count() <= 40
+
+
+def test_frequent_digests_are_found_whatever_their_order(spark):
+    rng = random.Random(4)
+    for frequent, tracked in ((8, 128), (64, 1024)):
+        rows = [f"h{k}" for k in range(frequent - 1) for _ in range(20_000 // frequent + 1)]
+        rows += [f"x{i}" for i in range(20_000 - len(rows))]
+        rng.shuffle(rows)
+        df = spark.createDataFrame([(x,) for x in rows], "digest string").repartition(7)
+        marks = {r.mark: r.digest for r in df.selectExpr("xxhash64(digest) AS mark", "digest").distinct().collect()}
+        heavy = {x for x, n in collections.Counter(rows).items() if n * frequent > len(rows)}
+        assert heavy and heavy <= {marks[r.mark] for r in exact.frequent_candidates(df, frequent, tracked).collect()}
 
 
 def test_exact_duplicates_of_awkward_rows(spark):
