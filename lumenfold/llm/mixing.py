@@ -2,8 +2,10 @@
 
 A source of n rows with a share w of a target of T rows has the repetition rate w * T / n. Each row draws a
 uniform number from a hash of seed and doc_id; the count is the inverse of the Poisson distribution with
-that rate at that number. Rows are exploded by their counts and dealt to partitions and sorted there by a
-hash of seed, doc_id and copy: one shuffle that no source, however large, can skew.
+that rate at that number, summed up row by row in about as many steps as copies come out: what is sent to the
+rows is one rate per source, no table of the distribution. Rows are exploded by their counts and dealt to
+partitions and sorted there by a hash of seed, doc_id and copy: one shuffle that no source, however large, can
+skew.
 """
 
 from __future__ import annotations
@@ -14,8 +16,10 @@ from pyspark.sql import functions as F
 from lumenfold.runtime import cut
 
 SEED = 17
-#: The source table is broadcast up to this many (source, distribution) rows; larger ones are shuffled.
-BROADCAST_SOURCES = 10_000
+#: The source table (source, rate) is broadcast up to this many rows and bytes of names. Beyond, only the sources
+#: with more than 1 / HOT_PARTS of all rows are (as many at most); rows of the others meet theirs by a shuffle.
+BROADCAST_SOURCES, BROADCAST_BYTES = 100_000, 16 << 20
+HOT_PARTS = 500
 #: Columns that mix() adds; they replace columns of these names.
 ADDED = ("copy_no", "rate", "shuffle_key")
 
@@ -26,17 +30,22 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_distribution(rate: Column) -> Column:
-    """P(X <= k) for k = 0, 1, ... until nothing is left in double precision."""
+def poisson_inverse(rate: Column, u: Column) -> Column:
+    """The least k with P(X <= k) >= u, at most where nothing is left of the distribution in double precision.
+
+    The probabilities are summed up from 0 and nothing but the sum is kept.
+    """
     last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.lit(0.0).alias("log_k"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all"))
+    start = F.struct(F.lit(0.0).alias("log_k"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
 
     def step(acc: Column, k: Column) -> Column:
         log_k = acc["log_k"] + F.when(k > 0, F.log(F.greatest(k, F.lit(1)).cast("double"))).otherwise(0.0)
         total = acc["sum"] + F.exp(-rate + F.when(k > 0, k * F.log(rate)).otherwise(0.0) - log_k)
-        return F.struct(log_k.alias("log_k"), total.alias("sum"), F.concat(acc["all"], F.array(total)).alias("all"))
+        return F.struct(log_k.alias("log_k"), total.alias("sum"), (acc["n"] + F.when(total < u, 1).otherwise(0)).alias("n"))
 
-    return F.aggregate(F.sequence(F.lit(0), last), start, step)["all"]
+    # once the sum has passed u, the remaining steps are skipped
+    go_on = lambda acc, k: F.when((k > 0) & (acc["sum"] >= u), acc).otherwise(step(acc, k))
+    return F.when(rate > 0, F.aggregate(F.sequence(F.lit(0), last), start, go_on)["n"]).otherwise(0)
 
 
 def rates(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, source: str = "source") -> DataFrame:
@@ -58,20 +67,29 @@ def rates(docs: DataFrame, weights: DataFrame | None = None, total: int | None =
     return sizes.select("_source", "rows", F.coalesce(F.try_divide(F.col("weight") * aim, F.lit(sums.weight) * F.col("rows")), F.lit(0.0)).alias("rate"))
 
 
+def _with_rates(rows: DataFrame, table: DataFrame, source: Column) -> DataFrame:
+    """rows with the rate of their source."""
+    size = table.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.col("_source").cast("string"))), F.lit(0)).alias("bytes"), F.coalesce(F.sum("rows"), F.lit(0)).alias("rows")).first()
+    own = source.eqNullSafe(F.col("_source"))
+    if size.n <= BROADCAST_SOURCES and size.bytes <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), own)
+    hot = F.broadcast(table.where(F.col("rows") * HOT_PARTS > size.rows))
+    cold = table.where(F.col("rows") * HOT_PARTS <= size.rows)
+    return rows.join(hot, own).unionByName(rows.join(hot, own, "left_anti").join(cold, own))
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, total: int | None = None, seed: int = SEED, source: str = "source") -> DataFrame:
     """Every copy of every row, with copy_no (1, 2, ...), rate and shuffle_key; rows come shuffled.
 
     docs needs doc_id and the source column and keeps all its columns. Repeated rows draw the same count,
     each its own copies; a null doc_id draws as the text "null". An empty table gives no rows.
     """
-    table = cut(rates(docs, weights, total, source).withColumn("_cdf", F.when(F.col("rate") > 0, poisson_distribution(F.col("rate"))).otherwise(F.array(F.lit(2.0)))))
-    if table.count() <= BROADCAST_SOURCES:
-        table = F.broadcast(table)
+    table = cut(rates(docs, weights, total, source))
     # whole rows travel in a struct, so that no column of docs meets a name used here
     key = F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("null"))
     rows = docs.select(F.struct("*").alias("doc"))
-    joined = rows.join(table, F.col(f"doc.{source}").eqNullSafe(F.col("_source"))).withColumn("u", uniform(F.lit(seed), key))
-    counted = joined.withColumn("n", F.size(F.filter("_cdf", lambda c: c < F.col("u")))).where("n > 0")
+    joined = _with_rates(rows, table, F.col(f"doc.{source}")).withColumn("u", uniform(F.lit(seed), key))
+    counted = joined.withColumn("n", poisson_inverse(F.col("rate"), F.col("u"))).where("n > 0")
     copies = counted.withColumn("copy_no", F.explode(F.sequence(F.lit(1), F.col("n"))))
     copies = copies.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(str(seed)), key, F.col("copy_no").cast("string"))))
     own = [F.col("doc").getField(c).alias(c) for c in docs.columns if c.lower() not in ADDED]
