@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenfold.llm.words import tidied
+from lumenfold.llm.words import pieces, tidied
 from lumenfold.runtime import cut
 
 #: The most labelled texts (by hash) that a lexicon is learned from.
@@ -175,14 +175,23 @@ def _clean_terms(wanted: frozenset[str]):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> DataFrame:
-    """(doc_id, text, toxic, half) of at most about ``bound`` labelled texts, chosen by hash; equal texts once."""
+    """(doc_id, text, toxic, half) of at most ``bound`` labelled texts, chosen by hash; equal texts once.
+
+    half is of the whole text's hash. A text with both labels counts as toxic. Rows that repeat a doc_id are
+    different texts under one label.
+    """
     y = labels.where("toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = max(1, y.count())
-    if n > bound:
+    if n > bound:  # about bound labels, so that they can be broadcast
         y = y.where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 20)) < int(bound / n * (1 << 20)))
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(y), "doc_id")  # about bound labels at most
-    return rows.withColumn("half", F.pmod(F.xxhash64(F.substring("text", 1, 200)), F.lit(2)).cast("int"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    seen = rows.join(F.broadcast(y), "doc_id").select("doc_id", "toxic", F.unhex(F.md5("text")).alias("digest"))
+    picked = seen.groupBy("digest").agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("doc_id"))
+    picked = cut(picked.orderBy(F.xxhash64("digest"), "digest").limit(bound))
+    # one row of each text that was picked; texts are hashed where the doc_id is among those
+    near = rows.join(F.broadcast(picked.select("doc_id").distinct()), "doc_id", "left_semi").withColumn("digest", F.unhex(F.md5("text")))
+    found = near.join(F.broadcast(picked), ["doc_id", "digest"]).groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    return found.select("doc_id", "text", "toxic", F.pmod(F.xxhash64("digest"), F.lit(2)).cast("int").alias("half"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Lexicon:
@@ -250,14 +259,14 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.automaton()
-        for batch in batches:
+        for part in (p for batch in batches for p in pieces(batch)):
             scores, hits = [], []
-            for text in batch.column("text"):
+            for text in part.column("text"):
                 folded = fold(text.as_py() or "")
                 total, places = weigh(folded, machine)
                 scores.append(lexicon.score(normalise(total, folded.count(" ") - 1)))
                 hits.append(len(places))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= CUT) for s in scores], pa.int32()), pa.array(hits, pa.int64())], ["doc_id", "score", "predicted", "hits"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array([int(s >= CUT) for s in scores], pa.int32()), pa.array(hits, pa.int64())], ["doc_id", "score", "predicted", "hits"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return base.mapInArrow(tidied(run), "doc_id long, score double, predicted int, hits long")
@@ -268,12 +277,12 @@ def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.automaton()
-        for batch in batches:
+        for part in (p for batch in batches for p in pieces(batch)):
             keep = []
-            for text in batch.column("text"):
+            for text in part.column("text"):
                 folded = fold(text.as_py() or "")
                 keep.append(lexicon.score(normalise(weigh(folded, machine)[0], folded.count(" ") - 1)) < CUT)
-            yield batch.filter(pa.array(keep, pa.bool_()))
+            yield part.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(tidied(run), docs.schema)
 
