@@ -92,6 +92,17 @@ def test_toxicity_learns_words_and_excuses(spark):
     assert toxicity.learn(docs, y.limit(0)).weights == toxicity.PRIOR
 
 
+def test_labelled_sample_is_bounded_and_holds_equal_texts_once(spark):
+    docs = spark.range(3000).selectExpr("id % 6 AS doc_id", "concat('text ', id % 300) AS text").union(spark.createDataFrame([(7, None), (7, None), (8, ""), (None, "x")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(9)] + [(3, 0), (8, None)], "doc_id long, toxic int")
+    rows = toxicity.labelled_sample(docs, labels, 10).collect()
+    assert len(rows) == len({r.text for r in rows}) == 10
+    every = toxicity.labelled_sample(docs, labels, 1000).collect()
+    assert sorted(r.text for r in every) == sorted({"", *(f"text {k}" for k in range(300))})
+    assert {r.half for r in every} == {0, 1} and {r.text: r.toxic for r in every}[""] == 1
+    assert toxicity.labelled_sample(docs, labels.limit(0)).count() == toxicity.labelled_sample(docs.limit(0), labels).count() == 0
+
+
 def test_toxicity_of_awkward_rows(spark):
     rows = toxicity.score(awkward(spark), toxicity.Lexicon()).collect()
     assert len(rows) == 15 and all(0 <= r.score <= 1 for r in rows)
@@ -170,21 +181,94 @@ def test_secrets(spark):
         by[r.doc_id].append(r.is_secret)
     assert by[1] == [True] and by[2] == [False] and by[3] == [False] and by[4][-1] is True and set(by) == {1, 2, 3, 4}
     assert secrets.scan(df.limit(0)).count() == 0
-    model = secrets.fit(secrets.rule_labelled(spark, 600))
-    held = secrets.rule_labelled(spark, 3000).where("label is not null")
-    right = model.transform(secrets._assembled(held)).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0]
-    assert right > 0.95
+
+
+def test_secrets_of_other_templates_than_those_learned(spark):
+    import random
+    import string
+
+    rng = random.Random(12)
+    of = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    rows = []
+    for _ in range(60):
+        hexes, mixed = of("0123456789abcdef", 40), of(string.ascii_letters + string.digits, 32)
+        rows += [(f"aws_secret_access_key: {mixed}", mixed, 1), (f'X-Auth-Token="{hexes}"', hexes, 1), (f'  "clientSecret" : "{mixed}",', mixed, 1), (f"export SIGNING_KEY_SECRET={hexes} # x", hexes, 1)]
+        rows += [(f"blob {hexes} of the tree", hexes, 0), (f"ETag: {mixed}", mixed, 0), (f"build {of(string.digits, 18)} is out", None, 0), (f"md5sum {hexes[:32]} file.tar", hexes[:32], 0)]
+    df = spark.createDataFrame([(i, t, "") for i, (t, _, _) in enumerate(rows)], "doc_id int, text string, source string")
+    found = {(r.doc_id, r.token): r.is_secret for r in secrets.scan(df).collect()}
+    caught = [found.get((i, k), False) for i, (_, k, y) in enumerate(rows) if y]
+    wrong = [any(s for (j, _), s in found.items() if j == i) for i, (_, _, y) in enumerate(rows) if not y]
+    assert np.mean(caught) > 0.9 > 0.1 > np.mean(wrong)
+
+
+def test_the_path_tells_false_positives(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    paths = ["", "src/config.py", "tests/fixtures/a.json", "vendor/x.js"]
+    df = spark.createDataFrame([(i, f'token = "{key}"', p) for i, p in enumerate(paths)], "doc_id int, text string, path string")
+    assert [r.is_secret for r in secrets.scan(df, path="path").orderBy("doc_id").collect()] == [True, True, False, False]
+
+
+def brute_candidates(docs, path="source"):
+    """Candidates by Python's regex module, one by one."""
+    import regex
+
+    pattern = regex.compile(secrets.CANDIDATE)
+    out = []
+    for r in docs:
+        t = r["text"] or ""
+        hits = list(pattern.finditer(t))
+        for h in hits:
+            out.append((r["doc_id"], h.start(), h[0], t[max(0, h.start() - secrets.CONTEXT) : h.start()], t[h.end() : h.end() + secrets.CONTEXT], r[path] or ""))
+    return sorted(out, key=str)
+
+
+def test_secret_candidates_against_brute_force(spark, tiny, monkeypatch):
+    monkeypatch.setattr(secrets, "BLOCK", 3)
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text", "source")
+    key = "a1b2c3d4e5f6a7b8c9d0"
+    many = " ".join(f"tok{i}{key}" for i in range(50)) + " postgres://u:pw!word@h/ password=hunter2 é漢🙂 " + key
+    extra = spark.createDataFrame([(-1, many, None), (-1, many, None), (None, key, "s"), (-2, "x" * 100_000, "s"), (-3, None, "s"), (-4, "", None)], "doc_id long, text string, source string")
+    docs = docs.unionByName(extra)
+    got = sorted([(r.doc_id, r.start, r.token, r.before, r.after, r.path) for r in secrets.candidates(docs).collect()], key=str)
+    want = brute_candidates(docs.collect())
+    # what stands after a token ends at the next one, and before it reaches over the last one only
+    assert [x[:3] for x in got] == [x[:3] for x in want] and len(got) > 60
+    assert all(w[3].endswith(g[3]) and w[4].startswith(g[4]) and g[5] == w[5] for g, w in zip(got, want, strict=True))
+    assert any(t == "pw!word" for _, _, t, *_ in got)
+
+
+def test_secrets_of_awkward_rows(spark):
+    rows = awkward(spark).withColumn("text", F.concat("text", F.lit(" api_key=04dbebab91ab85687d33eeaaf9ac699e1188f962")))
+    got = secrets.scan(rows).collect()
+    assert sum(r.token.startswith("04db") for r in got) == 13 and all(r.is_secret for r in got if r.token.startswith("04db"))
+    assert secrets.scan(none(spark)).count() == 0
+
+
+def test_secret_candidates_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(1, " ".join(f"k{i:06d}a1b2c3d4e5f6a7" for i in range(n)), "s")], "doc_id int, text string, source string")
+        begin = time.time()
+        assert secrets.candidates(df).selectExpr("count(*) AS n", "sum(start) AS s", "sum(length(before)) AS b").first().n == n
+        return time.time() - begin
+
+    seconds(1000)
+    assert seconds(64_000) < 8 * seconds(16_000) + 2
 
 
 def test_mixing(spark):
-    cdf = spark.range(1).select(mixing.poisson_distribution(F.lit(2.5)).alias("c")).first().c
-    acc, p = 0.0, math.exp(-2.5)
+    def inverse(rate, u):
+        return spark.createDataFrame([(float(x),) for x in u], "u double").select(mixing.poisson_inverse(F.lit(rate), F.col("u")).alias("n")).toPandas()["n"].tolist()
+
+    acc, p, steps = 0.0, math.exp(-2.5), []
     for k in range(20):
         acc += p
-        assert cdf[k] == pytest.approx(acc)
+        steps.append(acc)
         p *= 2.5 / (k + 1)
-    big = spark.range(1).select(mixing.poisson_distribution(F.lit(2000.0)).alias("c")).first().c
-    assert big[-1] == pytest.approx(1.0) and big[2000] == pytest.approx(0.5, abs=0.02)
+    us = np.random.default_rng(3).random(300)
+    assert inverse(2.5, us) == [sum(c < u for c in steps) for u in us]
+    assert inverse(0.0, [0.5]) == [0] and abs(inverse(2000.0, [0.5])[0] - 2000) < 2 and inverse(2000.0, [1 - 1e-15])[0] < 2600
     docs = spark.range(6000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('s', id % 4) END AS source", "id AS rate")
     weights = spark.createDataFrame([("hot", 0.5), ("s1", 0.5), ("other", 3.0)], "source string, weight double")
     rows = mixing.mix(docs, weights, total=8000).collect()
@@ -200,6 +284,14 @@ def test_mixing(spark):
     assert mixing.mix(none(spark)).count() == 0
 
 
+def test_mixing_with_more_sources_than_are_broadcast(spark, monkeypatch):
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE concat('s', id % 40) END AS source").repartition(5)
+    want = sorted((r.doc_id, r.copy_no, r.rate) for r in mixing.mix(docs).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    monkeypatch.setattr(mixing, "HOT_PARTS", 6)
+    assert sorted((r.doc_id, r.copy_no, r.rate) for r in mixing.mix(docs).collect()) == want
+
+
 def test_imatch(spark, tiny, monkeypatch):
     monkeypatch.setattr(imatch, "RANGE_BYTES", 50_000)
     rows = sorted(((r.doc_id, r.text) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()), reverse=True)
@@ -225,10 +317,94 @@ def test_imatch_prints_every_word_of_the_lexicon():
 
     own = [f"w{i}" for i in range(1000)]
     lex = np.sort(imatch.hash_words(pa.array([" ".join(own)]))[0])
-    whole, *less = imatch.fingerprints(pa.array([" ".join(own), *(" ".join(own[:i] + own[i + 1 :]) for i in range(1000))]), lex)
-    assert whole not in less and all(0.99 < imatch.likeness(whole, p) < 1 for p in less)
-    a, b = imatch.fingerprints(pa.array([" ".join(own[:600]), " ".join(own[:590] + own[990:])]), lex)
-    assert 0.9 < imatch.likeness(a, b) < 1
+    prints = imatch.fingerprints(pa.array([" ".join(own), *(" ".join(own[:i] + own[i + 1 :]) for i in range(1000)), " ".join(own[500:] + own[:500]) + " other", " ".join(own[:40])]), lex)
+    whole, *less, turned, part = prints.lines()
+    assert whole not in less and turned == whole and len(set(less)) == 1000 and len(part) == len(whole) - 1
+    assert all(0.8 < imatch.likeness(whole, p) < 1 for p in less) and np.mean([imatch.likeness(whole, p) for p in less]) > 0.95
+    shared = [f"w{i}" for i in range(32)]
+    a, b = imatch.fingerprints(pa.array([" ".join(shared + own[32:500]), " ".join(shared + own[500:968])]), lex).lines()
+    assert a != b and imatch.likeness(a, b) < 0.2
+
+
+def brute_print(text, lex):
+    """Kind, level, whole and subset hashes of one text in plain integers."""
+    import pyarrow as pa
+
+    full = (1 << 64) - 1
+
+    def mix(x):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ (x >> 33)) * m & full
+        return x ^ (x >> 33)
+
+    found = {int(h) for h in imatch.hash_words(pa.array([text or ""]))[0]}
+    if not found:
+        return "empty"
+    own = found & {int(x) for x in lex}
+    kind, own = ("i", own) if own else ("w", found)
+    level = math.ceil(math.log2(len(own)))
+    whole = max(1, mix(sum(map(mix, own)) & full))
+    parts = []
+    for step in range(imatch.LEVELS):
+        hashes = []
+        for x, o in zip(imatch._XOR.tolist(), imatch._ODD.tolist(), strict=True):
+            places = [((t ^ x) * o) & full for t in own]
+            some = sum(p for p in places if p >> (64 - level - step) == 0 or level + step == 0) & full
+            hashes.append(max(1, mix(some) >> 32) if some else 0)
+        parts.append("".join(f"{h:08x}" for h in hashes))
+    return f"{kind}{level}:{whole:016x}:{':'.join(parts)}"
+
+
+def brute_likeness(p, q):
+    if p == q:
+        return 1.0
+    if "empty" in (p, q) or p[0] != q[0]:
+        return 0.0
+    (a, _, *x), (b, _, *y) = p[1:].split(":"), q[1:].split(":")
+    same = either = 0
+    for i, u in enumerate(x):
+        for j, v in enumerate(y):
+            if int(a) + i == int(b) + j:
+                for k in range(0, len(u), 8):
+                    either += (u[k : k + 8], v[k : k + 8]) != ("0" * 8, "0" * 8)
+                    same += u[k : k + 8] == v[k : k + 8] != "0" * 8
+    return same / (either + 1)
+
+
+def test_imatch_against_brute_force(spark, tiny):
+    docs = sorted(((r.doc_id, r.text) for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()), reverse=True)
+    df = collections.Counter(w for _, t in docs for w in set(words(t)))
+    band = [w for w, n in df.items() if max(imatch.AT_LEAST, imatch.LOWEST * len(docs)) <= n <= imatch.HIGHEST * len(docs)]
+    import pyarrow as pa
+
+    lex = imatch.hash_words(pa.array([" ".join(band)]))[0]
+    got = {r.doc_id: r for r in QUERIES["op9_imatch"](spark, tiny).collect()}
+    for (i, t), (_, n) in list(zip(docs, [*docs[1:], docs[0]], strict=True))[::3]:
+        k = len(t) // 3
+        own, changed, after = (brute_print(x, lex) for x in (t, t[: len(t) - k] + n[:k], n))
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (own, changed)
+        assert got[i].near_edited == pytest.approx(brute_likeness(own, changed)) and got[i].near_next == pytest.approx(brute_likeness(own, after))
+
+
+def test_imatch_ranges_of_hot_and_missing_ids(spark, monkeypatch):
+    import hashlib
+    import random
+
+    monkeypatch.setattr(imatch, "RANGE_BYTES", 3000)
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(300)}" for _ in range(rng.randrange(1, 60)))
+    rows = [(i, text()) for i in range(100)] + [(50, text()) for _ in range(100)] + [(None, text()) for _ in range(100)] + [(None, "same same")] * 30 + [(70, None)] * 5
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    hashes = {r.t: r.h for r in df.selectExpr("coalesce(text, '') AS t", "xxhash64(coalesce(text, '')) AS h").collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = []
+    for (i, t), (_, n) in zip(order, [*order[1:], order[0]], strict=True):
+        k = len(t) // 3
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()))
+    got = [(r.doc_id, r.n_chars, r.edited_sha256) for r in imatch.with_edits(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    ranges = imatch._ranges(df.selectExpr("doc_id", "xxhash64(coalesce(text, '')) AS h", "cast(octet_length(coalesce(text, '')) AS long) AS size"))
+    assert ranges.slices.max() > 3 and len(ranges.first) > 10
 
 
 def test_secrets_behind_names_and_short_ones(spark):
