@@ -32,6 +32,65 @@ CLIP = (r"^(\d)-(\d+)-([A-Z])-(\d+)\.wav$", ["fold", "clip", "take", "target"],
 FLIGHT = (r"^([A-Za-z0-9]+)_(\d+)_e(\d+)$", ["subtype", "speed", "event_index"], ("speed", "event_index"))
 
 
+#: Patterns of names. Archives by rotor, device and vehicle; members by height, distance, date and number;
+#: flights by vehicle, manoeuvre and number.
+ARCHIVE = (r"(?i)^(X[46])_(D\d+)_(.+)\.zip$", ["rotor", "drone", "vehicle"], ())
+MEMBER = (r"(?i)_(\d+)m_(\d+)m_(\d{6})_+(\d+)(?:_[^.]+)?\.wav$", ["height", "distance", "date", "measurement"], ("height", "distance", "measurement"))
+MANOEUVRE = (r"^data/([a-z0-9]+)_(flyover|hover)_([0-9]+)\.mat$", ["vehicle", "manoeuvre", "flight"], ("flight",))
+#: Dates in names, as 2024-01-31 with any or no separator, or as six digits on their own.
+DATE = r"20\d{2}[-_.]?\d{2}[-_.]?\d{2}|(?<!\d)\d{6}(?!\d)"
+
+
+def labelled_flight(name: Column, labels: dict[str, int], groups: dict[str, str] | None = None) -> Column:
+    """struct(vehicle, manoeuvre, flight, label, acquisition_group) of a member's name; null for other names.
+
+    A vehicle without a label is an error.
+    """
+    parts = named_parts(name, *MANOEUVRE)
+    vehicle = parts.getField("vehicle")
+    of = lambda table, kind: F.coalesce(*[F.when(vehicle == k, v) for k, v in table.items()], F.lit(None).cast(kind))
+    unknown = F.raise_error(F.concat(F.lit("no label for the vehicle "), vehicle)).cast("int")
+    made = F.struct(*[parts.getField(f).alias(f) for f in MANOEUVRE[1]], F.coalesce(of(labels, "int"), unknown).alias("label"), of(groups or {}, "string").alias("acquisition_group"))
+    return F.when(name.rlike(MANOEUVRE[0]), made)
+
+
+def group_and_condition(path: Column, marker: str = "_paperdist_") -> Column:
+    """struct(source_group, condition) of a recording's name: what stands before the marker, and the T with two digits."""
+    name = stem(path)
+    condition = F.nullif(F.regexp_extract(name, r"_(T\d{2})_", 1), F.lit(""))
+    return F.struct(F.substring_index(name, marker, 1).alias("source_group"), F.coalesce(condition, F.lit("unknown")).alias("condition"))
+
+
+def keyword(text: Column, words: list[str], other: str = "other") -> Column:
+    """The first of the words that the text holds, in any case."""
+    low = F.lower(text)
+    return F.coalesce(*[F.when(low.contains(w.lower()), F.lit(w)) for w in words], F.lit(other))
+
+
+def device(path: Column, names: dict[str, str], other: str = "unknown") -> Column:
+    """The name of the device whose token the path holds, in any case."""
+    up = F.upper(path)
+    return F.coalesce(*[F.when(up.contains(token.upper()), F.lit(name)) for token, name in names.items()], F.lit(other))
+
+
+def date_in(name: Column) -> Column:
+    """The first date in a name as digits only (eight, or six with a two-digit year); null without one."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(name, DATE, 0), "[-_.]", ""), F.lit(""))
+
+
+def filled(template: str, **values: Column) -> Column:
+    """The template with its {names} replaced by columns."""
+    out = F.lit(template)
+    for k, v in values.items():
+        out = F.replace(out, F.lit("{" + k + "}"), v.cast("string"))
+    return out
+
+
+def truthy(x: Column) -> Column:
+    """Whether the text is 1, true, yes or y, in any case; null and all else: false."""
+    return F.coalesce(F.lower(F.trim(x.cast("string"))).isin("1", "true", "yes", "y"), F.lit(False))
+
+
 def snr_label(x: Column) -> Column:
     """snr_+10_db."""
     return F.format_string("snr_%+.0f_db", x.cast("double"))

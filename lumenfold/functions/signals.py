@@ -67,6 +67,16 @@ def encode_wav(rate: int, samples: np.ndarray) -> bytes:
     return b"RIFF" + struct.pack("<I", 36 + len(pcm)) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, rate, rate * 2, 2, 16) + b"data" + struct.pack("<I", len(pcm)) + pcm
 
 
+def encoded_wav(rate: int):
+    """A pandas UDF: samples as 16-bit PCM WAV, one channel."""
+
+    @F.pandas_udf(T.BinaryType())
+    def run(samples: pd.Series) -> pd.Series:
+        return pd.Series([encode_wav(rate, s) for s in samples], dtype=object)
+
+    return run
+
+
 _DECODED = T.StructType([T.StructField("rate", T.IntegerType()), T.StructField("samples", T.ArrayType(T.FloatType())), T.StructField("error", T.StringType())])
 
 
@@ -129,17 +139,26 @@ def waveform_hashes(samples: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([hashes_of(s) for s in samples], columns=["float32_sha256", "pcm16_sha256"])
 
 
-def gain_invariant_hash(header: str, normalise: bool = True):
-    """A pandas UDF: SHA-256 of a header and the samples as 16-bit PCM, at full scale if normalise."""
+def gain_invariant_hash(protocol: str, rate: int = 16000, normalise: bool = True):
+    """A pandas UDF: SHA-256 of a header and the samples, which are at the rate, as 16-bit PCM, at full scale if normalise.
+
+    Samples are held below 1 by one step; a silent signal isn't scaled; samples that aren't finite are errors.
+    """
+    top = 1.0 - 1.0 / 32768.0
 
     @F.pandas_udf(T.StringType())
     def run(samples: pd.Series) -> pd.Series:
         out = []
         for s in samples:
-            x = np.asarray(s, float)
-            top = np.abs(x).max() if len(x) else 0.0
-            x = x / top if normalise and top > 1e-8 else x
-            out.append(hashlib.sha256(header.encode() + b"\0" + np.rint(np.clip(x, -1, 1) * 32767).astype("<i2").tobytes()).hexdigest())
+            x = np.asarray(s, np.float32)
+            if not np.isfinite(x).all():
+                raise ValueError("samples must be finite")
+            x = np.clip(x, -1.0, top)
+            peak = float(np.abs(x).max()) if len(x) else 0.0
+            if normalise and peak > 1e-8:
+                x = np.clip(x / peak, -1.0, top)
+            header = f"{protocol}|rate={rate}|samples={len(x)}|gain_normalized={int(normalise)}|"
+            out.append(hashlib.sha256(header.encode() + np.rint(x * 32768.0).astype("<i2").tobytes()).hexdigest())
         return pd.Series(out, dtype=object)
 
     return run
@@ -167,40 +186,118 @@ def spectral_fingerprint(rate: int, bands: int = 48, frame: int = 1024):
     return run
 
 
-def band_energy(rate: int, edges: tuple[float, ...] = (0, 500, 2000, 4000, 8000)):
-    """A pandas UDF: the share of spectral energy between consecutive edges, and above the last."""
-
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def run(samples: pd.Series) -> pd.Series:
-        out = []
-        for s in samples:
-            power = np.abs(np.fft.rfft(np.asarray(s, float))) ** 2
-            f = np.fft.rfftfreq(len(s), 1 / rate)
-            total = power.sum() or 1.0
-            out.append([float(power[(f >= a) & (f < b)].sum() / total) for a, b in zip(edges, [*edges[1:], np.inf], strict=True)])
-        return pd.Series(out)
+_BANDS = T.StructType([T.StructField("shares", T.ArrayType(T.DoubleType())), T.StructField("above", T.DoubleType()), T.StructField("above_db", T.DoubleType())])
 
-    return run
 
+def band_energy(rate: int, edges: tuple[float, ...] = (0, 8000, 12000, 16000, 20000)):
+    """A pandas UDF: struct(shares, above, above_db) of the centred signal under a Hann window.
 
-def harmonic_profile(rate: int, low: float = 60.0, high: float = 400.0, harmonics: int = 5, frame: int = 4096):
-    """A pandas UDF: struct(f0, strength, centroid, rolloff, flatness) of the mean spectrum."""
-    kind = T.StructType([T.StructField(n, T.DoubleType()) for n in ("f0", "strength", "centroid", "rolloff", "flatness")])
-    f = np.fft.rfftfreq(frame, 1 / rate)
+    shares are of the energy up to the last edge that lies between consecutive ones (below half the rate); above is
+    the sum of all but the first, also in dB. Signals of under 64 samples are errors.
+    """
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(_BANDS)
     def run(samples: pd.Series) -> pd.DataFrame:
         rows = []
         for s in samples:
-            x = np.pad(np.asarray(s, float), (0, max(0, frame - len(s))))[:frame]
-            power = np.abs(np.fft.rfft(x * np.hanning(frame))) ** 2 + 1e-18
-            share = power / power.sum()
-            grid = np.arange(low, high, 1.0)
-            at = np.rint(grid[:, None] * np.arange(1, harmonics + 1) * frame / rate).astype(int)
-            score = np.where(at < len(share), share[np.minimum(at, len(share) - 1)], 0).sum(1)
-            best = int(score.argmax())
-            rows.append((grid[best], score[best], float((f * share).sum()), float(f[np.searchsorted(share.cumsum(), 0.85)]), float(np.exp(np.log(power).mean()) / power.mean())))
-        return pd.DataFrame(rows, columns=["f0", "strength", "centroid", "rolloff", "flatness"])
+            x = np.asarray(s, float)
+            if len(x) < 64:
+                raise ValueError("a signal of under 64 samples has no bands")
+            power = np.abs(np.fft.rfft((x - x.mean()) * np.hanning(len(x)))) ** 2
+            f = np.fft.rfftfreq(len(x), 1 / rate)
+            total = max(power[f <= edges[-1]].sum(), np.finfo(float).tiny)
+            shares = [float(power[(f >= a) & (f < min(b, rate / 2))].sum() / total) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            rows.append((shares, sum(shares[1:]), 10 * math.log10(max(sum(shares[1:]), 1e-15))))
+        return pd.DataFrame(rows, columns=["shares", "above", "above_db"])
+
+    return run
+
+
+EPSILON = 1e-12
+#: Fixed values of the harmonic features: Hz of the lowest band, the range of fundamentals, the last harmonic, and frames of a segment.
+LOWEST_HZ, FUNDAMENTALS_HZ, LAST_HARMONIC_HZ, FRAMES = 20.0, (40.0, 500.0), 6000.0, 4
+HARMONIC_FEATURES = 61
+
+
+def rolloffs(power: np.ndarray, f: np.ndarray, shares: tuple[float, ...]) -> np.ndarray:
+    """rows x shares: the frequency below (or at) which each share of a row's power lies."""
+    total = np.cumsum(power, 1)
+    places = np.stack([(total < share * power.sum(1, keepdims=True)).sum(1) for share in shares], 1)
+    return f[np.minimum(places, len(f) - 1)]
+
+
+def above_floor(log_power: np.ndarray, width: int) -> np.ndarray:
+    """Log power less its running mean over width bins (beyond the ends: zeros)."""
+    half = width // 2
+    sums = np.cumsum(np.pad(log_power, ((0, 0), (half + 1, half))), 1)
+    return log_power - (sums[:, width:] - sums[:, :-width]) / width
+
+
+def comb_search(residual: np.ndarray, low: int, high: int, last: int, harmonics: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the bin from low to high whose multiples stand out most, its score, and the residual at them.
+
+    The score is the mean over multiples k up to the bin last, weighted by 1 / sqrt(k); beyond it multiples are 0.
+    """
+    order = np.arange(1, harmonics + 1)
+    bins = np.arange(low, high + 1)[:, None] * order
+    weight = (bins <= last) / np.sqrt(order)
+    at = np.minimum(bins, last)
+    score = np.einsum("nck,ck->nc", residual[:, at], weight) / np.maximum(weight.sum(1), EPSILON)
+    best = score.argmax(1)
+    rows = np.arange(len(residual))
+    return low + best, score[rows, best], np.where(bins[best] <= last, residual[rows[:, None], at[best]], 0.0)
+
+
+def harmonics_of(x: np.ndarray, rate: int = 16000, n_fft: int = 16384, bands: int = 32, harmonics: int = 12) -> np.ndarray:
+    """segments x 61 of one-second segments (segments x rate): level, centroid, bandwidth, flatness, entropy and three
+    roll-offs; band levels; the fundamental, its comb and profile; and how steady it is over four frames."""
+    x = np.asarray(x, float)
+    if x.ndim != 2 or x.shape[1] != rate or n_fft < rate or not np.isfinite(x).all():
+        raise ValueError("harmonic features are of finite segments of one second")
+    x = x - x.mean(1, keepdims=True)
+    power = np.abs(np.fft.rfft(x * np.hanning(rate), n_fft)) ** 2 + EPSILON
+    f, half = np.fft.rfftfreq(n_fft, 1 / rate), rate / 2
+    heard = (f >= LOWEST_HZ) & (f <= half)
+    p, g = power[:, heard], f[heard]
+    share = p / p.sum(1, keepdims=True)
+    centre = share @ g
+    spread = np.sqrt(np.maximum((share * (g - centre[:, None]) ** 2).sum(1), 0))
+    flat = np.exp(np.log(p).mean(1)) / np.maximum(p.mean(1), EPSILON)
+    entropy = -(share * np.log(share + EPSILON)).sum(1) / np.log(p.shape[1])
+    overall = np.column_stack([np.log10((x**2).mean(1) + EPSILON), centre / half, spread / half, flat, entropy, rolloffs(p, g, (0.5, 0.85, 0.95)) / half])
+
+    edge = np.searchsorted(f, np.geomspace(LOWEST_HZ, half, bands + 1))
+    level = np.log10(np.stack([power[:, a:b].mean(1) for a, b in zip(edge[:-1], edge[1:], strict=True)], 1) + EPSILON)
+    level = level - level.mean(1, keepdims=True)
+
+    step = rate / n_fft
+    last = int(np.searchsorted(f, LAST_HARMONIC_HZ, side="right")) - 1
+    residual = above_floor(np.log10(power), 41)
+    place, strength, profile = comb_search(residual, max(1, math.ceil(FUNDAMENTALS_HZ[0] / step)), math.floor(FUNDAMENTALS_HZ[1] / step), last, harmonics)
+    scale = np.maximum(residual[:, 20:last].std(1), EPSILON)
+    profile = profile / scale[:, None]
+    comb = np.column_stack([place * step / FUNDAMENTALS_HZ[1], strength / scale, (profile > 1).mean(1), profile.mean(1), profile.std(1), profile])
+
+    # the same search in each of the frames
+    size, n_short = rate // FRAMES, n_fft // FRAMES
+    frames = x.reshape(-1, size)
+    short = above_floor(np.log10(np.abs(np.fft.rfft(frames * np.hanning(size), n_short)) ** 2 + EPSILON), 21)
+    wide = rate / n_short
+    place, strength, _ = comb_search(short, int(FUNDAMENTALS_HZ[0] / wide), int(FUNDAMENTALS_HZ[1] / wide), int(LAST_HARMONIC_HZ / wide), 8)
+    place, strength = (place * wide / FUNDAMENTALS_HZ[1]).reshape(-1, FRAMES), strength.reshape(-1, FRAMES) / scale[:, None]
+    steady = np.column_stack([place.mean(1), place.std(1), strength.mean(1), strength.std(1)])
+    return np.concatenate([overall, level, comb, steady], 1).astype(np.float32)
+
+
+def harmonic_features(rate: int = 16000, n_fft: int = 16384):
+    """A pandas UDF: the 61 harmonic features of one-second segments; other lengths are errors."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def run(samples: pd.Series) -> pd.Series:
+        out = []
+        for a in range(0, len(samples), 32):  # a few MB of spectra at a time
+            out += harmonics_of(np.stack([np.asarray(s, float) for s in samples.iloc[a : a + 32]]), rate, n_fft).tolist()
+        return pd.Series(out, dtype=object)
 
     return run
 
@@ -208,21 +305,61 @@ def harmonic_profile(rate: int, low: float = 60.0, high: float = 400.0, harmonic
 _MIX = T.StructType([T.StructField("mixed", T.ArrayType(T.DoubleType())), T.StructField("background", T.ArrayType(T.DoubleType())), T.StructField("gain", T.DoubleType())])
 
 
+def _level(x: np.ndarray) -> float:
+    return math.sqrt(float((x * x).mean())) + 1e-12
+
+
+def _mixture(b: np.ndarray, t: np.ndarray, snr: float) -> np.ndarray:
+    """The target added to the background at an SNR, at the level of the background alone."""
+    if min(_level(b), _level(t)) <= 1e-8:
+        raise ValueError("a silent signal has no SNR")
+    mixed = b + t * (_level(b) / _level(t) * 10 ** (snr / 20))
+    return mixed * (_level(b) / _level(mixed))
+
+
+def _gain(*signals: np.ndarray) -> float:
+    """The gain that keeps signals from clipping."""
+    return min(1.0, 0.99 / max(1e-12, *(float(np.abs(x).max()) for x in signals)))
+
+
 @F.pandas_udf(_MIX)
 def mix_at_snr(background: pd.Series, target: pd.Series, snr_db: pd.Series) -> pd.DataFrame:
-    """The target added to the background at an SNR, and the background at the mixture's level, under one gain
-    that keeps both from clipping."""
+    """The target added to the background at an SNR, scaled to the level of the background, and the background alone,
+    under one gain that keeps both from clipping."""
     rows = []
     for b, t, snr in zip(background, target, snr_db, strict=True):
         b, t = np.asarray(b, float), np.asarray(t, float)
-        level = lambda x: math.sqrt(float((x * x).mean())) + 1e-12
-        mixed = b + t * (level(b) / level(t) * 10 ** (snr / 20))
-        alone = b * (level(mixed) / level(b))
-        gain = min(1.0, 0.99 / max(np.abs(mixed).max(), np.abs(alone).max(), 1e-12))
-        rows.append(((mixed * gain).tolist(), (alone * gain).tolist(), gain))
+        mixed = _mixture(b, t, snr)
+        gain = _gain(b, mixed)
+        rows.append(((mixed * gain).tolist(), (b * gain).tolist(), gain))
     return pd.DataFrame(rows, columns=["mixed", "background", "gain"])
 
 
+_GRID = T.ArrayType(T.StructType([T.StructField("snr_db", T.DoubleType()), T.StructField("mixed", T.ArrayType(T.DoubleType())), T.StructField("background", T.ArrayType(T.DoubleType())), T.StructField("gain", T.DoubleType())]))
+
+
+def mix_grid(snr_db: list[float]):
+    """A pandas UDF of (background, target): the pair at every SNR of a rising grid, all under the least gain that any needs.
+
+    The background comes out the same at every SNR.
+    """
+    grid = [float(x) for x in snr_db]
+    if len(grid) < 2 or grid != sorted(set(grid)):
+        raise ValueError("the SNR grid has at least two values, rising")
+
+    @F.pandas_udf(_GRID)
+    def run(background: pd.Series, target: pd.Series) -> pd.Series:
+        out = []
+        for b, t in zip(background, target, strict=True):
+            b, t = np.asarray(b, float), np.asarray(t, float)
+            mixed = [_mixture(b, t, snr) for snr in grid]
+            gain = _gain(b, *mixed)
+            out.append([{"snr_db": snr, "mixed": (m * gain).tolist(), "background": (b * gain).tolist(), "gain": gain} for snr, m in zip(grid, mixed, strict=True)])
+        return pd.Series(out, dtype=object)
+
+    return run
+
+
 def beta_cdf(x: float, a: float, b: float) -> float:
     """The regularised incomplete beta function by its continued fraction."""
     if x <= 0 or x >= 1:
@@ -268,13 +405,18 @@ def clopper_pearson(successes: pd.Series, total: pd.Series) -> pd.DataFrame:
 
 
 def mel_filters(rate: int, n_fft: int, mels: int, low: float = 0.0, high: float | None = None) -> np.ndarray:
-    """Triangular filters, mels x (n_fft / 2 + 1), evenly spaced on the mel scale."""
+    """Triangular filters, mels x (n_fft / 2 + 1): corners evenly spaced on the mel scale and rounded down to bins.
+
+    A filter rises from 0 at its first bin to 1 before its middle one, and falls from 1 there to 0 before its end;
+    a side of one bin is its first value, a side without bins is left out.
+    """
     to_mel = lambda f: 2595.0 * np.log10(1 + np.asarray(f) / 700.0)
     points = 700.0 * (10 ** (np.linspace(to_mel(low), to_mel(high or rate / 2), mels + 2) / 2595.0) - 1)
-    f = np.fft.rfftfreq(n_fft, 1 / rate)
-    up = (f[None] - points[:-2, None]) / np.maximum(points[1:-1] - points[:-2], 1e-12)[:, None]
-    down = (points[2:, None] - f[None]) / np.maximum(points[2:] - points[1:-1], 1e-12)[:, None]
-    return np.maximum(0.0, np.minimum(up, down))
+    left, middle, right = (np.floor((n_fft + 1) * points / rate).astype(int)[i : i + mels, None] for i in range(3))
+    k = np.arange(n_fft // 2 + 1)[None]
+    rise = np.where((k >= left) & (k < middle), (k - left) / np.maximum(middle - left - 1, 1), 0.0)
+    fall = np.where((k >= middle) & (k < right), 1 - (k - middle) / np.maximum(right - middle - 1, 1), 0.0)
+    return rise + fall
 
 
 def dct_matrix(coefficients: int, mels: int) -> np.ndarray:
@@ -283,9 +425,15 @@ def dct_matrix(coefficients: int, mels: int) -> np.ndarray:
     return np.cos(np.pi * k * (2 * n + 1) / (2 * mels)) * np.sqrt(2 / mels) * np.where(k == 0, np.sqrt(0.5), 1.0)
 
 
-def log_mel(rate: int, mels: int = 64, n_fft: int = 512, hop: int = 160, coefficients: int | None = None):
-    """A pandas UDF: standardised log-mel frames (or their first DCT coefficients), frames x features."""
-    filters, window = mel_filters(rate, n_fft, mels), np.hanning(n_fft)
+def log_mel(rate: int, mels: int = 64, n_fft: int = 512, hop: int = 160, coefficients: int | None = None, window: int | None = None, low: float = 0.0, high: float | None = None, preemphasis: float = 0.0, hamming: bool = False):
+    """A pandas UDF: standardised log-mel frames (or their first DCT coefficients), frames x features.
+
+    Frames are centred (the signal is mirrored at its ends) under a periodic Hann (or Hamming) window; the whole
+    signal is standardised at once, by the sample deviation.
+    """
+    filters, size = mel_filters(rate, n_fft, mels, low, high), window or n_fft
+    shape = (np.hamming if hamming else np.hanning)(size + 1)[:-1]
+    shape = np.pad(shape, ((n_fft - size) // 2, n_fft - size - (n_fft - size) // 2))
     dct = dct_matrix(coefficients, mels) if coefficients else None
 
     @F.pandas_udf(T.ArrayType(T.ArrayType(T.FloatType())))
@@ -293,11 +441,12 @@ def log_mel(rate: int, mels: int = 64, n_fft: int = 512, hop: int = 160, coeffic
         out = []
         for s in samples:
             x = np.asarray(s, float)
-            x = np.pad(x, (0, max(0, n_fft - len(x))))
-            frames = np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop] * window
-            v = np.log(np.abs(np.fft.rfft(frames)) ** 2 @ filters.T + 1e-10)
+            x = np.append(x[:1], x[1:] - preemphasis * x[:-1])
+            x = np.pad(x, n_fft // 2, mode="reflect") if len(x) > n_fft // 2 else np.pad(x, (n_fft // 2, n_fft - n_fft // 2))
+            frames = np.lib.stride_tricks.sliding_window_view(x, n_fft)[::hop] * shape
+            v = np.log(np.maximum(np.abs(np.fft.rfft(frames)) ** 2 @ filters.T, 1e-10))
             v = v if dct is None else v @ dct.T
-            out.append(((v - v.mean()) / max(v.std(), 1e-6)).astype(np.float32).tolist())
+            out.append(((v - v.mean()) / max(v.std(ddof=1), 1e-5)).astype(np.float32).tolist())
         return pd.Series(out)
 
     return run

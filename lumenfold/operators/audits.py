@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenfold import checks as C
 from lumenfold.operators.identity import label_conflict_count
-from lumenfold.operators.metrics import ratio
+from lumenfold.operators.metrics import joined_by, quantiles, ratio
 from lumenfold.operators.overlap import split_overlaps
 from lumenfold.operators.vectors import lsh_nearest
 from lumenfold.schema import blank_to_null
@@ -112,10 +112,53 @@ def shared_gain(df: DataFrame, pair: str, gain: str) -> DataFrame:
     return df.join(least, pair)
 
 
-def near_duplicate_audit(features: DataFrame, key: str, vector: str, split: str, dims: int, queries: list[str], thresholds: list[float], **lsh: int) -> DataFrame:
-    """threshold, rows: how many query-split rows have a reference (any other split) at or above each similarity."""
-    found = lsh_nearest(features.where(F.col(split).isin(queries)), features.where(~F.col(split).isin(queries)), key, vector, dims, **lsh)
-    return counts_at_or_above(found, "similarity", thresholds)
+def similarity_report(df: DataFrame, value: str, by: list[str], thresholds: list[float], shares: tuple[float, ...] = (0.0, 0.5, 0.9, 0.95, 0.99, 1.0)) -> DataFrame:
+    """by, rows, found (rows with a value), q0 ... q100 of the values, and at_or_above: (threshold, rows) for each."""
+    over = F.array(*[F.struct(F.lit(float(t)).alias("threshold"), F.count_if(F.col(value) >= t).alias("rows")) for t in thresholds])
+    sums = df.groupBy(*by).agg(F.count("*").alias("rows"), F.count(value).alias("found"), over.alias("at_or_above"))
+    return joined_by(sums, quantiles(df, value, {f"q{round(100 * s)}": s for s in shares}, by), by)
+
+
+def near_duplicate_audit(features: DataFrame, key: str, vector: str, split: str, dims: int, queries: list[str], thresholds: list[float], label: str | None = None, **lsh: int) -> DataFrame:
+    """One row per query split: rows, found, quantiles of the best similarity to any other split's vector, counts at or
+    above thresholds, comparisons, and (with label) how many found neighbours at or above the largest threshold
+    share the label."""
+    asked, others = features.where(F.col(split).isin(queries)), features.where(~F.col(split).isin(queries))
+    carried = [F.col(key).alias("_key"), F.col(split).alias("_split"), *([F.col(label).alias("_label")] if label else [])]
+    found = lsh_nearest(asked, others, key, vector, dims, **lsh).join(asked.select(*carried), F.col(key) == F.col("_key"))
+    if label:
+        found = found.join(others.select(F.col(key).alias("_near"), F.col(label).alias("_other")), F.col("neighbour") == F.col("_near"), "left")
+    by = [split]
+    found = found.withColumn(split, F.col("_split"))
+    same = F.count_if((F.col("similarity") >= max(thresholds)) & (F.col("_label") == F.col("_other"))) if label else F.lit(None).cast("long")
+    sums = found.groupBy(*by).agg(F.sum("comparisons").alias("comparisons"), same.alias("same_label"))
+    return joined_by(similarity_report(found, "similarity", by, thresholds), sums, by)
+
+
+def adjacency_audit(pairs: DataFrame, split: str, value: str, thresholds: list[float]) -> DataFrame:
+    """similarity_report of adjacent pairs (split, next_split, value) by role: all, within_split, cross_split, and the
+    two splits' names joined by two underscores, sorted."""
+    a, b = F.col(split), F.col(f"next_{split}")
+    named = F.concat_ws("__", F.least(a, b), F.greatest(a, b))
+    roles = F.array(F.lit("all"), F.when(a == b, "within_split").otherwise("cross_split"), named)
+    return similarity_report(pairs.select(F.explode(F.array_distinct(roles)).alias("role"), value), value, ["role"], thresholds)
+
+
+def verify_bundle(files: DataFrame, expected: DataFrame) -> DataFrame:
+    """path, problem: files (path, length, sha256) against expected ones: missing, then of another size, then of another hash."""
+    f = files.select(F.col("path").alias("_path"), F.col("length").alias("_length"), F.lower("sha256").alias("_sha"))
+    both = expected.join(f, F.col("path") == F.col("_path"), "left")
+    problem = F.when(F.col("_path").isNull(), "missing").when(F.col("_length") != F.col("length"), "size").when(~F.col("_sha").eqNullSafe(F.lower("sha256")), "sha256")
+    return both.select("path", problem.alias("problem")).where("problem is not null")
+
+
+def verify_references(manifest: DataFrame, column: str, files: DataFrame, rows: int, unique: int) -> DataFrame:
+    """name, value, minimum, maximum, passed: a manifest's rows, its distinct non-blank paths, and those that are no file."""
+    paths = manifest.select(blank_to_null(column).alias("path"))
+    distinct = paths.where("path is not null").distinct()
+    lost = distinct.join(files.select("path"), "path", "left_anti").agg(F.count("*").alias("lost"))
+    one = paths.agg(F.count("*").alias("rows")).join(distinct.agg(F.count("*").alias("paths")), F.lit(True)).join(lost, F.lit(True))  # one row each
+    return C.run_checks(one, [C.Check("rows", F.max("rows"), rows, rows), C.Check("unique paths", F.max("paths"), unique, unique), C.Check("paths that are no file", F.max("lost"), at_most=0)])
 
 
 def domain_report(df: DataFrame, domain: str, label: str, score: str, threshold: float) -> DataFrame:

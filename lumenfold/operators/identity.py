@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,17 +27,32 @@ def unit_interval(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 16), 16, 10).cast("double") / F.lit(2.0**64)
 
 
+def _with_groups(df: DataFrame, content: str, order: list[str | Column], *extra: Column) -> DataFrame:
+    """df with group_size, _first (the least order of its content) and extra aggregates, by an aggregate joined back.
+
+    A content that many rows have is one row of the aggregate; no window gathers its rows.
+    """
+    groups = df.groupBy(F.col(content).alias("_content")).agg(F.count("*").alias("group_size"), F.min(F.struct(*order)).alias("_first"), *extra).where("group_size > 1")
+    return df.join(groups, F.col(content).eqNullSafe(F.col("_content")), "left").drop("_content").withColumn("group_size", F.coalesce("group_size", F.lit(1).cast("long")))
+
+
+def _kept(df: DataFrame, content: str, order: list[str | Column]) -> DataFrame:
+    """df of _with_groups with kept: the first row of each content; of rows equal in the order any one."""
+    leads = F.col("_first").isNull() | F.struct(*order).eqNullSafe(F.col("_first"))
+    ties = Window.partitionBy(content).orderBy(*order)
+    first = df.where(leads).withColumn("kept", F.row_number().over(ties) == 1)  # the leading rows only
+    return first.unionByName(df.where(~leads).withColumn("kept", F.lit(False))).drop("_first")
+
+
 def canonical_rows(df: DataFrame, content: str, order: list[str | Column]) -> DataFrame:
-    """df with group_size, kept: the first row of each content in the order is kept."""
-    own = Window.partitionBy(content)
-    return df.withColumn("group_size", F.count("*").over(own)).withColumn("kept", F.row_number().over(own.orderBy(*order)) == 1)
+    """df with group_size, kept: the first row of each content in the (ascending) order is kept."""
+    return _kept(_with_groups(df, content, order), content, order)
 
 
 def duplicate_listing(df: DataFrame, content: str, split: str, order: list[str | Column]) -> DataFrame:
     """Rows whose content occurs again, with group_size, cross_split and kept."""
-    own = Window.partitionBy(content)
-    rows = canonical_rows(df, content, order).withColumn("cross_split", F.size(F.collect_set(split).over(own)) > 1)
-    return rows.where("group_size > 1")
+    rows = _with_groups(df, content, order, (F.min(split) != F.max(split)).alias("cross_split")).where("group_size > 1")
+    return _kept(rows.withColumn("cross_split", F.coalesce("cross_split", F.lit(False))), content, order)
 
 
 def cross_label_keys(df: DataFrame, columns: list[str], label: str) -> DataFrame:
@@ -68,16 +86,46 @@ def linked_components(df: DataFrame, source: str, keys: list[str]) -> DataFrame:
 
 
 def component_digests(components: DataFrame, source: str, prefix: str) -> DataFrame:
-    """source, component: named by a digest of the component's sorted members instead."""
-    name = components.groupBy("component").agg(F.concat(F.lit(prefix), F.sha2(F.to_json(F.array_sort(F.collect_set(source))), 256)).alias("_name"))
-    return components.join(name, "component").select(source, F.col("_name").alias("component"))
+    """source, component: named by the SHA-256 of the JSON list of the component's sorted members instead.
+
+    Members come sorted to one task and are hashed as they pass, so a large component takes time but no memory.
+    """
+    listed = F.to_json(F.array(F.col(source).cast("string")))
+    rows = components.select("component", F.col(source).cast("string").alias("_m"), F.substring(listed, F.lit(2), F.length(listed) - 2).alias("item")).distinct()
+
+    def digests(batches):
+        held, state = None, None
+        for pdf in batches:
+            for component, item in zip(pdf["component"], pdf["item"], strict=True):
+                if state is None or component != held:
+                    if state is not None:
+                        yield pd.DataFrame({"_c": [held], "_name": [_closed(state)]})
+                    held, state = component, hashlib.sha256(b"[")
+                else:
+                    state.update(b",")
+                state.update(item.encode())
+        if state is not None:
+            yield pd.DataFrame({"_c": [held], "_name": [_closed(state)]})
+
+    sorted_rows = rows.repartition("component").sortWithinPartitions("component", "_m").select("component", "item")
+    kind = dict(components.dtypes)["component"]
+    name = sorted_rows.mapInPandas(digests, f"_c {kind}, _name string")
+    return components.join(name, F.col("component") == F.col("_c")).select(source, F.concat(F.lit(prefix), "_name").alias("component"))
+
+
+def _closed(state) -> str:
+    """The digest of a list whose items have all been hashed."""
+    state.update(b"]")
+    return state.hexdigest()
 
 
 def table_digest(df: DataFrame, columns: list[str]) -> DataFrame:
-    """One row, digest: of all rows regardless of their order, without gathering them: sums of 64-bit row hashes."""
-    one, two = F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *columns)
-    sums = df.agg(F.count("*").alias("n"), F.sum(one.cast("decimal(38,0)")).alias("a"), F.sum(two.cast("decimal(38,0)")).alias("b"))
-    return sums.select(F.sha2(F.concat_ws(":", "n", "a", "b"), 256).alias("digest"))
+    """One row, digest: of all rows regardless of their order, without gathering them: sums of four 60-bit parts of
+    each row's SHA-256 (of the JSON list of its values as text)."""
+    row = df.select(digest_of(*[F.col(c) for c in columns]).alias("h"))
+    parts = [F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(38,0)") for i in range(4)]
+    sums = row.agg(F.count("*").cast("string").alias("n"), *[F.coalesce(F.sum(p), F.lit(0)).cast("string").alias(f"s{i}") for i, p in enumerate(parts)])
+    return sums.select(F.sha2(F.concat_ws(":", "n", *[f"s{i}" for i in range(4)]), 256).alias("digest"))
 
 
 def verify_hashes(df: DataFrame, content: str, expected: str) -> DataFrame:

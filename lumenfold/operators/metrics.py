@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-RANGES = 2048
+#: Ranges of scores: PIECES between approximate quantiles, each in STEPS equal ones.
+PIECES, STEPS = 64, 32
 
 
 def ratio(top: Column, bottom: Column) -> Column:
@@ -23,13 +24,18 @@ def _confusion(y: Column, hit: Column) -> list[Column]:
 
 
 def derived(counts: DataFrame) -> DataFrame:
-    """Rates from tp, fp, fn, tn (counts or weights)."""
+    """Rates from tp, fp, fn, tn (counts or weights).
+
+    Without negatives the specificity is 0 and the FPR, its complement, 1; the balanced accuracy is the mean
+    recall of the classes that occur, so that of the only one. What has no rows at all is 0.
+    """
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     recall, specificity, precision = ratio(tp, tp + fn), ratio(tn, tn + fp), ratio(tp, tp + fp)
+    balanced = F.when(tp + fn == 0, specificity).when(tn + fp == 0, recall).otherwise((recall + specificity) / 2)
     return counts.select(
         "*",
-        ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), ((recall + specificity) / 2).alias("balanced_accuracy"), precision.alias("precision"), recall.alias("recall"),
-        specificity.alias("specificity"), ratio(fp, fp + tn).alias("fpr"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
+        ratio(tp + tn, tp + fp + fn + tn).alias("accuracy"), balanced.alias("balanced_accuracy"), precision.alias("precision"), recall.alias("recall"),
+        specificity.alias("specificity"), (1 - specificity).alias("fpr"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
     )
 
 
@@ -61,11 +67,18 @@ def curve(df: DataFrame, label: str, score: str, by: list[str] = (), weight: str
     y = F.col(label)
     at = df.where(F.col(score).isNotNull() & y.isNotNull()).groupBy(*by, F.col(score).cast("double").alias("score"))
     at = at.agg(F.sum(F.when(y == 1, one).otherwise(one * 0)).alias("pos"), F.sum(F.when(y == 0, one).otherwise(one * 0)).alias("neg"))
-    at = at.withColumn("_range", F.floor(RANGES / (1 + F.exp(-F.col("score")))))
+    # ranges hold about as many distinct scores each, wherever the scores crowd; any monotone ranges would do
+    edges = at.agg(F.percentile_approx("score", [i / PIECES for i in range(PIECES + 1)], 10_000).alias("_edges"))
+    at = at.join(F.broadcast(edges), F.lit(True))  # one row
+    piece = F.greatest(F.size(F.filter("_edges", lambda e: e <= F.col("score"))) - 1, F.lit(0))
+    at = at.withColumn("_piece", piece)
+    low, high = F.get("_edges", F.col("_piece")), F.get("_edges", F.col("_piece") + 1)
+    step = F.coalesce(F.floor(F.try_divide(STEPS * (F.col("score") - low), high - low)), F.lit(0))
+    at = at.withColumn("_range", (F.col("_piece") * STEPS + F.greatest(F.least(step, F.lit(STEPS - 1)), F.lit(0))).cast("long")).drop("_edges", "_piece")
     sums = at.groupBy(*by, "_range").agg(F.sum("pos").alias("_pos"), F.sum("neg").alias("_neg"))
     down = Window.partitionBy(*by).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*by)
-    # at most RANGES + 1 rows a group
+    # about PIECES * STEPS rows a group at most
     sums = sums.select(*by, "_range", *[F.coalesce(F.sum(f"_{c}").over(down), F.lit(0)).alias(f"_{c}_above") for c in ("pos", "neg")], F.sum("_pos").over(whole).alias("positives"), F.sum("_neg").over(whole).alias("negatives"))
     keys = [*by, "_range"]
     sums = sums.withColumnsRenamed({k: f"{k}__" for k in keys})
@@ -74,6 +87,33 @@ def curve(df: DataFrame, label: str, score: str, by: list[str] = (), weight: str
     return joined.select(*by, "score", "pos", "neg", (F.col("_pos_above") + F.sum("pos").over(within)).alias("tp"), (F.col("_neg_above") + F.sum("neg").over(within)).alias("fp"), "positives", "negatives")
 
 
+def joined_by(left: DataFrame, right: DataFrame, by: list[str] = ()) -> DataFrame:
+    """left with right's columns of the same group (null groups match); without groups both have one row."""
+    if not by:
+        return left.join(right, F.lit(True), "left")
+    named = right.withColumnsRenamed({b: f"{b}__" for b in by})
+    return left.join(named, [F.col(b).eqNullSafe(F.col(f"{b}__")) for b in by], "left").drop(*[f"{b}__" for b in by])
+
+
+def quantiles(df: DataFrame, score: str, shares: dict[str, float], by: list[str] = ()) -> DataFrame:
+    """by and one column per name: the exact quantile at its share, linear between neighbouring scores.
+
+    Order statistics of the counts of distinct scores, cumulated in two levels; null scores are left out.
+    """
+    ones = df.select(*by, F.col(score).cast("double").alias("_s"), F.lit(0).alias("_y"))
+    points = curve(ones, "_y", "_s", list(by))
+    asked = []
+    for i, share in enumerate(shares.values()):
+        place = (F.col("negatives") - 1) * F.lit(float(share))
+        low = F.floor(place).cast("long")
+        for at, weight in ((low, 1 - (place - low)), (F.least(low + 1, F.col("negatives") - 1), place - low)):
+            asked.append(F.struct(F.lit(i).alias("i"), (F.col("negatives") - at).alias("rank"), weight.alias("weight")))
+    above = F.col("fp") - F.col("neg")
+    hits = points.select(*by, "score", F.explode(F.filter(F.array(*asked), lambda a: (a["rank"] > above) & (a["rank"] <= F.col("fp")))).alias("a"))
+    part = lambda i: F.sum(F.when((F.col("a.i") == i) & (F.col("a.weight") > 0), F.col("score") * F.col("a.weight")))
+    return hits.groupBy(*by).agg(*[part(i).alias(n) for i, n in enumerate(shares)])
+
+
 def ranking_metrics(df: DataFrame, label: str, score: str, by: list[str] = (), max_fpr: float = 0.05, weight: str | None = None) -> DataFrame:
     """by, positives, negatives, roc_auc, average_precision, pr_auc_trapezoid, partial_auc (standardised, to max_fpr).
 
@@ -167,7 +207,9 @@ def source_macro(df: DataFrame, correct: Column, source: str, by: list[str] = ()
 def negative_rates(df: DataFrame, score: str, threshold: float, by: list[str] = (), unit_seconds: float = 1.0) -> DataFrame:
     """Of negatives: rows, false positives, FPR, mean and 95th percentile of the score, false positives an hour."""
     hit = F.count_if(F.col(score) >= threshold)
-    return df.groupBy(*by).agg(F.count("*").alias("rows"), hit.alias("false_positives"), (hit / F.count("*")).alias("fpr"), F.avg(score).alias("mean_score"), F.percentile(score, F.lit(0.95)).alias("p95_score"), (hit / F.count("*") * 3600.0 / unit_seconds).alias("false_alarms_per_hour"))
+    sums = df.groupBy(*by).agg(F.count("*").alias("rows"), hit.alias("false_positives"), (hit / F.count("*")).alias("fpr"), F.avg(score).alias("mean_score"), (hit / F.count("*") * 3600.0 / unit_seconds).alias("false_alarms_per_hour"))
+    tops = quantiles(df, score, {"p95_score": 0.95}, by)
+    return joined_by(sums, tops, by).select(*by, "rows", "false_positives", "fpr", "mean_score", "p95_score", "false_alarms_per_hour")
 
 
 def paired_patterns(df: DataFrame, label: str, base_hit: Column, candidate_hit: Column, by: list[str] = ()) -> DataFrame:

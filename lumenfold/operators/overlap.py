@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from lumenfold.operators.metrics import joined_by
+from lumenfold.runtime import cut
 from lumenfold.schema import blank_to_null, normal
 
 
@@ -81,11 +84,24 @@ def ensemble_mean(frames: list[DataFrame], key: str, value: str) -> DataFrame:
 
 def zip_by_rank(left: DataFrame, right: DataFrame, left_order: list, right_order: list, partition: list[str] = ()) -> DataFrame:
     """The i-th row of one side beside the i-th of the other, by partition; what has no partner goes."""
-    from pyspark.sql.window import Window
+    return ranked(left, left_order, partition).join(ranked(right, right_order, partition), [*partition, "pair"])
 
-    a = left.withColumn("pair", F.row_number().over(Window.partitionBy(*partition).orderBy(*left_order)))
-    b = right.withColumn("pair", F.row_number().over(Window.partitionBy(*partition).orderBy(*right_order)))
-    return a.join(b, [*partition, "pair"])
+
+def ranked(df: DataFrame, order: list, partition: list[str] = (), name: str = "pair") -> DataFrame:
+    """df with its place (from 1) in the order, by partition, in two levels.
+
+    Rows are sorted in ranges of partition and order; a range's rows are numbered there, and the rows of the
+    ranges before it are added. So no partition, and without any not the whole table, is sorted in one task.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    keys = [*partition, *names]
+    rows = df.select("*", *[o.alias(n) if isinstance(o, Column) else F.col(o).alias(n) for o, n in zip(order, names, strict=True)])
+    rows = cut(rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_range", F.spark_partition_id()))
+    own, before = Window.partitionBy("_range", *partition).orderBy(*names), Window.partitionBy(*partition).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_range", *partition).agg(F.count("*").alias("_n"))  # a row a range and partition in it
+    offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    joined = joined_by(rows.withColumn(name, F.row_number().over(own)), offsets, ["_range", *partition])
+    return joined.withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before", *names)
 
 
 def condition_grid(df: DataFrame, name: str, values: list[float]) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lumenfold.operators.metrics import bounded, ratio
+from lumenfold.operators.metrics import bounded, quantiles, ratio
 
 METHODS = ("mean_probability", "max_probability", "mean_logit_then_sigmoid", "topk_mean_probability", "constrained_autopool_probability")
 
@@ -166,9 +167,7 @@ def quantile_block(df: DataFrame, value: str, by: list[str] = (), shares: tuple[
     """Exact interpolated quantiles of the finite values by group, one column each (q50, q90, ...)."""
     v = F.col(value).cast("double")
     rows = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    names = [f"q{round(100 * s)}" for s in shares]
-    found = rows.groupBy(*by).agg(F.percentile(v, F.array(*[F.lit(s) for s in shares])).alias("_q"))
-    return found.select(*by, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    return quantiles(rows, value, {f"q{round(100 * s)}": s for s in shares}, by)
 
 
 def monotone_by_condition(df: DataFrame, key: str, condition: str, value: str, slack: float = 1e-6) -> DataFrame:
@@ -193,8 +192,11 @@ def numeric_leaves(df: DataFrame, document: str, keys: list[str] = ()) -> DataFr
 def _leaves(document: Column) -> Column:
     import json
 
-    @F.udf("array<struct<path:string,value:double>>")
-    def walk(text):
+    @F.pandas_udf("array<struct<path:string,value:double>>")
+    def walk(texts: pd.Series) -> pd.Series:
+        return pd.Series([leaves(t) for t in texts], dtype=object)
+
+    def leaves(text):
         found = []
 
         def go(x, path):
@@ -205,7 +207,7 @@ def _leaves(document: Column) -> Column:
                 for i, v in enumerate(x):
                     go(v, f"{path}[{i}]")
             elif isinstance(x, int | float) and not isinstance(x, bool):
-                found.append((path, float(x)))
+                found.append({"path": path, "value": float(x)})
 
         if text:
             go(json.loads(text), "")

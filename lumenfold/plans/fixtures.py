@@ -37,11 +37,11 @@ seg AS (
   SELECT conv_id, turn, role, conv_id % 2 AS label, conv_id % 7 AS session,
          ((length(text) * 31 + turn * 17) % 1000)::DOUBLE / 1000 AS score
   FROM conversations)"""
-REGISTRY = """
+REGISTRY = r"""
 registry AS (
-  SELECT d.doc_id, d.source, d.lang, sha256(d.text) AS content_hash, sha256(substr(d.text, 1, 40)) AS head_hash, d.n_chars,
+  SELECT d.doc_id, d.source, d.lang, sha256(d.text) AS content_hash, sha256(regexp_replace(d.text, '[ \t\r\n]+', '', 'g')) AS norm_hash, d.n_chars,
          CASE WHEN d.doc_id % 10 < 7 THEN 'train' WHEN d.doc_id % 10 < 8 THEN 'val' ELSE 'test' END AS split,
-         (d.n_chars % 2)::INTEGER AS label
+         (d.doc_id // 7 % 2)::INTEGER AS label
   FROM documents d)"""
 
 
@@ -63,7 +63,7 @@ def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     r = F.col("doc_id") % 10
     split = F.when(r < 7, "train").when(r < 8, "val").otherwise("test")
-    return d.select("doc_id", "source", "lang", F.sha2("text", 256).alias("content_hash"), F.sha2(F.substring("text", 1, 40), 256).alias("head_hash"), "n_chars", split.alias("split"), (F.col("n_chars") % 2).cast("int").alias("label"))
+    return d.select("doc_id", "source", "lang", F.sha2("text", 256).alias("content_hash"), F.sha2(F.regexp_replace("text", "[ \\t\\r\\n]+", ""), 256).alias("norm_hash"), "n_chars", split.alias("split"), (F.floor(F.col("doc_id") / 7) % 2).cast("int").alias("label"))
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -24,27 +24,27 @@ def duplicate_listing(spark, sf_dir):
     return I.duplicate_listing(registry(spark, sf_dir).select("doc_id", "content_hash", "split"), "content_hash", "split", ["doc_id"])
 
 
-@query(f"""WITH {REGISTRY} SELECT 'head_hash' AS layer, head_hash AS value FROM registry GROUP BY head_hash HAVING count(DISTINCT label) > 1
+@query(f"""WITH {REGISTRY} SELECT 'norm_hash' AS layer, norm_hash AS value FROM registry GROUP BY norm_hash HAVING count(DISTINCT label) > 1
 UNION ALL SELECT 'content_hash', content_hash FROM registry GROUP BY content_hash HAVING count(DISTINCT label) > 1""")
 def cross_label_conflicts(spark, sf_dir):
-    return I.cross_label_keys(registry(spark, sf_dir), ["head_hash", "content_hash"], "label")
+    return I.cross_label_keys(registry(spark, sf_dir), ["norm_hash", "content_hash"], "label")
 
 
-@query(f"WITH {REGISTRY} SELECT doc_id, label FROM registry WHERE head_hash NOT IN (SELECT head_hash FROM registry GROUP BY head_hash HAVING count(DISTINCT label) > 1)")
+@query(f"WITH {REGISTRY} SELECT doc_id, label FROM registry WHERE norm_hash NOT IN (SELECT norm_hash FROM registry GROUP BY norm_hash HAVING count(DISTINCT label) > 1)")
 def drop_cross_label(spark, sf_dir):
-    return I.drop_cross_label(registry(spark, sf_dir), ["head_hash", "content_hash"], "label").select("doc_id", "label")
+    return I.drop_cross_label(registry(spark, sf_dir), ["norm_hash", "content_hash"], "label").select("doc_id", "label")
 
 
-@query(f"""WITH {REGISTRY}, s AS (SELECT DISTINCT split, head_hash FROM registry), p AS (SELECT * FROM (VALUES ('train', 'val'), ('train', 'test'), ('train', 'spare'), ('val', 'test'), ('val', 'spare'), ('test', 'spare')) t(a, b))
-SELECT a AS left_split, b AS right_split, (SELECT count(*) FROM s x JOIN s y ON x.head_hash = y.head_hash WHERE x.split = a AND y.split = b) AS overlap FROM p""")
+@query(f"""WITH {REGISTRY}, s AS (SELECT DISTINCT split, norm_hash FROM registry), p AS (SELECT * FROM (VALUES ('train', 'val'), ('train', 'test'), ('train', 'spare'), ('val', 'test'), ('val', 'spare'), ('test', 'spare')) t(a, b))
+SELECT a AS left_split, b AS right_split, (SELECT count(*) FROM s x JOIN s y ON x.norm_hash = y.norm_hash WHERE x.split = a AND y.split = b) AS overlap FROM p""")
 def split_overlap_matrix(spark, sf_dir):
-    return O.split_overlaps(registry(spark, sf_dir), "split", "head_hash", ["train", "val", "test", "spare"])
+    return O.split_overlaps(registry(spark, sf_dir), "split", "norm_hash", ["train", "val", "test", "spare"])
 
 
-@query(f"WITH {REGISTRY} SELECT count(*) AS overlap FROM (SELECT head_hash FROM registry WHERE split = 'train' INTERSECT SELECT head_hash FROM registry WHERE split = 'test')")
+@query(f"WITH {REGISTRY} SELECT count(*) AS overlap FROM (SELECT norm_hash FROM registry WHERE split = 'train' INTERSECT SELECT norm_hash FROM registry WHERE split = 'test')")
 def exact_overlap(spark, sf_dir):
     r = registry(spark, sf_dir)
-    return O.exact_overlap(r.where("split = 'train'"), "head_hash", r.where("split = 'test'"), "head_hash")
+    return O.exact_overlap(r.where("split = 'train'"), "norm_hash", r.where("split = 'test'"), "norm_hash")
 
 
 @query(r"SELECT page_id, url FROM pages WHERE regexp_matches(regexp_replace(lower(url), '[^a-z0-9]', '', 'g'), 'examplenet|page2')")
@@ -72,36 +72,37 @@ def firewall_audit(spark, sf_dir):
     return W.audit_rows(asked, ["src1 end"], r.where("split = 'train'").select(F.col("content_hash").alias("sha256")))
 
 
-@query(f"""WITH {REGISTRY}, a AS (SELECT doc_id, source, label FROM registry WHERE doc_id % 11 <> 0), b AS (SELECT doc_id, source, CASE WHEN doc_id % 13 = 0 THEN 1 - label ELSE label END AS label FROM registry WHERE doc_id % 17 <> 0)
+@query(f"""WITH {REGISTRY}, a AS (SELECT doc_id, label FROM registry), b AS (SELECT doc_id, quality AS label FROM labels UNION ALL SELECT 1000000000 + item_id, 1 FROM benchmark)
 SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'left_missing' WHEN b.doc_id IS NULL THEN 'right_missing' ELSE 'different' END AS problem
-FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.label IS DISTINCT FROM b.label OR a.source IS DISTINCT FROM b.source""")
+FROM a FULL JOIN b ON a.doc_id = b.doc_id WHERE a.doc_id IS NULL OR b.doc_id IS NULL OR a.label IS DISTINCT FROM b.label""")
 def identity_full_outer(spark, sf_dir):
-    r = registry(spark, sf_dir).select("doc_id", "source", "label")
-    b = r.where("doc_id % 17 <> 0").withColumn("label", F.when(F.col("doc_id") % 13 == 0, 1 - F.col("label")).otherwise(F.col("label")))
-    return O.identity_mismatches(r.where("doc_id % 11 <> 0"), b, "doc_id", ["source", "label"])
+    """Documents against labels and benchmark items: missing on either side, or of another label."""
+    b = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    b = b.unionByName(table(spark, sf_dir, "benchmark").select((F.col("item_id") + 1_000_000_000).alias("doc_id"), F.lit(1).alias("label")))
+    return O.identity_mismatches(registry(spark, sf_dir).select("doc_id", "label"), b, "doc_id", ["label"])
 
 
 @query(f"""WITH {REGISTRY}, a AS (SELECT * FROM registry WHERE split = 'test'), b AS (SELECT * FROM registry WHERE split = 'val')
-SELECT a.doc_id, b.doc_id AS right_doc_id, 'content_hash' AS match_layer FROM a JOIN b ON a.content_hash = b.content_hash UNION ALL SELECT a.doc_id, b.doc_id, 'head_hash' FROM a JOIN b ON a.head_hash = b.head_hash""")
+SELECT a.doc_id, b.doc_id AS right_doc_id, 'content_hash' AS match_layer FROM a JOIN b ON a.content_hash = b.content_hash UNION ALL SELECT a.doc_id, b.doc_id, 'norm_hash' FROM a JOIN b ON a.norm_hash = b.norm_hash""")
 def identity_layers_union(spark, sf_dir):
     r = registry(spark, sf_dir)
-    return O.layered_matches(r.where("split = 'test'"), r.where("split = 'val'"), "doc_id", "doc_id", ["content_hash", "head_hash"])
+    return O.layered_matches(r.where("split = 'test'"), r.where("split = 'val'"), "doc_id", "doc_id", ["content_hash", "norm_hash"])
 
 
 _COMPONENTS = f"""WITH RECURSIVE {REGISTRY},
-e AS (SELECT a.doc_id AS u, b.doc_id AS v FROM registry a JOIN registry b ON a.content_hash = b.content_hash OR a.head_hash = b.head_hash),
+e AS (SELECT a.doc_id AS u, b.doc_id AS v FROM registry a JOIN registry b ON a.content_hash = b.content_hash OR a.norm_hash = b.norm_hash),
 r(u, v) AS (SELECT u, v FROM e UNION SELECT r.u, e.v FROM r JOIN e ON r.v = e.u)"""
 
 
 @query(f"{_COMPONENTS} SELECT u::VARCHAR AS doc_id, min(v::VARCHAR) AS component FROM r GROUP BY u")
 def connected_components(spark, sf_dir):
-    return I.linked_components(registry(spark, sf_dir), "doc_id", ["content_hash", "head_hash"])
+    return I.linked_components(registry(spark, sf_dir), "doc_id", ["content_hash", "norm_hash"])
 
 
 @query(f"""{_COMPONENTS}, m AS (SELECT u, list_sort(list(v::VARCHAR)) AS members FROM r GROUP BY u)
 SELECT u::VARCHAR AS doc_id, 'component:' || sha256('["' || array_to_string(members, '","') || '"]') AS component FROM m""")
 def component_digests(spark, sf_dir):
-    comps = I.linked_components(registry(spark, sf_dir), "doc_id", ["content_hash", "head_hash"])
+    comps = I.linked_components(registry(spark, sf_dir), "doc_id", ["content_hash", "norm_hash"])
     return I.component_digests(comps, "doc_id", "component:")
 
 
@@ -112,11 +113,11 @@ def hash_verification(spark, sf_dir):
     return I.verify_hashes(d.select("doc_id", "text", expected.alias("sha256")), "text", "sha256").select("doc_id")
 
 
-@query("""WITH x AS (SELECT DISTINCT source FROM documents WHERE doc_id % 20 < 15), y AS (SELECT 'src' || i AS source FROM range(10, 24) t(i))
+@query("""WITH x AS (SELECT DISTINCT source FROM documents), y AS (SELECT 'src' || i AS source FROM range(10, 24) t(i))
 SELECT source, 'unregistered' AS side FROM x WHERE source NOT IN (SELECT source FROM y) UNION ALL SELECT source, 'unobserved' FROM y WHERE source NOT IN (SELECT source FROM x)""")
 def set_differences(spark, sf_dir):
     known = spark.range(10, 24).select(F.concat(F.lit("src"), "id").alias("source"))
-    return O.set_differences(table(spark, sf_dir, "documents").where("doc_id % 20 < 15"), known, "source")
+    return O.set_differences(table(spark, sf_dir, "documents"), known, "source")
 
 
 @query("SELECT role, count(*) AS rows, count(lang) AS with_lang FROM (SELECT 'docs' AS role, lang FROM documents UNION ALL SELECT 'bench', NULL FROM benchmark UNION ALL SELECT 'pages', NULL FROM pages) GROUP BY role")
@@ -169,14 +170,11 @@ def cosine_topk(spark, sf_dir):
     return rounded(V.cosine_topk(e.where("vec_id % 50 = 0"), e, "vec_id", "embedding", 3))
 
 
-@query()
-def lsh_nearest(spark, sf_dir):
-    """Approximate neighbours by random hyperplanes between two halves of the vectors."""
-    e = table(spark, sf_dir, "embeddings")
-    return rounded(V.lsh_nearest(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "vec_id", "embedding", 64, tables=8, bits=10))
+_ROW = """sha256('["' || doc_id || '","' || content_hash || '","' || split || '"]')"""
 
 
-@query()
+@query(f"""WITH {REGISTRY}, r AS (SELECT {_ROW} AS h FROM registry), s AS (SELECT count(*) AS n, {", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT::HUGEINT) AS s{i}" for i in range(4))} FROM r)
+SELECT sha256(n || ':' || s0 || ':' || s1 || ':' || s2 || ':' || s3) AS digest FROM s""")
 def table_digest(spark, sf_dir):
     """One digest of all rows, whatever their order."""
     return I.table_digest(registry(spark, sf_dir), ["doc_id", "content_hash", "split"])

@@ -11,11 +11,11 @@ from lumenfold.plans.fixtures import SCORED, SEGMENTS, query, rounded, scored, s
 
 _RATES = """
 round(CASE WHEN tp+fp+fn+tn = 0 THEN 0.0 ELSE (tp+tn)::DOUBLE/(tp+fp+fn+tn) END, 6) AS accuracy,
-round(((CASE WHEN tp+fn = 0 THEN 0.0 ELSE tp::DOUBLE/(tp+fn) END) + (CASE WHEN tn+fp = 0 THEN 0.0 ELSE tn::DOUBLE/(tn+fp) END)) / 2, 6) AS balanced_accuracy,
+round(CASE WHEN tp+fn+tn+fp = 0 THEN 0.0 WHEN tp+fn = 0 THEN tn::DOUBLE/(tn+fp) WHEN tn+fp = 0 THEN tp::DOUBLE/(tp+fn) ELSE (tp::DOUBLE/(tp+fn) + tn::DOUBLE/(tn+fp)) / 2 END, 6) AS balanced_accuracy,
 round(CASE WHEN tp+fp = 0 THEN 0.0 ELSE tp::DOUBLE/(tp+fp) END, 6) AS precision,
 round(CASE WHEN tp+fn = 0 THEN 0.0 ELSE tp::DOUBLE/(tp+fn) END, 6) AS recall,
 round(CASE WHEN tn+fp = 0 THEN 0.0 ELSE tn::DOUBLE/(tn+fp) END, 6) AS specificity,
-round(CASE WHEN tn+fp = 0 THEN 0.0 ELSE fp::DOUBLE/(tn+fp) END, 6) AS fpr,
+round(1 - CASE WHEN tn+fp = 0 THEN 0.0 ELSE tn::DOUBLE/(tn+fp) END, 6) AS fpr,
 round(CASE WHEN 2*tp+fp+fn = 0 THEN 0.0 ELSE 2.0*tp::DOUBLE/(2*tp+fp+fn) END, 6) AS f1"""
 _COUNTS = "count(*) FILTER (WHERE label = 1 AND {h}) AS tp, count(*) FILTER (WHERE label = 0 AND {h}) AS fp, count(*) FILTER (WHERE label = 1 AND NOT ({h})) AS fn, count(*) FILTER (WHERE label = 0 AND NOT ({h})) AS tn"
 _CURVE = """
@@ -29,6 +29,12 @@ def metrics_confusion_by_source(spark, sf_dir):
     return rounded(M.threshold_metrics(scored(spark, sf_dir), "label", "score", 0.5, ["source"]))
 
 
+@query(f"WITH {SCORED}, g AS (SELECT *, label AS one FROM scored), c AS (SELECT one, lang, {_COUNTS.format(h='score >= 0.5')} FROM g GROUP BY ALL) SELECT one, lang, tp, fp, fn, tn, {_RATES} FROM c")
+def metrics_one_class_groups(spark, sf_dir):
+    """Groups that have rows of one label only."""
+    return rounded(M.threshold_metrics(scored(spark, sf_dir).withColumn("one", F.col("label")), "label", "score", 0.5, ["one", "lang"]))
+
+
 @query(f"WITH {SCORED}, t AS (SELECT unnest([0.1, 0.3, 0.5, 0.7, 0.9])::DOUBLE AS threshold), c AS (SELECT lang, threshold, {_COUNTS.format(h='score >= threshold')} FROM scored, t GROUP BY lang, threshold) SELECT lang, threshold, tp, fp, fn, tn, {_RATES} FROM c")
 def metrics_threshold_grid(spark, sf_dir):
     return rounded(M.threshold_grid(scored(spark, sf_dir), "label", "score", [0.1, 0.3, 0.5, 0.7, 0.9], ["lang"]))

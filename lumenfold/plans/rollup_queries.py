@@ -91,19 +91,19 @@ def counts_cube_zero_filled(spark, sf_dir):
     return R.zero_filled_counts(registry(spark, sf_dir), "split", "label", ["train", "val", "test", "spare"], [0, 1])
 
 
-@query(f"""WITH {REGISTRY}, g AS (SELECT head_hash, count(*) AS n, count(DISTINCT label) AS k FROM registry GROUP BY head_hash)
+@query(f"""WITH {REGISTRY}, g AS (SELECT norm_hash, count(*) AS n, count(DISTINCT label) AS k FROM registry GROUP BY norm_hash)
 SELECT count(*) AS groups, count(*) FILTER (WHERE k = 1) AS pure_groups, sum(n)::BIGINT AS rows, coalesce(sum(n) FILTER (WHERE k = 1), 0)::BIGINT AS rows_in_pure, round(coalesce(sum(n) FILTER (WHERE k = 1), 0)::DOUBLE / sum(n), 6) AS purity FROM g""")
 def label_purity(spark, sf_dir):
-    return rounded(R.label_purity(registry(spark, sf_dir), "head_hash", "label"))
+    return rounded(R.label_purity(registry(spark, sf_dir), "norm_hash", "label"))
 
 
-@query(f"""WITH {REGISTRY}, v AS (SELECT head_hash, label, count(*) AS n FROM registry WHERE split = 'train' GROUP BY ALL),
-m AS (SELECT head_hash, arg_min(label, (-n, label)) AS guess FROM v GROUP BY head_hash),
-j AS (SELECT r.label, m.guess FROM registry r LEFT JOIN m ON r.head_hash = m.head_hash WHERE r.split = 'test')
+@query(f"""WITH {REGISTRY}, v AS (SELECT norm_hash, label, count(*) AS n FROM registry WHERE split = 'train' GROUP BY ALL),
+m AS (SELECT norm_hash, arg_min(label, (-n, label)) AS guess FROM v GROUP BY norm_hash),
+j AS (SELECT r.label, m.guess FROM registry r LEFT JOIN m ON r.norm_hash = m.norm_hash WHERE r.split = 'test')
 SELECT count(*) AS rows, count(guess) AS covered, round(count(guess)::DOUBLE / count(*), 6) AS coverage, round(CASE WHEN count(guess) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE guess = label)::DOUBLE / count(guess) END, 6) AS accuracy FROM j""")
 def majority_lookup(spark, sf_dir):
     r = registry(spark, sf_dir)
-    return rounded(R.majority_lookup(r.where("split = 'train'").select("head_hash", "label"), r.where("split = 'test'").select("head_hash", "label"), "head_hash", "label"))
+    return rounded(R.majority_lookup(r.where("split = 'train'").select("norm_hash", "label"), r.where("split = 'test'").select("norm_hash", "label"), "norm_hash", "label"))
 
 
 @query(f"""WITH {SCORED}, e AS (SELECT source, count(*) AS errors FROM scored WHERE (score >= 0.5) <> (label = 1) GROUP BY source),
@@ -169,13 +169,12 @@ def half_windows(spark, sf_dir):
     return G.half_windows(segments(spark, sf_dir).select("conv_id", "turn"), "turn", 800)
 
 
-_GAPS = "gaps AS (SELECT DISTINCT source, doc_id // 20 AS seq FROM documents WHERE doc_id % 20 = CAST(substr(source, 4) AS BIGINT) AND (doc_id // 20) % 7 <> 3)"
+#: Numbers with gaps of their own: the lengths that texts of a source have, in steps of 50.
+_GAPS = "gaps AS (SELECT DISTINCT source, n_chars // 50 AS seq FROM documents)"
 
 
 def _gaps(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    seq = F.floor(F.col("doc_id") / 20)
-    return d.where((F.col("doc_id") % 20 == F.substring("source", 4, 9).cast("long")) & (seq % 7 != 3)).select("source", seq.alias("seq"))
+    return table(spark, sf_dir, "documents").select("source", F.floor(F.col("n_chars") / 50).alias("seq")).distinct()
 
 
 @query(f"""WITH {_GAPS}, r AS (SELECT *, seq - row_number() OVER (PARTITION BY source ORDER BY seq) AS run FROM gaps),

@@ -43,14 +43,14 @@ def class_source_weights(spark, sf_dir):
     return w.groupBy("label", "source").agg(F.count("*").alias("rows"), F.round(F.sum("weight"), 9).alias("weight"))
 
 
-_QUOTAS = f"""{REGISTRY}, s AS (SELECT label, source, count(*) AS rows FROM registry WHERE doc_id % 3 > 0 GROUP BY ALL), r AS (SELECT label, source, rows, round(pow(rows::DOUBLE, 0.5) / sum(pow(rows::DOUBLE, 0.5)) OVER (PARTITION BY label) * 64, 9) AS raw FROM s),
+_QUOTAS = f"""{REGISTRY}, s AS (SELECT label, source, count(*) AS rows FROM registry GROUP BY ALL), r AS (SELECT label, source, rows, round(pow(rows::DOUBLE, 0.5) / sum(pow(rows::DOUBLE, 0.5)) OVER (PARTITION BY label) * 64, 9) AS raw FROM s),
 b AS (SELECT *, floor(raw)::BIGINT AS base FROM r),
 quotas AS (SELECT label, source, rows, base + (row_number() OVER (PARTITION BY label ORDER BY round(raw - base, 9) DESC, source) <= 64 - sum(base) OVER (PARTITION BY label))::BIGINT AS quota FROM b)"""
 
 
 @query(f"WITH {_QUOTAS} SELECT label, source, rows, quota FROM quotas")
 def tempered_quotas(spark, sf_dir):
-    return S.tempered_quotas(registry(spark, sf_dir).where("doc_id % 3 > 0"), "label", "source", 64, 0.5)
+    return S.tempered_quotas(registry(spark, sf_dir), "label", "source", 64, 0.5)
 
 
 @query("""WITH q AS (SELECT * FROM (VALUES ('en', 700), ('de', 90), ('fr', 40)) t(lang, quota)),
@@ -86,7 +86,7 @@ def event_roles(spark, sf_dir):
 
 def _components(spark, sf_dir):
     r = registry(spark, sf_dir)
-    comps = I.linked_components(r, "doc_id", ["content_hash", "head_hash"])
+    comps = I.linked_components(r, "doc_id", ["content_hash", "norm_hash"])
     sized = r.withColumn("doc_id", F.col("doc_id").cast("string")).join(comps, "doc_id")
     return sized.groupBy("component").agg(F.max("label").alias("label"), F.count("*").alias("sources"), F.sum(F.floor(F.col("n_chars") / 500)).alias("windows"))
 

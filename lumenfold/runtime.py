@@ -21,6 +21,7 @@ def build_session(app: str = "lumenfold", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.showConsoleProgress": "false",
     }
     for key, value in (defaults | conf).items():
@@ -29,7 +30,10 @@ def build_session(app: str = "lumenfold", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset (tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, or the session's checkpoint folder.
+
+    Where neither is set, a local session gets a temporary one; on a cluster that is an error.
+    """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -37,20 +41,35 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(named)
         return named
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="lumenfold-"))
     return sc.getCheckpointDir()
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder for a written table."""
-    return f"{shared_dir(spark).rstrip('/')}/lumenfold/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder for a written table, deleted when the session's JVM ends."""
+    path = f"{shared_dir(spark).rstrip('/')}/lumenfold/{name}-{uuid.uuid4().hex}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(where)  # only what exists can be marked for deletion
+    files.deleteOnExit(where)
+    return path
+
+
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """At most so many rows in an Arrow batch from now on: long texts then take less memory beside the heap."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(name, "10000")) not in range(1, rows + 1):
-        spark.conf.set(name, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1000) -> str:
+    """At most so many rows in an Arrow batch from now on: long texts then take less memory beside the heap.
+
+    Batches are made when a plan runs, so the setting has to last until then. Gives the setting before, to be
+    put back.
+    """
+    before = spark.conf.get(BATCH_ROWS)
+    if int(before) not in range(1, rows + 1):
+        spark.conf.set(BATCH_ROWS, str(rows))
+    return before
 
 
 def discard(spark: SparkSession, path: str) -> None:
@@ -59,6 +78,16 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def put_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file from the driver, in whatever file system the path names."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, False)
+    try:
+        stream.write(bytearray(content))
+    finally:
+        stream.close()
+
+
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint: the rows live in the shared folder, so no executor's loss loses them."""
     shared_dir(df.sparkSession)

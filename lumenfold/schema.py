@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Column sets that may name the original recording; the first that is wholly present does.
+#: Column sets that may name the original recording; the first that is wholly present does.
 IDENTITY_SETS = (("recording_group",), ("parquet_file", "row_group", "row_in_group"), ("archive_path", "archive_member"), ("audio_sha256",), ("source_path",))
 
 

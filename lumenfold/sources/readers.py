@@ -95,7 +95,7 @@ def registered_tree(spark: SparkSession, root: str, labels: dict[str, int], regi
     odd = [r[0] for r in seen.join(known, "source_group", "left_anti").unionByName(known.join(seen, "source_group", "left_anti")).limit(20).collect()]
     if odd:
         raise ValueError(f"sources that are only in the tree or only in the registry: {sorted(map(str, odd))}")
-    return files.join(F.broadcast(registry.drop("label")), "source_group")
+    return files.join(registry.drop("label"), "source_group")
 
 
 _MEMBERS = "path string, member string, content binary"

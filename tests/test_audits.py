@@ -48,6 +48,41 @@ def test_boundary_is_bound_to_its_fit(spark, tmp_path):
     assert {r.y: r.p > 0.5 for r in p} == {0: False, 1: True}
 
 
+def test_projections(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(60, 5)) * [5, 3, 1, 0.5, 0.1] + [1, 2, 3, 4, 5]
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)], "i long, y int, v array<double>")
+    space = vectors.fit_projection(df, "v", 2)
+    z = np.array([r.z for r in df.select("i", vectors.projected(space)("v").alias("z")).orderBy("i").collect()])
+    centred = x - x.mean(0)
+    axes = np.linalg.svd(centred, full_matrices=False)[2][:2]
+    assert np.allclose(np.abs(z), np.abs(centred @ axes.T)) and abs(z.mean(0)).max() < 1e-9
+    # the mean of the two nearest of the own class, in the projected space
+    u = z / np.linalg.norm(z, axis=1, keepdims=True)
+    near = df.withColumn("z", vectors.projected(space)("v"))
+    got = {r.i: r.score for r in vectors.class_knn(near, near, "i", "y", "y", "z", 2).collect()}
+    for i in range(60):
+        s = sorted((u[i] @ u[j] for j in range(60) if j != i and j % 2 == i % 2), reverse=True)[:2]
+        assert got[i] == pytest.approx((np.mean(s) + 1) / 2)
+    with pytest.raises(PySparkException, match="fewer than 40"):
+        vectors.class_knn(near, near, "i", "y", "y", "z", 40).collect()
+    head = vectors.fit_linear_head(df, "v", "y", components=2)
+    p = [r.p for r in df.select("i", vectors.head_score(head, F.col("v")).alias("p")).orderBy("i").collect()]
+    inner = vectors.fit_projection(df.where("y = 1"), "v", 2)
+    w = (x - inner.mean) @ inner.components.T
+    logits = (w - head.mean) / head.scale @ np.array(head.weights) + head.intercept
+    assert p == pytest.approx(list(1 / (1 + np.exp(-logits))))
+
+
+def test_hyperplanes_find_close_vectors(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(300, 32))
+    near = base[:50] + 0.05 * rng.normal(size=(50, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([base, near]))], "i long, v array<double>")
+    got = {r.i: r.neighbour for r in vectors.lsh_nearest(df.where("i >= 300"), df, "i", "v", 32).collect()}
+    assert np.mean([got[300 + i] == i for i in range(50)]) >= 0.9  # recall of the true neighbour
+
+
 def test_protocol(tmp_path):
     f = tmp_path / "x.txt"
     f.write_text("1")
@@ -69,7 +104,7 @@ def test_spectral_features(spark):
     x = np.sin(np.arange(4000) * 0.3).astype(np.float32)
     df = spark.createDataFrame([(x.tolist(),)], "a array<float>")
     r = df.select(signals.log_mel(16000, 32)("a").alias("m"), signals.log_mel(16000, 32, coefficients=13)("a").alias("c")).first()
-    assert np.array(r.m).shape == (22, 32) and np.array(r.c).shape == (22, 13) and abs(np.mean(r.m)) < 1e-4
+    assert np.array(r.m).shape == (26, 32) and np.array(r.c).shape == (26, 13) and abs(np.mean(r.m)) < 1e-4
     d = signals.dct_matrix(16, 16)
     assert np.allclose(d @ d.T, np.eye(16)) and signals.mel_filters(16000, 512, 40).shape == (40, 257)
     gains = spark.createDataFrame([(1, 0.5), (1, 0.3), (2, 1.0)], "p int, g double")
