@@ -7,9 +7,12 @@ on their full sets. Merging is by prefix and skip:
 * prefix: two sets with ``MATCHES`` collisions of ``COORDINATES`` must meet in the first
   ``COORDINATES - MATCHES + 1`` postings of either under any common order; the order is rarest first, so
   passages shared by many documents fall out of the prefix unless they make up most of a document;
-* skip: postings of one set lead nowhere and are skipped; a long posting is not expanded into pairs: its
-  members are first tied to one leader, and only where that leaves several components are members compared
-  in blocks, which report no more links than join their components.
+* skip: postings of one set lead nowhere and are skipped; a long posting is not expanded into pairs, its
+  members are tied to one leader, the smallest set.
+
+Sets of a long posting that the leader has left in several components are joined exactly, by their shingles
+(see _rest): rarest first again, and only those two sets meet whose sizes and places in the posting leave room for
+the overlap that they need. Where a shared passage brought them together, none do.
 
 The probability that a pair of similarity 0.75 has fewer than ``MATCHES`` collisions is about 1e-5; a
 reported link is always exact (on 64-bit shingle hashes).
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +37,14 @@ from lumenfold.runtime import cut
 WIDTH = 5
 COORDINATES = 64
 MATCHES = 33
-#: Postings up to this many sets are expanded into pairs; longer ones go by leader and blocks.
+#: Postings up to this many sets are expanded into pairs; longer ones go by leaders, at last by blocks.
 SHORT = 24
-#: Members of a long posting compared at a time.
-BLOCK = 2048
+#: Sets that are compared with one copy of their leader.
+PART = 256
+#: Slots of the table of shingle counts; leaders tried on a posting before its members are compared in blocks.
+SLOTS, ROUNDS = 1 << 18, 2
+#: Members of a long posting, and bytes of their texts, compared at a time.
+BLOCK, BLOCK_BYTES = 2048, 16 << 20
 #: Ids (8 bytes each) that are broadcast to pick rows on the map side; beyond, rows are picked by a shuffle.
 FEW_IDS = 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(77))
@@ -71,41 +79,70 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _confirm(percent: int):
+    """For sorted rows (a, part, b, text): of each leader a first its own text (b is null), then those to compare."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(0, np.uint64)
         for batch in batches:
-            a, b, keep = batch.column("a"), batch.column("b"), []
-            known: dict[int, np.ndarray] = {}
-            for part in pieces(batch, "text_b"):
-                left = part.column("a").to_pylist()
-                fresh = [i for i, x in enumerate(left) if x not in known and x not in left[:i]]
-                if len(known) > 64:
-                    known = {x: known[x] for x in set(left) if x in known}
-                    fresh = [i for i, x in enumerate(left) if x not in known and x not in left[:i]]
-                for i, s in zip(fresh, shingle_sets(part.column("text_a").take(pa.array(fresh, pa.int64())), WIDTH), strict=True):
-                    known[left[i]] = s
-                for x, s in zip(left, shingle_sets(part.column("text_b"), WIDTH), strict=True):
-                    keep.append(similar(len(np.intersect1d(known[x], s, assume_unique=True)), len(known[x]), len(s), percent))
-            yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            for part in pieces(batch):
+                found = []
+                for a, b, s in zip(part.column("a").to_pylist(), part.column("b").to_pylist(), shingle_sets(part.column("text"), WIDTH), strict=True):
+                    if b is None:
+                        own = s
+                    elif similar(len(np.intersect1d(own, s, assume_unique=True)), len(own), len(s), percent):
+                        found.append((a, b))
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _blocks(percent: int):
-    """For one pair of blocks of a long posting: exact links between different components, a forest of them.
+def _slots(sets: list[np.ndarray]) -> np.ndarray:
+    return (np.concatenate(sets) >> np.uint64(20)).astype(np.int64) % SLOTS if sets else np.zeros(0, np.int64)
+
+
+def _count_slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets of a partition by slot of their shingles' hashes."""
+    counts = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for part in pieces(batch):
+            counts += np.bincount(_slots(list(shingle_sets(part.column("text"), WIDTH))), minlength=SLOTS)
+    some = np.flatnonzero(counts)
+    for a in range(0, len(some), 50_000):
+        yield pa.RecordBatch.from_arrays([pa.array(some[a : a + 50_000]), pa.array(counts[some[a : a + 50_000]])], ["slot", "n"])
+
 
-    A pair that meets in several such postings is compared in that of its lowest shared coordinate.
+def _post_shingles(counts: np.ndarray, percent: int):
+    """Rows (g, rep, n, left) of the shingles that a set can first share with one it is linked with.
+
+    Shingles are ordered by the count of their slot, then by hash: the same order for all sets. n is the size of
+    the set, left how many shingles follow in the order, the shingle itself included. A slot with one set is skipped.
     """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch):
+                rows = []
+                for rep, s in zip(part.column("rep").to_pylist(), shingle_sets(part.column("text"), WIDTH), strict=True):
+                    often = counts[_slots([s])]
+                    order = np.lexsort((s, often))
+                    left = len(s) - np.arange(len(s))
+                    use = (100 * left >= percent * len(s)) & (often[order] > 1)
+                    rows.append((s[order][use].view(np.int64), np.full(use.sum(), rep), np.full(use.sum(), len(s)), left[use]))
+                cols = [np.concatenate(c) for c in zip(*rows, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["g", "rep", "n", "left"])
+
+    return run
+
+
+def _blocks(percent: int):
+    """For one pair of blocks of a posting: exact links between different components, a forest of them."""
+
     def run(table: pa.Table) -> pa.Table:
-        ids, comp = table.column("id").to_pylist(), table.column("comp").to_pylist()
-        side = np.array(table.column("side").to_pylist())
+        ids, comp = table.column("rep").to_pylist(), np.array(table.column("comp").to_pylist())
+        side, n, left = (np.array(table.column(c).to_pylist()) for c in ("side", "n", "left"))
         sig = np.array(table.column("sig").to_pylist(), np.int64).reshape(len(ids), -1)
-        here = table.column("k")[0].as_py()
-        masks = np.array(table.column("mask").to_pylist(), np.int64)
-        posted = (masks[:, None] >> np.arange(sig.shape[1])) & 1 == 1
         sets = list(shingle_sets(table.column("text"), WIDTH))
-        sizes = np.array([len(x) for x in sets])
-        root = {c: c for c in comp}
+        root = {c: c for c in comp.tolist()}
 
         def find(x):
             while root[x] != x:
@@ -116,11 +153,9 @@ def _blocks(percent: int):
         out_a, out_b = [], []
         first, second = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         for i in first.tolist():
-            fit = second[(100 * np.minimum(sizes[second], sizes[i]) >= percent * np.maximum(sizes[second], sizes[i]))]
-            same = sig[fit] == sig[i]
-            fit = fit[(same.sum(1) >= MATCHES) & ((same & posted[fit] & posted[i]).argmax(1) == here)]
-            for j in fit.tolist():
-                x, y = find(comp[i]), find(comp[j])
+            fit = second[(comp[second] != comp[i]) & (percent * (n[second] + n[i]) <= (100 + percent) * np.minimum(left[second], left[i]))]
+            for j in fit[(sig[fit] == sig[i]).sum(1) >= MATCHES].tolist():
+                x, y = find(int(comp[i])), find(int(comp[j]))
                 if x != y and similar(len(np.intersect1d(sets[i], sets[j], assume_unique=True)), len(sets[i]), len(sets[j]), percent):
                     root[max(x, y)] = min(x, y)
                     out_a.append(ids[i])
@@ -130,13 +165,126 @@ def _blocks(percent: int):
     return run
 
 
-def _only(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows whose id is among the (distinct) ids: on the map side while those are few, else by a shuffle."""
-    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "id", "left_semi")
+def _only(rows: DataFrame, ids: DataFrame, on: str = "rep") -> DataFrame:
+    """rows whose key is among the (distinct) ids, with the ids' other columns: on the map side while those are few,
+    else by a shuffle."""
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, on)
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
-    return cut(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    return cut(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct())
+
+
+@dataclass
+class _Sets:
+    """The distinct shingle sets of a table: (rep, sig, n), and the way from a rep to a text."""
+
+    base: DataFrame
+    classes: DataFrame
+    reps: DataFrame
+
+    def texts(self, reps: DataFrame) -> DataFrame:
+        """(rep, text) of (distinct) reps; a text read from several equal rows comes once."""
+        ids = cut(self.classes.select("rep", "id").join(reps, "rep", "left_semi"))
+        return _only(self.base.select("id", "text"), ids, "id").select("rep", "text").dropDuplicates(["rep"])
+
+
+def _in_parts(rows: DataFrame, size: str, lead: F.Column) -> DataFrame:
+    """Pairs (a, b, parts) of a posting's leader and its members: the more there are, the more copies of the leader."""
+    return rows.select(lead.alias("a"), F.col("rep").alias("b"), F.ceil(F.col(size) / PART).cast("int").alias("parts")).where("a <> b")
+
+
+def _links(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """(a, b) of the pairs (a, b, parts) that collide often enough and are similar by their full sets.
+
+    A leader's signature and text meet PART others at a time, so that no leader makes a task long.
+    """
+    pairs = pairs.groupBy("a", "b").agg(F.max("parts").alias("parts"))
+    pairs = cut(pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts").cast("long"))))
+    key = ["a", "parts", "part"]
+    sig = _only(sets.reps.select("rep", "sig"), _ends(pairs))
+    held = pairs.select(*key).distinct().join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
+    held = pairs.join(held, key).join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
+    equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
+    pairs = cut(held.where(equal >= MATCHES).select(*key, "b"))
+    texts = sets.texts(_ends(pairs))
+    own = pairs.select(*key).distinct().join(texts.withColumnRenamed("rep", "a"), "a").select(*key, F.lit(None).cast("long").alias("b"), "text")
+    rows = own.unionByName(pairs.join(texts.withColumnRenamed("rep", "b"), "b").select(*key, "b", "text"))
+    rows = rows.repartition(*key).sortWithinPartitions(*key, F.asc_nulls_first("b"))
+    return cut(rows.select("a", "b", "text").mapInArrow(tidied(_confirm(percent)), "a long, b long"))
+
+
+def _with_comps(rows: DataFrame, comps: DataFrame) -> DataFrame:
+    """rows (rep, ...) with comp, the component of the set."""
+    tied = comps.select(F.col("node").alias("rep"), "component")
+    return rows.join(tied, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+
+
+def _rest(rest: DataFrame, links: DataFrame, comps: DataFrame, sets: _Sets, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links and components with all links among the sets rest (rep), by an exact join on shingles.
+
+    Of a pair with |x| and |y| shingles that is linked, percent * (|x| + |y|) <= (100 + percent) * (common ones),
+    and of the common ones all but the first in the order come after it: so in the posting of their first common
+    shingle the same holds with what either has left from there. This decides which members of a posting can meet.
+    """
+    texts = cut(sets.texts(rest))
+    found = texts.mapInArrow(tidied(_count_slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counts = np.zeros(SLOTS, np.int64)
+    pdf = found.toPandas()  # SLOTS rows at most
+    counts[pdf["slot"].to_numpy(int)] = pdf["n"].to_numpy(int)
+    post = texts.mapInArrow(tidied(_post_shingles(counts, percent)), "g long, rep long, n long, left long")
+    # a member stays if the smallest other one would fit
+    post = cut(post.repartition("g"))
+    least = post.groupBy("g").agg(F.min(F.struct("n", "rep")).alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
+    post = post.join(least, "g")
+    others = post.where(F.col("rep") != F.col("least.rep")).groupBy("g").agg(F.min("n").alias("next"))
+    other = F.when(F.col("rep") == F.col("least.rep"), F.col("next")).otherwise(F.col("least.n"))
+    post = cut(post.join(others, "g").where(percent * (F.col("n") + other) <= (100 + percent) * F.col("left")).select("g", "rep", "n", "left"))
+
+    def opened(comps: DataFrame) -> DataFrame:
+        """Members, with comp and the size of the posting, of the postings that hold several components."""
+        members = _with_comps(post, comps)
+        several = members.groupBy("g").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g", "size")
+        return members.join(several, "g")
+
+    fits = lambda x, y: (F.col(f"{x}.comp") != F.col(f"{y}.comp")) & (percent * (F.col(f"{x}.n") + F.col(f"{y}.n")) <= (100 + percent) * F.least(f"{x}.left", f"{y}.left"))
+    for step in range(ROUNDS + 1):
+        members = cut(opened(comps))
+        if members.isEmpty():
+            return links, comps
+        short, long = members.where(F.col("size") <= SHORT), members.where(F.col("size") > SHORT)
+        pairs = short.alias("x").join(short.alias("y"), "g").where(F.col("x.rep") < F.col("y.rep")).where(fits("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.lit(1).alias("parts"))
+        if step < ROUNDS:
+            # the smallest set leads; in later rounds that of the sets which the largest component doesn't hold
+            order = F.struct("n", "rep", "left", "comp")
+            if step:
+                mode = long.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "comp")).alias("top"))
+                long = long.join(mode, "g").withColumn("main", F.col("comp") == F.col("top.comp")).drop("top")
+                leads = long.where("not main").groupBy("g").agg(F.min(order).alias("y"))
+            else:
+                leads = long.groupBy("g").agg(F.min(order).alias("y"))
+            led = long.alias("x").join(leads, "g").where(fits("x", "y"))
+            pairs = pairs.unionByName(_in_parts(led.select("x.rep", "size", "y"), "size", F.col("y.rep")))
+        more = _links(pairs, sets, percent)
+        if step == ROUNDS and not long.isEmpty():
+            more = more.unionByName(_in_blocks(long, texts, sets, percent))
+        if not more.isEmpty():
+            links = cut(links.unionByName(more).distinct())
+            comps = cut(connected_components(links, "a", "b"))
+    return links, comps
+
+
+def _in_blocks(members: DataFrame, texts: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """Links between components of long postings, every block of members against every other."""
+    names = cut(members.select("rep").distinct())
+    data = _only(texts, names).join(_only(sets.reps.select("rep", "sig"), names), "rep")
+    sizes = members.join(data.select("rep", F.octet_length("text").alias("bytes")), "rep").groupBy("g").agg(F.sum("bytes").alias("bytes"))
+    rows = members.join(sizes, "g").withColumn("parts", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    side = F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1)
+    rows = rows.select("g", "rep", "comp", "n", "left", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), side.alias("side"))
+    return cut(rows.join(data, "rep").groupBy("g", "p", "q").applyInArrow(_blocks(percent), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -148,51 +296,36 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     row of it has a doc_id. An empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(F.xxhash64("doc_id", text).alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    signed = cut(base.mapInArrow(tidied(_sign), "id long, doc_id long, n_shingles long, digest binary, sig array<long>"))
-    # one document for each distinct set; the others hang on it
-    classes = cut(signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("rep"), F.min("doc_id").alias("least")))
-    reps = signed.join(classes.select("digest", F.col("rep").alias("id")), ["digest", "id"], "left_semi").select("id", "sig").dropDuplicates(["id"])
-
-    post = reps.select("id", F.posexplode("sig").alias("k", "v")).select("id", "k", F.xxhash64("k", "v").alias("key")).repartition("key")
-    often = post.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    row_id = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), text)))
+    base = docs.select(row_id.alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    signed = cut(base.mapInArrow(tidied(_sign), "id binary, doc_id long, n_shingles long, digest binary, sig array<long>"))
+    # one set for each digest, under a number of its own; the documents hang on it
+    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("least"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
+    reps = signed.join(classes.select("digest", "id", "rep"), ["digest", "id"]).select("rep", "sig", F.col("n_shingles").alias("n")).dropDuplicates(["rep"])
+    sets = _Sets(base, classes, reps)
+
+    post = reps.select("rep", "n", F.posexplode("sig").alias("k", "v")).select("rep", "n", F.xxhash64("k", "v").alias("key")).repartition("key")
+    often = post.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = post.join(often, "key")
-    order = Window.partitionBy("id").orderBy("n", "key")
-    ranked = shared.withColumn("r", F.row_number().over(order)).withColumn("many", F.count("*").over(Window.partitionBy("id")))
-    prefix = cut(ranked.where(F.col("r") + COORDINATES - F.col("many") <= COORDINATES - MATCHES + 1).select("id", "key", "k"))
-
-    lists = prefix.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("lead")).where("n > 1")
-    short, long = lists.where(F.col("n") <= SHORT).select("key"), cut(lists.where(F.col("n") > SHORT))
-    small = prefix.join(short, "key", "left_semi").select("id", "key")
-    pairs = small.alias("x").join(small.alias("y"), "key").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    led = prefix.join(long, "key").where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b"))
-    pairs = cut(pairs.unionByName(led).distinct())
-    # count collisions on the signatures, then confirm on the sets
-    sig = signed.select("id", "sig")
-    some = _only(sig, _ends(pairs)).dropDuplicates(["id"])
-    held = pairs.join(some.select(F.col("id").alias("b"), F.col("sig").alias("sb")), "b").join(some.select(F.col("id").alias("a"), F.col("sig").alias("sa")), "a")
-    equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
-    pairs = cut(held.where(equal >= MATCHES).select("a", "b"))
-    texts = base.select("id", "text")
-    some = _only(texts, _ends(pairs)).dropDuplicates(["id"])
-    held = pairs.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
-    links = cut(held.select("a", "b", "text_a", "text_b").mapInArrow(tidied(_confirm(percent)), "a long, b long"))
+    order = Window.partitionBy("rep").orderBy("size", "key")
+    ranked = shared.withColumn("r", F.row_number().over(order)).withColumn("many", F.count("*").over(Window.partitionBy("rep")))
+    prefix = cut(ranked.where(F.col("r") + COORDINATES - F.col("many") <= COORDINATES - MATCHES + 1).select("rep", "key", "n"))
+
+    lists = prefix.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("n", "rep")).alias("lead")).where("size > 1")
+    small = prefix.join(lists.where(F.col("size") <= SHORT).select("key"), "key", "left_semi").select("rep", "key")
+    long = cut(lists.where(F.col("size") > SHORT).select("key", "size", F.col("lead.rep").alias("lead")))
+    pairs = small.alias("x").join(small.alias("y"), "key").where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.lit(1).alias("parts"))
+    led = _in_parts(prefix.select("key", "rep").join(long, "key"), "size", F.col("lead"))
+    links = _links(pairs.unionByName(led), sets, percent)
     comps = cut(connected_components(links, "a", "b"))
 
-    # long postings whose members are not all tied together yet
-    members = prefix.join(long.select("key"), "key", "left_semi").join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    open_keys = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
-    rest = cut(members.join(open_keys, "key").select("key", "k", "id", "comp", F.ceil(F.col("n") / BLOCK).cast("int").alias("parts")))
+    # members of long postings that are not all in one component
+    members = _with_comps(prefix.select("key", "rep").join(long.select("key"), "key"), comps)
+    several = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
+    rest = cut(members.join(several, "key", "left_semi").select("rep").distinct())
     if not rest.isEmpty():
-        mine = cut(rest.groupBy("id").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask")))
-        data = _only(sig, mine.select("id")).dropDuplicates(["id"]).join(_only(texts, mine.select("id")).dropDuplicates(["id"]), "id").join(mine, "id")
-        rest = rest.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        rest = rest.select("key", "k", "id", "comp", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"), F.when(F.col("part") == F.col("other"), 2).when(F.col("part") < F.col("other"), 0).otherwise(1).alias("side"))
-        more = rest.join(data, "id").groupBy("key", "p", "q").applyInArrow(_blocks(percent), "a long, b long")
-        more = cut(more.distinct())
-        if not more.isEmpty():
-            comps = connected_components(links.unionByName(more), "a", "b")
+        _, comps = _rest(rest, links, comps, sets, percent)
     tied = comps.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     known = classes.join(tied, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     least = known.groupBy("comp").agg(F.min("least").alias("component_id"))
