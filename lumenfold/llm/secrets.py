@@ -37,7 +37,7 @@ _GIVEN = rf"""(?<=[=:>]\s{{0,3}}["'`]?)(?<=(?i:{CREDENTIAL_WORDS})[A-Za-z0-9_]{{
 _BEARER = r"""(?<=(?i:bearer|ization["'`]?\s?[=:]\s?["'`]?basic)\s{1,2})"""
 _RUN = r"(?<![A-Za-z0-9+/_-])(?:SG\.)?+(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{16,}+(?:\.[A-Za-z0-9_-]{16,}+)*+(?:={1,2}(?![A-Za-z0-9+/_=-]))?+"
 #: The password of user:password@host in a URL.
-_IN_URL = r"(?<=://[A-Za-z0-9._%+-]{1,40}:)[^\s/@:]{4,}+(?=@[A-Za-z0-9])"
+_IN_URL = r"(?<=:)(?<=://[A-Za-z0-9._%+-]{1,40}:)[^\s/@:]{4,}+(?=@[A-Za-z0-9])"
 CANDIDATE = rf"""(?:(?<=[=:>\s"'`])(?:{_GIVEN}|{_BEARER}){_VALUE}|{_IN_URL}|{_RUN})"""
 HARMLESS_WORDS = "commit|sha-?1|sha-?256|sha-?512|md5|hash|digest|checksum|integrity|uuid|guid|revision|etag|build|version|card|phone|invoice|order|isbn|base64|href|src|url"
 HARMLESS_PATHS = "test|spec|fixture|example|sample|mock|docs?/|lock|vendor|node_modules|dist/"
