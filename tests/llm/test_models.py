@@ -28,13 +28,48 @@ def test_lm_base_against_brute_force(spark, tiny):
     assert sum(r.score for r in test) > sum(r.base_score for r in test)
 
 
-def test_lm_does_not_depend_on_buckets(spark, tiny, monkeypatch):
-    base = {r.doc_id: r.score for r in QUERIES["op2_lm_score"](spark, tiny).collect()}
+@pytest.mark.parametrize("fan", [4096, 3])
+def test_lm_does_not_depend_on_buckets(spark, tiny, monkeypatch, fan):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet")
+    base = {r.doc_id: r.score for r in lm.score(docs).collect()}
     monkeypatch.setattr(lm, "SHARD_BYTES", 50_000)
-    more = {r.doc_id: r.score for r in lm.score(spark.read.parquet(f"{tiny}/documents.parquet").repartition(7)).collect()}
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 40_000)
+    monkeypatch.setattr(lm, "FAN", fan)
+    more = {r.doc_id: r.score for r in lm.score(docs.repartition(7)).collect()}
     assert base.keys() == more.keys() and all(base[k] == pytest.approx(more[k]) for k in base)
 
 
+def test_lm_score_against_brute_force(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    tunes = {r.doc_id for r in docs.where("pmod(xxhash64('tune', doc_id), 10) = 0").collect()}
+    texts = {r.doc_id: [*words(r.text), "</s>"] for r in docs.collect()}
+    teach = {i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2}
+
+    def counted(ids):
+        uni, bi = collections.Counter(), collections.Counter()
+        for i in ids:
+            t = texts[i]
+            uni.update([*t, "<s>"])
+            bi.update(zip(["<s>", *t], t, strict=False))
+        return uni, bi, sum(n for w, n in uni.items() if w != "<s>")
+
+    def estimates(t, uni, bi, total):
+        for a, w in zip(["<s>", *t], t, strict=False):
+            c = uni[a]
+            yield (min(int(math.log2(c)) + 1, lm.CONTEXT_BUCKETS - 1) if c else 0), (bi[a, w] / c if c else 0.0), uni[w] / total
+
+    every = counted(teach)
+    uniform = 1 / (len([w for w in every[0] if w != "<s>"]) + 1)
+    small = counted(teach - tunes)
+    step = lambda x: int(np.rint(np.log10(x) * lm.STEP)) if x > 0 else lm.NONE
+    cells = collections.Counter((b, step(p), step(q)) for i in teach & tunes for b, p, q in estimates(texts[i], *small))
+    weights = lm.mixture_weights(np.array([(*k, n) for k, n in sorted(cells.items())]), uniform)
+    got = {r.doc_id: r.score for r in lm.score(docs).collect()}
+    for i, t in texts.items():
+        want = sum(math.log10(weights[b] @ [p, q, uniform]) for b, p, q in estimates(t, *every))
+        assert got[i] == pytest.approx(want, rel=1e-9)
+
+
 def test_lm_weights_are_learned():
     cells = np.array([[3, 0, -32, 900], [3, lm.NONE, -32, 100], [1, lm.NONE, -32, 500], [1, lm.NONE, lm.NONE, 500]])
     w = lm.mixture_weights(cells, 1e-6)
