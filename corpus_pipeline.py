@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumenfold.llm import bpe, exact, minhash, mixing, toxicity
 from lumenfold.llm.queries import tokenizer_path
-from lumenfold.runtime import discard, scratch, ship, small_batches, table
+from lumenfold.runtime import BATCH_ROWS, discard, scratch, ship, small_batches, table
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,17 +50,23 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over the documents; what a stage returns is written to the shared folder for the next."""
+    """The stages over the documents; what a stage returns is written to the shared folder for the next, the last as well.
+
+    Settings that stages change for their own plans are put back.
+    """
     docs = table(spark, sf_dir, "documents")
-    where = scratch(spark, "pipeline")
+    where, rows = scratch(spark, "pipeline"), spark.conf.get(BATCH_ROWS)
     before = None
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
-        docs = spark.read.parquet(f"{where}/{name}")
-        if before:
-            discard(spark, before)
-        before = f"{where}/{name}"
-    return STAGES[-1][1](spark, docs, sf_dir)
+    try:
+        for name, stage in STAGES:
+            stage(spark, docs, sf_dir).write.parquet(f"{where}/{name}")
+            docs = spark.read.parquet(f"{where}/{name}")
+            if before:
+                discard(spark, before)
+            before = f"{where}/{name}"
+    finally:
+        spark.conf.set(BATCH_ROWS, rows)
+    return docs
 
 
 #: The learned lexicon can't be expressed in SQL; tests hold run() against brute force.
