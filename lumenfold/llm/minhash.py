@@ -41,9 +41,9 @@ MATCHES = 33
 SHORT = 24
 #: Sets that are compared with one copy of their leader.
 PART = 256
-#: Slots of the table of shingle counts; leaders tried on a posting before its members are compared in blocks.
+#: Slots of the table of shingle counts; leaders tried on a posting of more than a block before blocks are compared.
 SLOTS, ROUNDS = 1 << 18, 2
-#: Members of a long posting, and bytes of their texts, compared at a time.
+#: Members of a posting of shingles, and bytes of their texts, compared at a time.
 BLOCK, BLOCK_BYTES = 2048, 16 << 20
 #: Ids (8 bytes each) that are broadcast to pick rows on the map side; beyond, rows are picked by a shuffle.
 FEW_IDS = 1_000_000
@@ -177,11 +177,15 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 @dataclass
 class _Sets:
-    """The distinct shingle sets of a table: (rep, sig, n), and the way from a rep to a text."""
+    """Distinct shingle sets by their number rep: signatures (rep, sig, ...), and texts by way of the row (rep, id) read for each."""
 
     base: DataFrame
     classes: DataFrame
-    reps: DataFrame
+    signed: DataFrame
+
+    def signatures(self, reps: DataFrame) -> DataFrame:
+        """(rep, sig) of (distinct) reps."""
+        return _only(self.signed.select("rep", "sig"), reps)
 
     def texts(self, reps: DataFrame) -> DataFrame:
         """(rep, text) of (distinct) reps; a text read from several equal rows comes once."""
@@ -189,6 +193,14 @@ class _Sets:
         return _only(self.base.select("id", "text"), ids, "id").select("rep", "text").dropDuplicates(["rep"])
 
 
+@dataclass
+class _Few(_Sets):
+    """Some of the sets, with their texts at hand: signed has rep, sig and text."""
+
+    def texts(self, reps: DataFrame) -> DataFrame:
+        return _only(self.signed.select("rep", "text"), reps)
+
+
 def _in_parts(rows: DataFrame, size: str, lead: F.Column) -> DataFrame:
     """Pairs (a, b, parts) of a posting's leader and its members: the more there are, the more copies of the leader."""
     return rows.select(lead.alias("a"), F.col("rep").alias("b"), F.ceil(F.col(size) / PART).cast("int").alias("parts")).where("a <> b")
@@ -202,7 +214,7 @@ def _links(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     pairs = pairs.groupBy("a", "b").agg(F.max("parts").alias("parts"))
     pairs = cut(pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts").cast("long"))))
     key = ["a", "parts", "part"]
-    sig = _only(sets.reps.select("rep", "sig"), _ends(pairs))
+    sig = sets.signatures(_ends(pairs))
     held = pairs.select(*key).distinct().join(sig.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a")
     held = pairs.join(held, key).join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
@@ -214,70 +226,71 @@ def _links(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     return cut(rows.select("a", "b", "text").mapInArrow(tidied(_confirm(percent)), "a long, b long"))
 
 
-def _with_comps(rows: DataFrame, comps: DataFrame) -> DataFrame:
-    """rows (rep, ...) with comp, the component of the set."""
-    tied = comps.select(F.col("node").alias("rep"), "component")
-    return rows.join(tied, "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
-
-
-def _rest(rest: DataFrame, links: DataFrame, comps: DataFrame, sets: _Sets, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links and components with all links among the sets rest (rep), by an exact join on shingles.
+def _rest(rest: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """(before, comp): new components of those that links among the sets rest (rep, comp) tie together, by an exact join
+    on shingles.
 
     Of a pair with |x| and |y| shingles that is linked, percent * (|x| + |y|) <= (100 + percent) * (common ones),
     and of the common ones all but the first in the order come after it: so in the posting of their first common
     shingle the same holds with what either has left from there. This decides which members of a posting can meet.
     """
-    texts = cut(sets.texts(rest))
-    found = texts.mapInArrow(tidied(_count_slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    reps = rest.select("rep")
+    some = cut(sets.texts(reps).join(sets.signatures(reps), "rep"))
+    sets = _Few(sets.base, sets.classes, some)
+    found = some.select("text").mapInArrow(tidied(_count_slots), "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     counts = np.zeros(SLOTS, np.int64)
     pdf = found.toPandas()  # SLOTS rows at most
     counts[pdf["slot"].to_numpy(int)] = pdf["n"].to_numpy(int)
-    post = texts.mapInArrow(tidied(_post_shingles(counts, percent)), "g long, rep long, n long, left long")
+    post = cut(some.select("rep", "text").mapInArrow(tidied(_post_shingles(counts, percent)), "g long, rep long, n long, left long"))
     # a member stays if the smallest other one would fit
-    post = cut(post.repartition("g"))
     least = post.groupBy("g").agg(F.min(F.struct("n", "rep")).alias("least"), F.count("*").alias("size")).where("size > 1").drop("size")
     post = post.join(least, "g")
     others = post.where(F.col("rep") != F.col("least.rep")).groupBy("g").agg(F.min("n").alias("next"))
     other = F.when(F.col("rep") == F.col("least.rep"), F.col("next")).otherwise(F.col("least.n"))
     post = cut(post.join(others, "g").where(percent * (F.col("n") + other) <= (100 + percent) * F.col("left")).select("g", "rep", "n", "left"))
-
-    def opened(comps: DataFrame) -> DataFrame:
-        """Members, with comp and the size of the posting, of the postings that hold several components."""
-        members = _with_comps(post, comps)
-        several = members.groupBy("g").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g", "size")
-        return members.join(several, "g")
+    # of postings of the same members only the first in the order counts: more is left from there for each
+    marks = [F.sum(F.xxhash64("rep", F.lit(i)).cast("decimal(38,0)")).alias(f"m{i}") for i in (0, 1)]
+    alike = post.groupBy("g").agg(F.count("*").alias("size"), F.sum("left").alias("left"), *marks).where("size > 1")
+    first = alike.groupBy("size", "m0", "m1").agg(F.max(F.struct("left", "g")).alias("f")).select(F.col("f.g").alias("g"))
+    post = cut(post.join(first, "g", "left_semi"))
 
     fits = lambda x, y: (F.col(f"{x}.comp") != F.col(f"{y}.comp")) & (percent * (F.col(f"{x}.n") + F.col(f"{y}.n")) <= (100 + percent) * F.least(f"{x}.left", f"{y}.left"))
+    tied = rest.select("rep", F.col("comp").alias("before"), "comp")
     for step in range(ROUNDS + 1):
-        members = cut(opened(comps))
-        if members.isEmpty():
-            return links, comps
-        short, long = members.where(F.col("size") <= SHORT), members.where(F.col("size") > SHORT)
-        pairs = short.alias("x").join(short.alias("y"), "g").where(F.col("x.rep") < F.col("y.rep")).where(fits("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.lit(1).alias("parts"))
-        if step < ROUNDS:
+        members = post.join(tied.select("rep", "comp"), "rep")
+        several = members.groupBy("g").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g", "size")
+        members = cut(members.join(several, "g"))
+        long = members.where(F.col("size") > BLOCK)
+        last = step == ROUNDS or long.isEmpty()
+        if last:
+            short = members.where(F.col("size") <= SHORT)
+            pairs = short.alias("x").join(short.alias("y"), "g").where(F.col("x.rep") < F.col("y.rep")).where(fits("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.lit(1).alias("parts"))
+        else:
             # the smallest set leads; in later rounds that of the sets which the largest component doesn't hold
-            order = F.struct("n", "rep", "left", "comp")
+            leads = long
             if step:
-                mode = long.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "comp")).alias("top"))
-                long = long.join(mode, "g").withColumn("main", F.col("comp") == F.col("top.comp")).drop("top")
-                leads = long.where("not main").groupBy("g").agg(F.min(order).alias("y"))
-            else:
-                leads = long.groupBy("g").agg(F.min(order).alias("y"))
-            led = long.alias("x").join(leads, "g").where(fits("x", "y"))
-            pairs = pairs.unionByName(_in_parts(led.select("x.rep", "size", "y"), "size", F.col("y.rep")))
-        more = _links(pairs, sets, percent)
-        if step == ROUNDS and not long.isEmpty():
-            more = more.unionByName(_in_blocks(long, texts, sets, percent))
-        if not more.isEmpty():
-            links = cut(links.unionByName(more).distinct())
-            comps = cut(connected_components(links, "a", "b"))
-    return links, comps
-
-
-def _in_blocks(members: DataFrame, texts: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+                top = long.groupBy("g", "comp").agg(F.count("*").alias("k")).groupBy("g").agg(F.max(F.struct("k", "comp")).alias("top"))
+                leads = long.join(top, "g").where(F.col("comp") != F.col("top.comp"))
+            led = long.alias("x").join(leads.groupBy("g").agg(F.min(F.struct("n", "rep", "left", "comp")).alias("y")), "g").where(fits("x", "y"))
+            pairs = _in_parts(led.select("x.rep", "size", "y"), "size", F.col("y.rep"))
+        pairs = cut(pairs)
+        more = pairs.select("a", "b") if pairs.isEmpty() else _links(pairs, sets, percent)
+        if last:
+            more = more.unionByName(_in_blocks(members.where(F.col("size") > SHORT), sets, percent))
+        ends = tied.select("rep", "comp")
+        edges = more.join(ends.select(F.col("rep").alias("a"), F.col("comp").alias("u")), "a").join(ends.select(F.col("rep").alias("b"), F.col("comp").alias("v")), "b")
+        edges = cut(edges.select("u", "v").where("u <> v").distinct())
+        if not edges.isEmpty():
+            moved = connected_components(edges, "u", "v").withColumnsRenamed({"node": "comp", "component": "to"})
+            tied = cut(tied.join(moved, "comp", "left").select("rep", "before", F.coalesce("to", "comp").alias("comp")))
+        if last:
+            break
+    return tied.where("before <> comp").select("before", "comp").distinct()
+
+
+def _in_blocks(members: DataFrame, sets: _Few, percent: int) -> DataFrame:
     """Links between components of long postings, every block of members against every other."""
-    names = cut(members.select("rep").distinct())
-    data = _only(texts, names).join(_only(sets.reps.select("rep", "sig"), names), "rep")
+    data = sets.signed.select("rep", "sig", "text")
     sizes = members.join(data.select("rep", F.octet_length("text").alias("bytes")), "rep").groupBy("g").agg(F.sum("bytes").alias("bytes"))
     rows = members.join(sizes, "g").withColumn("parts", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("bytes") / BLOCK_BYTES)).cast("int"))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts").cast("long")).cast("int"))
@@ -303,7 +316,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("least"))
     classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
     reps = signed.join(classes.select("digest", "id", "rep"), ["digest", "id"]).select("rep", "sig", F.col("n_shingles").alias("n")).dropDuplicates(["rep"])
-    sets = _Sets(base, classes, reps)
+    sets = _Sets(base, classes, reps.select("rep", "sig"))
 
     post = reps.select("rep", "n", F.posexplode("sig").alias("k", "v")).select("rep", "n", F.xxhash64("k", "v").alias("key")).repartition("key")
     often = post.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
@@ -320,14 +333,15 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     links = _links(pairs.unionByName(led), sets, percent)
     comps = cut(connected_components(links, "a", "b"))
 
+    tied = comps.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+    known = classes.join(tied, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     # members of long postings that are not all in one component
-    members = _with_comps(prefix.select("key", "rep").join(long.select("key"), "key"), comps)
+    members = prefix.select("key", "rep").join(long.select("key"), "key").join(tied, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     several = members.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    rest = cut(members.join(several, "key", "left_semi").select("rep").distinct())
+    rest = cut(members.join(several, "key", "left_semi").select("rep", "comp").distinct())
     if not rest.isEmpty():
-        _, comps = _rest(rest, links, comps, sets, percent)
-    tied = comps.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-    known = classes.join(tied, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+        moved = _rest(rest, sets, percent).select(F.col("before").alias("comp"), F.col("comp").alias("to"))
+        known = known.join(moved, "comp", "left").withColumn("comp", F.coalesce("to", "comp")).drop("to")
     least = known.groupBy("comp").agg(F.min("least").alias("component_id"))
     known = known.join(least, "comp").select("digest", "component_id")
     out = signed.select("doc_id", "n_shingles", "digest").join(known, "digest", "left")
