@@ -29,6 +29,8 @@ from lumenfold.llm.words import pieces, tidied
 PIECE = 1 << 20
 #: Words of each of two generations, and pair verdicts, that a worker remembers.
 MAX_WORDS, MAX_PAIRS = 100_000, 4_000_000
+#: The largest tokenizer file that is sent to every worker.
+MAX_FILE = 64 << 20
 _BLANK = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CUT = regex.compile(f"(?=[{_BLANK}])")
 
@@ -43,8 +45,8 @@ def byte_letters() -> list[str]:
 class WordBpe:
     """One vocabulary with its merges; encode() gives ids, decode() what the library's decode gives."""
 
-    def __init__(self, path: str):
-        spec = json.loads(Path(path).read_text("utf-8"))
+    def __init__(self, path: str, content: bytes | None = None):
+        spec = json.loads(Path(path).read_bytes() if content is None else content)
         model = spec["model"]
         self.end = model.get("end_of_word_suffix") or ""
         self.vocab: dict[str, int] = model["vocab"]
@@ -277,12 +279,20 @@ class WordBpe:
 _LOADED: dict[str, WordBpe] = {}
 
 
-def load(path: str) -> WordBpe:
+def load(path: str, content: bytes | None = None) -> WordBpe:
     if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
+        _LOADED[path] = WordBpe(path, content)
     return _LOADED[path]
 
 
+def _sent(docs: DataFrame, path: str):
+    """The tokenizer's file as the driver has it, for every worker: no other machine needs the path."""
+    size = Path(path).stat().st_size
+    if size > MAX_FILE:
+        raise ValueError(f"{path} has {size} bytes, more than are sent to every worker")
+    return docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
+
+
 def _joined(parts: Iterator[list[tuple[str, str, int]]]) -> tuple[int, str, str]:
     n, ids, texts, first = 0, hashlib.sha256(), hashlib.sha256(), True
     for part in parts:
@@ -300,11 +310,12 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of docs (doc_id, text); null is empty.
 
     Whole texts of any length are encoded piece by piece; repeated rows come out as often; other columns are
-    ignored; an empty table gives no rows. The file at path has to be on every machine.
+    ignored; an empty table gives no rows. The driver reads the file at path and sends it to the workers.
     """
+    file = _sent(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(path, file.value)
         for batch in batches:
             for part in pieces(batch, limit=1 << 20):
                 out = [_joined(p) for p in bpe.stream_batch(part.column("text").fill_null("").to_pylist())]
@@ -316,9 +327,10 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
     """docs (with text) and the columns token_ids (array of int) and decoded (the plain words of the ids)."""
+    file = _sent(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+        bpe = load(path, file.value)
         for batch in batches:
             for part in pieces(batch, limit=1 << 20):
                 ids = [bpe.ids(p) for p in bpe.stream_batch(part.column("text").fill_null("").to_pylist())]
