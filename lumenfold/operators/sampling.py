@@ -149,9 +149,9 @@ def weighted_sample(df: DataFrame, key: str, weight: Column, count: int, seed: i
 
 def draw_with_replacement(df: DataFrame, key: str, weight: str, draws: int, seed: int) -> DataFrame:
     """draw, key: draws by inverse distribution; the rows' cumulative weights are made in two levels."""
-    rows = df.select(key, F.col(weight).cast("double").alias("w")).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(1024)))
+    rows = df.select(key, F.col(weight).cast("double").alias("w")).withColumn("_b", F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 3), 16, 10).cast("int"))
     sums = rows.groupBy("_b").agg(F.sum("w").alias("_s"))
-    before = sums.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("_all"), "_s")  # 1024 rows
+    before = sums.select("_b", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_before"), F.sum("_s").over(Window.partitionBy()).alias("_all"), "_s")  # 4096 rows
     upto = F.sum("w").over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     placed = rows.withColumn("_upto", upto).withColumn("_from", F.col("_upto") - F.col("w"))
     d = df.sparkSession.range(draws).select(F.col("id").alias("draw"), unit_interval(seeded_rank(seed, F.col("id"))).alias("u"))

@@ -110,7 +110,7 @@ def temperature_fit(spark, sf_dir):
     return rounded(df.agg(M.logit_nll("label", "logit").alias("nll_before"), M.logit_nll("label", "logit", t).alias("nll_after")).withColumn("temperature", F.lit(t)))
 
 
-@query()
+@query(f"WITH {_NEG}, r AS (SELECT lang, score, row_number() OVER (PARTITION BY lang ORDER BY score DESC) AS rank, count(*) OVER (PARTITION BY lang) AS negatives FROM neg) SELECT lang, score AS boundary, nextafter(score, 'infinity'::DOUBLE) AS threshold FROM r WHERE rank = floor(negatives * 0.05::DOUBLE)::BIGINT + 1")
 def threshold_numbers(spark, sf_dir):
     """Boundaries with the next double above each."""
     return T.fpr_boundary(_negatives(spark, sf_dir), "score", 0.05, ["lang"]).select("lang", "boundary", T.just_above("boundary").alias("threshold"))
@@ -121,7 +121,24 @@ for _k in range(1, 12):
     _BOUNDS.append(_BOUNDS[-1] + (_BOUNDS[-1] - (_BOUNDS[-2] if _k > 1 else 0.0)) / _k)
 
 
-@query()
+_POISSON = " + ".join(f"(u > {b!r})::INTEGER" for b in _BOUNDS)
+
+
+def _unit(text: str) -> str:
+    return f"('0x' || substr(sha256({text}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616"
+
+
+def _share(top: str, bottom: str) -> str:
+    return f"CASE WHEN {bottom} = 0 THEN 0.0 ELSE ({top})::DOUBLE / ({bottom}) END"
+
+
+_METRICS = {"accuracy": _share("tp + tn", "tp + fp + fn + tn"), "precision": _share("tp", "tp + fp"), "recall": _share("tp", "tp + fn"), "specificity": _share("tn", "tn + fp"), "f1": _share("2 * tp", "2 * tp + fp + fn"), "balanced_accuracy": f"(({_share('tp', 'tp + fn')}) + ({_share('tn', 'tn + fp')})) / 2"}
+
+
+@query(f"""WITH {SCORED}, k AS (SELECT label || '|' || source AS k, count(*) FILTER (WHERE label = 1 AND score >= 0.5) AS tp, count(*) FILTER (WHERE label = 0 AND score >= 0.5) AS fp, count(*) FILTER (WHERE label = 1 AND score < 0.5) AS fn, count(*) FILTER (WHERE label = 0 AND score < 0.5) AS tn FROM scored GROUP BY 1),
+u AS (SELECT i, k.*, {_unit("'13:' || i || ':' || k")} AS u FROM k, range(0, 100) t(i)), w AS (SELECT *, {_POISSON} AS w FROM u),
+r AS (SELECT i, sum(tp * w) AS tp, sum(fp * w) AS fp, sum(fn * w) AS fn, sum(tn * w) AS tn FROM w GROUP BY i), v AS ({" UNION ALL ".join(f"SELECT '{m}' AS metric, {sql} AS v FROM r" for m, sql in _METRICS.items())})
+SELECT metric, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v GROUP BY metric""")
 def cluster_bootstrap(spark, sf_dir):
     """Intervals of six metrics, resampling sources within labels."""
     return rounded(B.binary_metrics_ci(scored(spark, sf_dir), "label", "score", 0.5, "source", 100, 13))
@@ -139,13 +156,18 @@ def bayesian_bootstrap_delta(spark, sf_dir):
     return rounded(B.interval(reps, "v"))
 
 
-@query()
+@query(f"""WITH {SCORED}, c AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE score >= 0.5) AS a, count(*) FILTER (WHERE other >= 0.5) AS b FROM scored GROUP BY source),
+u AS (SELECT i, c.*, {_unit("'21:' || i || ':' || source")} AS u FROM c, range(0, 100) t(i)), w AS (SELECT *, {_POISSON} AS w FROM u), r AS (SELECT i, (sum(b * w) - sum(a * w))::DOUBLE / sum(n * w) AS v FROM w GROUP BY i HAVING sum(n * w) > 0)
+SELECT round((SELECT (sum(b) - sum(a))::DOUBLE / sum(n) FROM c), 6) AS delta, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, round(quantile_cont(v, 0.95), 6) AS upper FROM r""")
 def paired_bootstrap(spark, sf_dir):
     """The delta of two systems' hit rates with bounds, resampling sources."""
     return rounded(B.paired_rate_delta(scored(spark, sf_dir), "source", F.col("score") >= 0.5, F.col("other") >= 0.5, 100, 21))
 
 
-@query()
+@query(f"""WITH {SCORED}, c AS (SELECT label, source, lang, count(*) AS n, count(*) FILTER (WHERE (score >= 0.5) = (label = 1)) AS a, count(*) FILTER (WHERE (other >= 0.5) = (label = 1)) AS b FROM scored GROUP BY ALL),
+w AS (SELECT i, c.*, ln(greatest({_unit("'5:' || i || ':source:' || source")}, 5.421010862427522e-20)) * ln(greatest({_unit("'5:' || i || ':lang:' || lang")}, 5.421010862427522e-20)) AS w FROM c, range(0, 100) t(i)),
+d AS (SELECT i, label, (sum(w * b) - sum(w * a)) / sum(w * n) AS d FROM w GROUP BY i, label), v AS (SELECT i, avg(d) AS v FROM d GROUP BY i)
+SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v""")
 def multiway_bootstrap(spark, sf_dir):
     """Deltas of balanced accuracy under weights of sources and languages."""
     return rounded(B.interval(B.multiway_delta(scored(spark, sf_dir), "label", F.col("score") >= 0.5, F.col("other") >= 0.5, ["source", "lang"], 100, 5), "delta"))

@@ -117,7 +117,9 @@ def canonical_sources(spark, sf_dir):
     return S.canonical_sources(r.select("doc_id", "content_hash", "label", "split"), "content_hash", "label", "split", ["doc_id"], ["train", "val", "test"])
 
 
-@query()
+@query("""WITH w AS (SELECT doc_id, n_chars::DOUBLE AS w, substr(sha256(doc_id::VARCHAR), 1, 3) AS b FROM documents), c AS (SELECT doc_id, w, sum(w) OVER (ORDER BY b, doc_id) AS upto, sum(w) OVER () AS total FROM w),
+d AS (SELECT i AS draw, ('0x' || substr(sha256('4:' || i), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616 AS u FROM range(0, 500) t(i))
+SELECT draw, doc_id FROM d JOIN c ON u * total >= upto - w AND u * total < upto""")
 def draw_with_replacement(spark, sf_dir):
     """Weighted draws by inverse distribution."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("weight"))
