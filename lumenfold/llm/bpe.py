@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.words import pieces, tidied
+from lumenfold.runtime import ship
 
 #: Texts are handled in pieces of about so many characters, cut before white space.
 PIECE = 1 << 20
@@ -287,6 +288,7 @@ def load(path: str, content: bytes | None = None) -> WordBpe:
 
 def _sent(docs: DataFrame, path: str):
     """The tokenizer's file as the driver has it, for every worker: no other machine needs the path."""
+    ship(docs.sparkSession)
     size = Path(path).stat().st_size
     if size > MAX_FILE:
         raise ValueError(f"{path} has {size} bytes, more than are sent to every worker")

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.packing import SCHEMA, packer, unpack
 from lumenfold.llm.words import hash_words, mix, pieces, tidied
-from lumenfold.runtime import cut
+from lumenfold.runtime import cut, ship
 
 #: The band of document shares (the inverse-document-frequency band), and the least number of documents.
 LOWEST, HIGHEST, AT_LEAST = 0.0005, 0.2, 2
@@ -262,6 +262,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     are ignored; an empty table gives no rows. Rows of one doc_id, or without one, are dealt to many ranges by the
     hash of the text; only rows equal in both lie in one.
     """
+    ship(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     keys = cut(base.select("doc_id", "h", F.octet_length("text").cast("long").alias("size")))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm.packing import SCHEMA, packer, unpack
 from lumenfold.llm.words import hash_words, mix
-from lumenfold.runtime import cut
+from lumenfold.runtime import cut, ship
 
 BUCKET_BYTES = 6 << 20
 SHARD_BYTES = 8 << 20
@@ -260,6 +260,7 @@ def score(docs: DataFrame, test: F.Column | None = None) -> DataFrame:
     only token is the end. Base-10 logarithms. Repeated rows count and come out as often; other columns are
     ignored; an empty table gives no rows; without training texts the model is uniform over one outcome.
     """
+    ship(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     held_out = remainder(7) == 2 if test is None else test
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), held_out.alias("held_out"))

@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from lumenfold.llm.words import pieces, shingle_sets, tidied
 from lumenfold.operators.components import connected_components
-from lumenfold.runtime import cut
+from lumenfold.runtime import cut, ship
 
 WIDTH = 5
 COORDINATES = 64
@@ -177,25 +177,33 @@ def _ends(pairs: DataFrame) -> DataFrame:
 
 @dataclass
 class _Sets:
-    """Distinct shingle sets by their number rep: signatures (rep, sig, ...), and texts by way of the row (rep, id) read for each."""
+    """Distinct shingle sets by their number rep: signatures (id, sig) and texts by way of the row (rep, id) read for each.
+
+    What is wanted is picked on the map side while it is little; nothing else is shuffled.
+    """
 
     base: DataFrame
     classes: DataFrame
     signed: DataFrame
 
+    def _picked(self, rows: DataFrame, column: str, reps: DataFrame) -> DataFrame:
+        """(rep, column) of (distinct) reps; of several equal rows once."""
+        ids = cut(self.classes.select("rep", "id").join(reps, "rep", "left_semi"))
+        return _only(rows.select("id", column), ids, "id").select("rep", column).dropDuplicates(["rep"])
+
     def signatures(self, reps: DataFrame) -> DataFrame:
-        """(rep, sig) of (distinct) reps."""
-        return _only(self.signed.select("rep", "sig"), reps)
+        return self._picked(self.signed, "sig", reps)
 
     def texts(self, reps: DataFrame) -> DataFrame:
-        """(rep, text) of (distinct) reps; a text read from several equal rows comes once."""
-        ids = cut(self.classes.select("rep", "id").join(reps, "rep", "left_semi"))
-        return _only(self.base.select("id", "text"), ids, "id").select("rep", "text").dropDuplicates(["rep"])
+        return self._picked(self.base, "text", reps)
 
 
 @dataclass
 class _Few(_Sets):
-    """Some of the sets, with their texts at hand: signed has rep, sig and text."""
+    """Some of the sets, with all at hand: signed has rep, sig and text."""
+
+    def signatures(self, reps: DataFrame) -> DataFrame:
+        return _only(self.signed.select("rep", "sig"), reps)
 
     def texts(self, reps: DataFrame) -> DataFrame:
         return _only(self.signed.select("rep", "text"), reps)
@@ -308,6 +316,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     each by its own text. Rows without doc_id get the component of their text's class, which is null where no
     row of it has a doc_id. An empty table gives no rows.
     """
+    ship(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row_id = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), text)))
     base = docs.select(row_id.alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
@@ -316,7 +325,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     classes = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("least"))
     classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
     reps = signed.join(classes.select("digest", "id", "rep"), ["digest", "id"]).select("rep", "sig", F.col("n_shingles").alias("n")).dropDuplicates(["rep"])
-    sets = _Sets(base, classes, reps.select("rep", "sig"))
+    sets = _Sets(base, classes, signed)
 
     post = reps.select("rep", "n", F.posexplode("sig").alias("k", "v")).select("rep", "n", F.xxhash64("k", "v").alias("key")).repartition("key")
     often = post.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm import crf
 from lumenfold.llm.words import pieces, tidied
+from lumenfold.runtime import ship
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
@@ -223,6 +224,7 @@ def scan(docs: DataFrame, table: list[tuple[str, list[Span]]] | None = None) ->
     Places are code points, ends exclusive. Null is empty; whole texts of any length; repeated rows come out
     as often; other columns are ignored; an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     chain = fit(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenfold.llm.words import pieces, tidied
-from lumenfold.runtime import cut
+from lumenfold.runtime import cut, ship
 
 #: The most labelled texts (by hash) that a lexicon is learned from.
 MAX_LABELLED = 20_000
@@ -199,6 +199,7 @@ def learn(docs: DataFrame, labels: DataFrame, bound: int = MAX_LABELLED) -> Lexi
 
     Without labels of both kinds it is the prior. A text labelled both ways counts as toxic.
     """
+    ship(docs.sparkSession)
     rows = cut(labelled_sample(docs, labels, bound))
     size = {(r.half, r.toxic): r.n for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
     total = size.get((0, 1), 0) + size.get((1, 1), 0)
@@ -256,6 +257,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     Null and empty texts get the score of a text without hits. Whole texts are read; repeated rows come out
     as often; other columns are ignored; an empty table gives no rows.
     """
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.automaton()
@@ -274,6 +276,7 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def keep_clean(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """docs, all columns as they were, without the rows whose text scores CUT or more."""
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = lexicon.automaton()

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenfold.llm.words import pieces, tidied
-from lumenfold.runtime import cut, scratch
+from lumenfold.runtime import cut, scratch, ship
 
 REVISIT_BYTES = 1000
 BLOCK_LINES, MAX_BLOCKS = 3000, 65_536
@@ -184,6 +184,7 @@ def write_archives(pages: DataFrame, path: str, date: str = "1970-01-01T00:00:00
     the largest page_id of a payload are all responses, as is a row without page_id. An archive ends with the
     record that takes it to FILE_BYTES.
     """
+    ship(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8").alias("payload"))
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -270,6 +271,7 @@ def _scanned(seekable: bool):
 
 def build_index(spark: SparkSession, archive_path: str, index_path: str) -> CaptureIndex:
     """Scan the archives once and write the two levels of their index."""
+    ship(spark)
     found = archives(spark, archive_path)
     seekable, files = _seekable(found), max(1, min(65_536, found.count()))
     found = found.select("path").repartition(files, "path") if seekable else found.select("path", "content")
