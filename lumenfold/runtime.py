@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import shutil
 import tempfile
@@ -94,6 +95,15 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager=eager)
 
 
+def release(spark: SparkSession) -> None:
+    """Have the driver forget plans that nothing refers to any more, so that executors delete their shuffle files.
+
+    Spark does so when the driver's heap is collected, which a small driver of a long job seldom does by itself.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _SHIPPED: set[str] = set()
 
 
