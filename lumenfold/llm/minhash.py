@@ -32,7 +32,7 @@ from pyspark.sql.window import Window
 
 from lumenfold.llm.words import pieces, shingle_sets, tidied
 from lumenfold.operators.components import connected_components
-from lumenfold.runtime import cut, ship
+from lumenfold.runtime import cut, release, ship
 
 WIDTH = 5
 COORDINATES = 64
@@ -227,6 +227,8 @@ def _links(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     held = pairs.join(held, key).join(sig.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
     equal = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.when(x == y, 1).otherwise(0)), F.lit(0), lambda s, x: s + x)
     pairs = cut(held.where(equal >= MATCHES).select(*key, "b"))
+    del held, sig
+    release(pairs.sparkSession)
     texts = sets.texts(_ends(pairs))
     own = pairs.select(*key).distinct().join(texts.withColumnRenamed("rep", "a"), "a").select(*key, F.lit(None).cast("long").alias("b"), "text")
     rows = own.unionByName(pairs.join(texts.withColumnRenamed("rep", "b"), "b").select(*key, "b", "text"))
@@ -268,6 +270,7 @@ def _rest(rest: DataFrame, sets: _Sets, percent: int) -> DataFrame:
         members = post.join(tied.select("rep", "comp"), "rep")
         several = members.groupBy("g").agg(F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("g", "size")
         members = cut(members.join(several, "g"))
+        release(rest.sparkSession)
         long = members.where(F.col("size") > BLOCK)
         last = step == ROUNDS or long.isEmpty()
         if last:
@@ -283,6 +286,7 @@ def _rest(rest: DataFrame, sets: _Sets, percent: int) -> DataFrame:
             pairs = _in_parts(led.select("x.rep", "size", "y"), "size", F.col("y.rep"))
         pairs = cut(pairs)
         more = pairs.select("a", "b") if pairs.isEmpty() else _links(pairs, sets, percent)
+        release(rest.sparkSession)
         if last:
             more = more.unionByName(_in_blocks(members.where(F.col("size") > SHORT), sets, percent))
         ends = tied.select("rep", "comp")
@@ -316,31 +320,35 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     each by its own text. Rows without doc_id get the component of their text's class, which is null where no
     row of it has a doc_id. An empty table gives no rows.
     """
-    ship(docs.sparkSession)
+    spark = docs.sparkSession
+    ship(spark)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     row_id = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), text)))
     base = docs.select(row_id.alias("id"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     signed = cut(base.mapInArrow(tidied(_sign), "id binary, doc_id long, n_shingles long, digest binary, sig array<long>"))
     # one set for each digest, under a number of its own; the documents hang on it
-    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("least"))
+    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("id").alias("id"), F.min("doc_id").alias("least"), F.max("n_shingles").alias("n"))
     classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
-    reps = signed.join(classes.select("digest", "id", "rep"), ["digest", "id"]).select("rep", "sig", F.col("n_shingles").alias("n")).dropDuplicates(["rep"])
+    reps = signed.join(classes.select("digest", "id", "rep"), ["digest", "id"]).select("rep", "sig").dropDuplicates(["rep"])
     sets = _Sets(base, classes, signed)
 
-    post = reps.select("rep", "n", F.posexplode("sig").alias("k", "v")).select("rep", "n", F.xxhash64("k", "v").alias("key")).repartition("key")
+    post = reps.select("rep", F.posexplode("sig").alias("k", "v")).select("rep", F.xxhash64("k", "v").alias("key")).repartition("key")
     often = post.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = post.join(often, "key")
     order = Window.partitionBy("rep").orderBy("size", "key")
     ranked = shared.withColumn("r", F.row_number().over(order)).withColumn("many", F.count("*").over(Window.partitionBy("rep")))
-    prefix = cut(ranked.where(F.col("r") + COORDINATES - F.col("many") <= COORDINATES - MATCHES + 1).select("rep", "key", "n"))
+    prefix = cut(ranked.where(F.col("r") + COORDINATES - F.col("many") <= COORDINATES - MATCHES + 1).select("rep", "key"))
+    release(spark)
 
-    lists = prefix.groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("n", "rep")).alias("lead")).where("size > 1")
+    sizes = classes.select("rep", "n")
+    lists = prefix.join(sizes, "rep").groupBy("key").agg(F.count("*").alias("size"), F.min(F.struct("n", "rep")).alias("lead")).where("size > 1")
     small = prefix.join(lists.where(F.col("size") <= SHORT).select("key"), "key", "left_semi").select("rep", "key")
     long = cut(lists.where(F.col("size") > SHORT).select("key", "size", F.col("lead.rep").alias("lead")))
     pairs = small.alias("x").join(small.alias("y"), "key").where("x.rep < y.rep").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.lit(1).alias("parts"))
     led = _in_parts(prefix.select("key", "rep").join(long, "key"), "size", F.col("lead"))
     links = _links(pairs.unionByName(led), sets, percent)
     comps = cut(connected_components(links, "a", "b"))
+    release(spark)
 
     tied = comps.select(F.col("node").alias("rep"), F.col("component").alias("comp"))
     known = classes.join(tied, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
