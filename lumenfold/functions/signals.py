@@ -237,7 +237,10 @@ def comb_search(residual: np.ndarray, low: int, high: int, last: int, harmonics:
     """Of each row the bin from low to high whose multiples stand out most, its score, and the residual at them.
 
     The score is the mean over multiples k up to the bin last, weighted by 1 / sqrt(k); beyond it multiples are 0.
+    Where a spectrum ends before last or high (at a low rate), its end takes their place.
     """
+    last = min(last, residual.shape[1] - 1)
+    high = min(high, last)
     order = np.arange(1, harmonics + 1)
     bins = np.arange(low, high + 1)[:, None] * order
     weight = (bins <= last) / np.sqrt(order)

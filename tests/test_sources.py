@@ -196,6 +196,43 @@ def test_harmonic_features_against_the_formulas(spark):
         signals.harmonics_of(np.zeros((1, 100)))
 
 
+@pytest.mark.parametrize(("rate", "n_fft"), [(2000, 2048), (800, 1024)])
+def test_harmonic_features_where_the_spectrum_ends_below_the_last_harmonic(rate, n_fft):
+    t = np.arange(rate) / rate
+    x = np.sin(2 * np.pi * 90 * t) + 0.5 * np.sin(2 * np.pi * 180 * t) + 0.01 * np.random.default_rng(7).normal(size=rate)
+    got = signals.harmonics_of(x[None], rate, n_fft)[0]
+    assert got.shape == (signals.HARMONIC_FEATURES,) and np.isfinite(got).all()
+
+    def residual(v, n, width):
+        log = np.log10(np.abs(np.fft.rfft(v * np.hanning(len(v)), n)) ** 2 + 1e-12)
+        return log - np.convolve(log, np.ones(width) / width, "same")
+
+    def search(r, low, high, n):
+        scores = {}
+        for c in range(low, min(high, len(r) - 1) + 1):
+            ks = [k for k in range(1, n + 1) if c * k < len(r)]  # all there is of the spectrum
+            scores[c] = sum(r[c * k] / np.sqrt(k) for k in ks) / sum(1 / np.sqrt(k) for k in ks)
+        best = max(scores, key=scores.get)
+        return best, scores[best]
+
+    x = x - x.mean()
+    step, whole = rate / n_fft, residual(x, n_fft, 41)
+    scale = whole[20:-1].std()
+    place, score = search(whole, int(np.ceil(40 / step)), int(500 / step), 12)
+    assert got[40:42] == pytest.approx([place * step / 500, score / scale], abs=1e-4)
+    found = [search(residual(part, n_fft // 4, 21), int(40 / (4 * step)), int(500 / (4 * step)), 8) for part in np.split(x, 4)]
+    pitches, scores = np.array([[c * 4 * step / 500, s / scale] for c, s in found]).T
+    assert got[57:] == pytest.approx([pitches.mean(), pitches.std(), scores.mean(), scores.std()], abs=1e-4)
+
+
+def test_harmonic_features_query_gives_its_values(spark, tiny):
+    from lumenfold.plans.catalogue import QUERIES
+
+    rows = QUERIES["harmonic_features"](spark, tiny).collect()  # a count would leave the features out
+    assert len({r.doc_id for r in rows}) == len(rows) == 200
+    assert all(len(r.h) == signals.HARMONIC_FEATURES and np.isfinite(r.h).all() for r in rows)
+
+
 def test_gain_invariant_hash_is_of_header_and_pcm(spark):
     import hashlib
 
