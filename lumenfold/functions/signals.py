@@ -293,14 +293,16 @@ def harmonics_of(x: np.ndarray, rate: int = 16000, n_fft: int = 16384, bands: in
 
 
 def harmonic_features(rate: int = 16000, n_fft: int = 16384):
-    """A pandas UDF: the 61 harmonic features of one-second segments; other lengths are errors."""
+    """A pandas UDF: the 61 harmonic features of one-second segments, null for null; other lengths are errors."""
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(samples: pd.Series) -> pd.Series:
-        out = []
-        for a in range(0, len(samples), 32):  # a few MB of spectra at a time
-            out += harmonics_of(np.stack([np.asarray(s, float) for s in samples.iloc[a : a + 32]]), rate, n_fft).tolist()
-        return pd.Series(out, dtype=object)
+        out, there = np.full(len(samples), None, object), np.flatnonzero(samples.notna())
+        for a in range(0, len(there), 32):  # a few MB of spectra at a time
+            at = there[a : a + 32]
+            for i, h in zip(at, harmonics_of(np.stack([np.asarray(s, float) for s in samples.iloc[at]]), rate, n_fft), strict=True):
+                out[i] = h
+        return pd.Series(out)
 
     return run
 

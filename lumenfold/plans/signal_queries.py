@@ -132,11 +132,38 @@ def class_knn_projected(spark, sf_dir):
     return rounded(V.class_knn(e.where("vec_id % 50 = 0"), e, "vec_id", "label", "label", "z", 5))
 
 
-@query()
+@query("""WITH p AS (SELECT DISTINCT 60 + n_chars % 300 AS pitch FROM documents WHERE n_chars IS NOT NULL),
+t AS (SELECT pitch, list_transform(range(0, 2000), lambda i: sin(i * pitch * (2 * pi() / 2000)) + 0.5::DOUBLE * sin(i * pitch * (4 * pi() / 2000))) AS x FROM p),
+m AS (SELECT pitch, x, list_avg(x) AS m FROM t),
+x AS (SELECT pitch, list_transform(x, lambda v: v - m) AS x FROM m),
+parts AS (SELECT part, CASE part WHEN 0 THEN 2000 ELSE 500 END AS n, CASE part WHEN 0 THEN 2048 ELSE 512 END AS fft, CASE part WHEN 0 THEN 41 ELSE 10 END AS low, CASE part WHEN 0 THEN 12 ELSE 8 END AS harmonics FROM range(0, 5) t(part)),
+cut AS (SELECT pitch, part, n, fft, list_transform(x[greatest(part - 1, 0) * n + 1 : greatest(part - 1, 0) * n + n], lambda v, i: v * (0.5 - 0.5 * cos(2 * pi() * (i - 1) / (n - 1)))) AS x FROM x, parts),
+waves AS (SELECT n, fft, k, list_transform(range(0, n), lambda i: cos(2 * pi() * (i * k % fft) / fft)) AS re, list_transform(range(0, n), lambda i: sin(2 * pi() * (i * k % fft) / fft)) AS im FROM (SELECT DISTINCT n, fft FROM parts), range(0, 1025) t(k) WHERE 2 * k <= fft),
+s AS (SELECT pitch, part, k, list_dot_product(x, re) ** 2 + list_dot_product(x, im) ** 2 + 1e-12 AS p FROM cut JOIN waves USING (n, fft)),
+r AS (SELECT pitch, part, k, log10(p) - sum(log10(p)) OVER (PARTITION BY pitch, part ORDER BY k ROWS BETWEEN 20 PRECEDING AND 20 FOLLOWING) / 41 AS r FROM s WHERE part = 0
+  UNION ALL SELECT pitch, part, k, log10(p) - sum(log10(p)) OVER (PARTITION BY pitch, part ORDER BY k ROWS BETWEEN 10 PRECEDING AND 10 FOLLOWING) / 21 FROM s WHERE part > 0),
+combs AS (SELECT part, low + c AS c, h, (low + c) * h AS k FROM parts, range(0, 472) t(c), range(1, 13) u(h) WHERE h <= harmonics AND (low + c) * 4 <= fft AND (low + c) * h * 2 <= fft),
+scores AS (SELECT pitch, part, c, sum(r / sqrt(h)) / sum(1 / sqrt(h)) AS score FROM combs JOIN r USING (part, k) GROUP BY pitch, part, c),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY pitch, part ORDER BY score DESC, c) = 1),
+scale AS (SELECT pitch, greatest(stddev_pop(r), 1e-12) AS scale FROM r WHERE part = 0 AND k BETWEEN 20 AND 1023 GROUP BY pitch),
+heard AS (SELECT pitch, k, k * 2000 / 2048 AS f, p, sum(p) OVER (PARTITION BY pitch) AS total, sum(p) OVER (PARTITION BY pitch ORDER BY k) AS below FROM s WHERE part = 0 AND k >= 21),
+centre AS (SELECT pitch, sum(f * p / total) AS centre FROM heard GROUP BY pitch),
+overall AS (SELECT pitch, [log10(any_value(list_dot_product(x.x, x.x)) / 2000 + 1e-12), any_value(centre) / 1000, sqrt(sum((f - centre) ** 2 * p / total)) / 1000, exp(avg(ln(p))) / greatest(avg(p), 1e-12), -sum(p / total * ln(p / total + 1e-12)) / ln(count(*)),
+  min(f) FILTER (WHERE below >= 0.5 * total) / 1000, min(f) FILTER (WHERE below >= 0.85 * total) / 1000, min(f) FILTER (WHERE below >= 0.95 * total) / 1000] AS v FROM heard JOIN centre USING (pitch) JOIN x USING (pitch) GROUP BY pitch),
+edges AS (SELECT b, 20 * 50 ** (b / 32) AS low, 20 * 50 ** ((b + 1) / 32) AS high FROM range(0, 32) t(b)),
+bands AS (SELECT pitch, b, log10(avg(p) + 1e-12) AS v FROM edges JOIN heard ON f >= low AND f < high AND k < 1024 GROUP BY pitch, b),
+levels AS (SELECT pitch, list_transform(list(v ORDER BY b), lambda y: y - m) AS v FROM (SELECT *, avg(v) OVER (PARTITION BY pitch) AS m FROM bands) GROUP BY pitch, m),
+teeth AS (SELECT pitch, part, c, score, h, c * h AS k FROM best, range(1, 13) t(h) WHERE part = 0),
+profile AS (SELECT pitch, c, score, scale, h, coalesce(r, 0) / scale AS v FROM teeth JOIN scale USING (pitch) LEFT JOIN r USING (pitch, part, k)),
+comb AS (SELECT pitch, [c * 2000 / 2048 / 500, score / scale, avg((v > 1)::INTEGER), avg(v), stddev_pop(v)] || list(v ORDER BY h) AS v FROM profile GROUP BY pitch, c, score, scale),
+steady AS (SELECT pitch, [avg(c * 2000 / 512 / 500), stddev_pop(c * 2000 / 512 / 500), avg(score / scale), stddev_pop(score / scale)] AS v FROM best JOIN scale USING (pitch) WHERE part > 0 GROUP BY pitch),
+f AS (SELECT pitch, list_transform(o.v || l.v || c.v || s.v, lambda y: round(y::FLOAT::DOUBLE, 4) + 0) AS h FROM overall o JOIN levels l USING (pitch) JOIN comb c USING (pitch) JOIN steady s USING (pitch))
+SELECT doc_id, h FROM documents LEFT JOIN f ON pitch = 60 + n_chars % 300""")
 def harmonic_features(spark, sf_dir):
-    """The 61 harmonic features of a tone per document, its pitch by the length of the text."""
+    """The 61 harmonic features of a tone per document, its pitch by the length of the text; null without a length."""
     t = F.sequence(F.lit(0), F.lit(1999))
     pitch = 60 + F.col("n_chars") % 300
     tone = F.transform(t, lambda i: F.sin(i * pitch * (6.283185307179586 / 2000)) + 0.5 * F.sin(i * pitch * (2 * 6.283185307179586 / 2000)))
+    tone = F.when(F.col("n_chars").isNotNull(), tone)
     d = table(spark, sf_dir, "documents").select("doc_id", G.harmonic_features(2000, 2048)(tone).alias("h"))
     return rounded(d.select("doc_id", F.transform("h", lambda x: F.round(x.cast("double"), 4)).alias("h")), 4)
